@@ -54,7 +54,7 @@ class Workspace:
 
 def input_bytes(df: DataFrame) -> int:
     """The optimizer's estimate of df's size in bytes; no job is run."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def parts_for(df: DataFrame, mb: float, least: int = 96) -> int:
