@@ -214,9 +214,8 @@ def score(docs: DataFrame, trained: Column, work: Workspace, order: int = 2, lea
             weights.append((alpha, scale))
         return s, counts, owned, weights
 
-    for k in range(2, order + 1):
-
-        def sums(left: pa.Table, right: pa.Table, k=k) -> pa.Table:
+    def sums_of(k: int):
+        def sums(left: pa.Table, right: pa.Table) -> pa.Table:
             """Of each context of the group: the kept shares that this group answers for, and what these words have below."""
             if not left.num_rows:
                 return pa.table({"ctx": pa.array([], pa.int64()), "g": pa.array([], pa.int32()), "share": pa.array([], pa.float64()), "below": pa.array([], pa.float64()), "total": pa.array([], pa.int64())})
@@ -233,7 +232,10 @@ def score(docs: DataFrame, trained: Column, work: Workspace, order: int = 2, lea
             g = left.column("g")[0].as_py()
             return pa.table({"ctx": key[some], "g": pa.array(np.full(some.sum(), g, np.int32)), "share": a[some], "below": b[some], "total": total[some]})
 
-        got = work.table(src.groupBy("g").cogroup(replies.groupBy("g")).applyInArrow(sums, "ctx long, g int, share double, below double, total long"), f"contexts{k}")
+        return sums
+
+    for k in range(2, order + 1):
+        got = work.table(src.groupBy("g").cogroup(replies.groupBy("g")).applyInArrow(sums_of(k), "ctx long, g int, share double, below double, total long"), f"contexts{k}")
         agg = got.groupBy("ctx").agg(F.sum("share").alias("share"), F.sum("below").alias("below"), F.max("total").alias("total")).where("share > 0")
         scale = F.when(F.col("share") < 1 - 1e-9, 1.0).otherwise(F.col("total") / (F.col("total") + 1.0) / F.col("share"))
         agg = agg.withColumn("scale", scale).withColumn("alpha", (1 - F.col("scale") * F.col("share")) / F.greatest(1 - F.col("below"), F.lit(1e-12)))

@@ -37,9 +37,10 @@ def remainder(column: str, n: int):
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.common import Workspace
     from tidemark.llm.url_filter import judge
 
-    return judge(table(spark, sf_dir, "pages").select("page_id", "url"), RULES, keep=["page_id"])
+    return judge(table(spark, sf_dir, "pages").select("page_id", "url"), Workspace(spark, "urls"), RULES, keep=["page_id"])
 
 
 def op4_katz(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import Workspace
+
 LEVELS = 3
 WIDE = 50  # a node with more children than this keeps only those with at least SUPPORT pages
 SUPPORT = 20
@@ -64,45 +66,60 @@ def shape(segment: Column) -> Column:
     return F.concat(kind.otherwise(stem), end)
 
 
-def template_tree(pages: DataFrame, host: str = "host", path: str = "path", bad: str = "bad", levels: int = LEVELS) -> DataFrame:
-    """pages with two more columns: template and purity (smoothed share of bad labels)."""
+def template_tree(pages: DataFrame, work: Workspace, host: str = "host", path: str = "path", bad: str = "bad", levels: int = LEVELS) -> DataFrame:
+    """pages with two more columns: template and purity (smoothed share of bad labels).
+
+    Pages are first added up by host and shaped segments; the tree is grown on these sums, one written table a level.
+    """
     parts = F.filter(F.split(F.col(path), "/"), lambda s: s != "")
-    d = pages.withColumn("tt_parts", parts).withColumn("tt_node", F.lit(""))
+    segs = [f"tt_s{k}" for k in range(levels)]
+    d = pages.withColumn("tt_parts", parts).withColumns({s: F.when(F.size("tt_parts") > k, shape(F.try_element_at("tt_parts", F.lit(k + 1)))) for k, s in enumerate(segs)})
+    d = d.withColumn("tt_deep", F.size("tt_parts") > levels).drop("tt_parts")
     label = F.when(F.col(bad).isNotNull(), 1).otherwise(0)
-    counts = [F.count(F.lit(1)).alias("tt_n"), F.sum(label).alias("tt_l"), F.sum(F.when(F.col(bad) == 1, 1).otherwise(0)).alias("tt_b")]
-    whole = pages.groupBy().agg(F.coalesce(F.sum(label), F.lit(0)).alias("tt_al"), F.coalesce(F.sum(F.when(F.col(bad) == 1, 1).otherwise(0)), F.lit(0)).alias("tt_ab"))
-    hosts = d.groupBy(host).agg(*counts).crossJoin(F.broadcast(whole))  # one row on the other side
-    prior = (F.col("tt_ab") + 1.0) / (F.col("tt_al") + 2.0)
-    hosts = hosts.select(F.col(host).alias("tt_host"), smoothed(F.col("tt_b"), F.col("tt_l"), prior).alias("tt_p"))
-    d = d.join(hosts, F.col(host) == F.col("tt_host")).drop("tt_host")
-    for k in range(levels):
-        d = d.withColumn("tt_seg", F.when(F.size("tt_parts") > k, shape(F.element_at("tt_parts", k + 1))))
-        kids = d.where("tt_seg is not null").groupBy(F.col(host).alias("tt_host"), F.col("tt_node").alias("tt_at"), F.col("tt_seg").alias("tt_s")).agg(*counts, F.first("tt_p").alias("tt_up"))
-        parent = kids.groupBy("tt_host", "tt_at").agg(F.count(F.lit(1)).alias("tt_kids"), F.sum("tt_l").alias("tt_pl"), F.sum("tt_b").alias("tt_pb"))
-        kids = kids.join(parent, ["tt_host", "tt_at"])
-        others = F.col("tt_pl") - F.col("tt_l")
-        pooled = F.try_divide("tt_pb", "tt_pl")
-        spread = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1.0), "tt_l") + F.try_divide(F.lit(1.0), others)))
-        apart = F.abs(F.try_divide("tt_b", "tt_l") - F.try_divide(F.col("tt_pb") - F.col("tt_b"), others))
-        differs = F.when((F.col("tt_l") > 0) & (others > 0) & (pooled > 0) & (pooled < 1), apart > SIGNIFICANT * spread).otherwise(F.lit(False))
-        rare = (F.col("tt_kids") > WIDE) & (F.col("tt_n") < SUPPORT)
-        kids = kids.withColumn("tt_own", differs & ~rare).withColumn("tt_child", F.when(F.col("tt_own"), F.col("tt_s")).otherwise(F.lit("*")))
-        branch = kids.groupBy("tt_host", "tt_at", "tt_child").agg(F.sum("tt_l").alias("tt_cl"), F.sum("tt_b").alias("tt_cb"), F.first("tt_up").alias("tt_up"))
-        branch = branch.select("tt_host", "tt_at", "tt_child", smoothed(F.col("tt_cb"), F.col("tt_cl"), F.col("tt_up")).alias("tt_new"))
-        step = kids.select("tt_host", "tt_at", "tt_s", "tt_child").join(branch, ["tt_host", "tt_at", "tt_child"])
-        on = (F.col(host) == F.col("tt_host")) & (F.col("tt_node") == F.col("tt_at")) & (F.col("tt_seg") == F.col("tt_s"))
-        d = d.join(step, on, "left")
-        d = d.withColumn("tt_node", F.when(F.col("tt_child").isNull(), F.col("tt_node")).otherwise(F.concat("tt_node", F.lit("/"), "tt_child"))).withColumn("tt_p", F.coalesce("tt_new", "tt_p"))
-        d = d.drop("tt_host", "tt_at", "tt_s", "tt_child", "tt_new", "tt_seg")
-    rest = F.when(F.size("tt_parts") > levels, F.lit("/**")).otherwise(F.lit(""))
-    return d.withColumn("template", F.concat("tt_node", rest)).withColumnRenamed("tt_p", "purity").drop("tt_parts", "tt_node")
+    keys = ["tt_host", *segs, "tt_deep"]
+    counts = [F.count(F.lit(1)).alias("n"), F.sum(label).alias("l"), F.sum(F.when(F.col(bad) == 1, 1).otherwise(0)).alias("b")]
+    t = work.table(d.withColumnRenamed(host, "tt_host").groupBy(*keys).agg(*counts), "paths")
+    more = [F.sum(c).alias(c) for c in ("n", "l", "b")]
+    all_l, all_b = t.agg(F.coalesce(F.sum("l"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0))).first()
+    hosts = t.groupBy("tt_host").agg(*more).select("tt_host", smoothed(F.col("b"), F.col("l"), F.lit((all_b + 1.0) / (all_l + 2.0))).alias("p"))
+    t = work.table(t.join(hosts, "tt_host").withColumn("node", F.lit("")), "level0")
+    for k, seg in enumerate(segs):
+        kids = t.where(F.col(seg).isNotNull()).groupBy("tt_host", "node", F.col(seg).alias("seg")).agg(*more, F.first("p").alias("up"))
+        kids = work.table(kids, f"children{k}")
+        parent = kids.groupBy("tt_host", "node").agg(F.count(F.lit(1)).alias("kids"), F.sum("l").alias("pl"), F.sum("b").alias("pb"))
+        kids = kids.join(parent, ["tt_host", "node"])
+        others = F.col("pl") - F.col("l")
+        pooled = F.try_divide("pb", "pl")
+        spread = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1.0), "l") + F.try_divide(F.lit(1.0), others)))
+        apart = F.abs(F.try_divide("b", "l") - F.try_divide(F.col("pb") - F.col("b"), others))
+        differs = F.when((F.col("l") > 0) & (others > 0) & (pooled > 0) & (pooled < 1), apart > SIGNIFICANT * spread).otherwise(F.lit(False))
+        rare = (F.col("kids") > WIDE) & (F.col("n") < SUPPORT)
+        kids = work.table(kids.withColumn("child", F.when(differs & ~rare, F.col("seg")).otherwise(F.lit("*"))), f"merged{k}")
+        branch = kids.groupBy("tt_host", "node", "child").agg(F.sum("l").alias("l"), F.sum("b").alias("b"), F.first("up").alias("up"))
+        branch = branch.select("tt_host", "node", "child", smoothed(F.col("b"), F.col("l"), F.col("up")).alias("new"))
+        step = work.table(kids.select("tt_host", "node", "seg", "child").join(branch, ["tt_host", "node", "child"]), f"branches{k}")
+        step = step.select(*[F.col(c).alias(f"x_{c}") for c in step.columns])
+        t = t.join(step, (F.col("tt_host") == F.col("x_tt_host")) & (F.col("node") == F.col("x_node")) & (F.col(seg) == F.col("x_seg")), "left")
+        t = t.withColumn("node", F.when(F.col("x_child").isNull(), F.col("node")).otherwise(F.concat("node", F.lit("/"), "x_child"))).withColumn("p", F.coalesce("x_new", "p"))
+        t = work.table(t.select(*keys, "n", "l", "b", "p", "node"), f"level{k + 1}")
+    t = t.select(*[F.col(c).alias(f"x_{c}") for c in keys], F.concat("node", F.when(F.col("tt_deep"), F.lit("/**")).otherwise(F.lit(""))).alias("template"), F.col("p").alias("purity"))
+    d = d.join(t, same_path(d, t, host, segs), "left")
+    return d.drop(*segs, "tt_deep", *[f"x_{c}" for c in keys])
+
+
+def same_path(d: DataFrame, t: DataFrame, host: str, segs: list[str]) -> Column:
+    """Equal host, shaped segments (null equals null) and depth."""
+    on = (d[host] == t["x_tt_host"]) & (d["tt_deep"] == t["x_tt_deep"])
+    for s in segs:
+        on = on & d[s].eqNullSafe(t[f"x_{s}"])
+    return on
 
 
 def smoothed(bad: Column, labelled: Column, prior: Column) -> Column:
     return (bad + SMOOTHING * prior) / (labelled + SMOOTHING)
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url", keep: list[str] | None = None, label: str | None = None) -> DataFrame:
+def judge(pages: DataFrame, work: Workspace, rules: list[tuple[str, str]], url: str = "url", keep: list[str] | None = None, label: str | None = None) -> DataFrame:
     """Columns keep, host, path, rule, verdict, template and purity.
 
     A rule's verdict holds where a rule fits. Elsewhere the template tree decides. The tree learns from the column `label` (1 bad,
@@ -116,6 +133,6 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url", keep
     d = d.withColumn("ruled", rule_verdict(F.col("rule"), rules))
     if not label:
         d = d.withColumn("bad", F.when(F.col("ruled") == "block", 1).when(F.col("ruled") == "allow", 0))
-    d = template_tree(d)
+    d = template_tree(d, work)
     method = F.when(F.col("purity") >= LIMIT, "block").otherwise("allow")
     return d.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "host", "path", "rule", F.coalesce("ruled", method).alias("verdict"), "template", "purity")
