@@ -181,6 +181,12 @@ class PieceModel:
         return self.decode_bytes(i for i in ids if i not in (self.bos, self.eos)).decode("utf-8", "replace")[1:]
 
 
+def lists(ids: list[bytes]) -> pa.Array:
+    """Ids as an Arrow list column."""
+    ends = np.concatenate(([0], np.cumsum([len(x) // 4 for x in ids])))
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+
+
 _models: dict[str, PieceModel] = {}
 
 
@@ -206,9 +212,9 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", keep: list[str]
             for t in b.column("t").to_pylist():
                 ids, said = m.encode(t)
                 for c in outputs:
-                    got[c].append(np.frombuffer(ids, "<i4") if c == "ids" else said.decode("utf-8", "replace") if c == "decoded" else len(ids) // 4 if c == "n_tokens" else hashlib.sha256(ids if c == "ids_sha256" else said).hexdigest())
-            kind = {"ids": pa.list_(pa.int32()), "n_tokens": pa.int64()}
-            yield pa.RecordBatch.from_arrays([*(b.column(f"k{i}") for i in range(len(keep))), *(pa.array(got[c], kind.get(c, pa.string())) for c in outputs)], names)
+                    got[c].append(ids if c == "ids" else said.decode("utf-8", "replace") if c == "decoded" else len(ids) // 4 if c == "n_tokens" else hashlib.sha256(ids if c == "ids_sha256" else said).hexdigest())
+            made = {c: lists(v) if c == "ids" else pa.array(v, pa.int64() if c == "n_tokens" else pa.string()) for c, v in got.items()}
+            yield pa.RecordBatch.from_arrays([*(b.column(f"k{i}") for i in range(len(keep))), *made.values()], names)
 
     return src.mapInArrow(run, schema).select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *outputs)
 

@@ -43,6 +43,12 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages").select("page_id", "url"), Workspace(spark, "urls"), RULES, keep=["page_id"])
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.decontaminate import judge
+
+    return judge(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.common import Workspace
     from tidemark.llm.katz import score
@@ -97,6 +103,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_array": op1_suffix_array,
         "op2_url_filter": op2_url_filter,
+        "op3_decontaminate": op3_decontaminate,
         "op4_katz": op4_katz,
         "op5_quality": op5_quality,
         "op6_suffix_tree": op6_suffix_tree,

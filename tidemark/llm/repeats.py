@@ -18,10 +18,10 @@ from tidemark.llm.hashing import TABLE, Words, anchors, mix, signed, slices
 LEAST_ID = -(1 << 63)
 
 
-def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """id (the least number for null), rk (a hash of id and text, so that ids that occur twice do no harm) and t."""
+def keyed(docs: DataFrame, doc_id: str, text: str, carry: list[str] | None = None) -> DataFrame:
+    """id (the least number for null), rk (a hash of id and text, so that ids that occur twice do no harm), t and carried columns c0, c1 .."""
     i = F.col(doc_id).cast("long")
-    return docs.select(F.coalesce(i, F.lit(LEAST_ID)).alias("id"), F.xxhash64(i, F.col(text)).alias("rk"), F.col(text).alias("t"))
+    return docs.select(F.coalesce(i, F.lit(LEAST_ID)).alias("id"), F.xxhash64(i, F.col(text)).alias("rk"), F.col(text).alias("t"), *[F.col(c).alias(f"c{k}") for k, c in enumerate(carry or [])])
 
 
 def symbols(kind: str, off: np.ndarray, data: np.ndarray):

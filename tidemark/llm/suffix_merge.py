@@ -256,11 +256,13 @@ def union_of(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def remove_repeats(docs: DataFrame, work: Workspace, window: int = WINDOW, gram: int = GRAM, doc_id: str = "doc_id", text: str = "text", digest: bool = True) -> DataFrame:
-    """Each row's doc_id, n_bytes, n_removed, n_spans and kept_sha256, or with digest False the kept text as `kept` (bytes that are cut within a character are dropped)."""
-    src = keyed(docs, doc_id, text)
-    spans = by_document(repeated_spans(src, work, window, gram), "from", "to")
-    both = src.join(spans, ["id", "rk"], "left").select("id", "t", "spans")
+def remove_repeats(docs: DataFrame, work: Workspace, window: int = WINDOW, gram: int = GRAM, doc_id: str = "doc_id", text: str = "text", digest: bool = True, carry: list[str] | None = None) -> DataFrame:
+    """Each row's doc_id, columns carried along, n_bytes, n_removed, n_spans and kept_sha256, or with digest False the kept text as `kept` (bytes that are cut within a character are dropped)."""
+    carry = carry or []
+    src = keyed(docs, doc_id, text, carry)
+    extra = [f"c{i}" for i in range(len(carry))]
+    spans = by_document(repeated_spans(src.select("id", "rk", "t"), work, window, gram), "from", "to")
+    both = src.join(spans, ["id", "rk"], "left").select("id", *extra, "t", "spans")
 
     def cut(batches):
         for b in batches:
@@ -281,8 +283,9 @@ def remove_repeats(docs: DataFrame, work: Workspace, window: int = WINDOW, gram:
                 gone.append(len(raw) - len(rest))
                 many.append(len(own))
                 kept.append(hashlib.sha256(rest).hexdigest() if digest else b"".join(x.decode("utf-8", "ignore").encode() for x in left).decode())
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(many, pa.int64()), pa.array(kept, pa.string())], ["id", "n_bytes", "n_removed", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), *(b.column(c) for c in extra), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(many, pa.int64()), pa.array(kept, pa.string())], ["id", *extra, "n_bytes", "n_removed", "n_spans", "kept"])
 
-    out = both.mapInArrow(cut, "id long, n_bytes long, n_removed long, n_spans long, kept string")
+    kinds = "".join(f"{x} {docs.schema[c].dataType.simpleString()}, " for x, c in zip(extra, carry))
+    out = both.mapInArrow(cut, f"id long, {kinds}n_bytes long, n_removed long, n_spans long, kept string")
     real = F.when(F.col("id") != F.lit(-(1 << 63)), F.col("id"))
-    return out.select(real.alias(doc_id), "n_bytes", "n_removed", "n_spans", F.col("kept").alias("kept_sha256" if digest else "kept"))
+    return out.select(real.alias(doc_id), *[F.col(x).alias(c) for x, c in zip(extra, carry)], "n_bytes", "n_removed", "n_spans", F.col("kept").alias("kept_sha256" if digest else "kept"))
