@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from tidemark.suites import QUERIES, SQL, summaries, temporal, trailing
 
+SUITES = (temporal, trailing, summaries)
 
-def oracle_sql() -> dict:
-    return {}
+
+def queries() -> dict[str, Callable]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)

@@ -93,7 +93,7 @@ def robust_z(df: DataFrame, by: list[str], order: str, value: str, n: int, least
     d = df.withColumn("__p", F.collect_list(value).over(w)).withColumn("__m", quantile_over(value, 0.5, w))
     dev = F.array_sort(F.transform("__p", lambda x: F.abs(x - F.col("__m"))))
     k = F.size("__p")
-    mad = (F.try_element_at(dev, ((k + 1) / 2).cast("int")) + F.try_element_at(dev, ((k + 2) / 2).cast("int"))) / 2
+    mad = F.when(k > 0, (F.try_element_at(dev, F.greatest(F.lit(1), ((k + 1) / 2).cast("int"))) + F.try_element_at(dev, F.greatest(F.lit(1), ((k + 2) / 2).cast("int")))) / 2)
     return d.withColumn("__d", mad).withColumn(name, F.when((k >= least) & (F.col("__d") > 0), (F.col(value) - F.col("__m")) / (1.4826 * F.col("__d")))).drop("__p", "__m", "__d")
 
 

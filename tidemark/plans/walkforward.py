@@ -69,7 +69,8 @@ def recency_fit(df: DataFrame, by: list[str], order: str, x: str, y: str, halfli
     d = d.withColumns({f"__s{k}": v for k, v in s.items()})
     det = F.col("__sw") * F.col("__sxx") - F.col("__sx") * F.col("__sx")
     n = F.count("__w").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
-    slope = F.when((n >= least) & (det > 1e-12), (F.col("__sw") * F.col("__sxy") - F.col("__sx") * F.col("__sy")) / F.when(det > 1e-12, det))
+    good = (n >= least) & (det > 1e-9 * F.col("__sw") * F.col("__sw"))
+    slope = F.when(good, (F.col("__sw") * F.col("__sxy") - F.col("__sx") * F.col("__sy")) / F.when(good, det))
     d = d.withColumn("slope", slope).withColumn("intercept", F.when(F.col("slope").isNotNull(), (F.col("__sy") - F.col("slope") * F.col("__sx")) / F.col("__sw")))
     return d.withColumn("fitted", F.col("slope") * F.col(x) + F.col("intercept")).drop("__i", "__blk", "__w", *[f"__s{k}" for k in names])
 

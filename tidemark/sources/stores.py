@@ -12,14 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def _same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
-    return reduce(lambda x, y: x & y, [a[k].eqNullSafe(b[k]) for k in keys])
-
-
 def new_rows(stored: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """New rows whose key is not stored; of repeated new keys one stays."""
-    n = new.dropDuplicates(keys)
-    return n.join(stored.select(*keys), _same(n, stored, keys), "left_anti")
+    n, s = new.dropDuplicates(keys), stored.select(*[F.col(k).alias(f"__{k}") for k in keys])
+    return n.join(s, reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]), "left_anti")
 
 
 def upgraded(stored: DataFrame, new: DataFrame, keys: list[str], better: str) -> DataFrame:
@@ -31,9 +27,10 @@ def upgraded(stored: DataFrame, new: DataFrame, keys: list[str], better: str) ->
 
 def fill_missing(stored: DataFrame, new: DataFrame, keys: list[str], columns: list[str], insert: bool = True) -> DataFrame:
     """Stored values stay; only nulls take the new value. insert: keys that are only new come in."""
-    n = new.dropDuplicates(keys)
-    j = stored.join(n, _same(stored, n, keys), "full_outer" if insert else "left")
-    return j.select(*[F.coalesce(stored[k], n[k]).alias(k) for k in keys], *[F.coalesce(stored[c], n[c]).alias(c) for c in columns])
+    n = new.dropDuplicates(keys).select(*[F.col(c).alias(f"__{c}") for c in [*keys, *columns]])
+    on = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+    j = stored.select(*keys, *columns).join(n, on, "full_outer" if insert else "left")
+    return j.select(*[F.coalesce(c, f"__{c}").alias(c) for c in [*keys, *columns]])
 
 
 def newest_wins(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
