@@ -40,7 +40,8 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.common import Workspace
     from tidemark.llm.url_filter import judge
 
-    return judge(table(spark, sf_dir, "pages").select("page_id", "url"), Workspace(spark, "urls"), RULES, keep=["page_id"])
+    out = judge(table(spark, sf_dir, "pages").select("page_id", "url"), Workspace(spark, "urls"), RULES, keep=["page_id"])
+    return out.withColumn("purity", F.round("purity", 9))
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,4 +116,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Where SQL can express the result at a bearable cost; the others are tested against plain versions."""
+    from tidemark.llm import sql
+
+    return {
+        "op2_url_filter": sql.url_filter(RULES),
+        "op6_suffix_tree": sql.EARLIER_WORDS,
+        "op7_jaccard": sql.JACCARD,
+        "op10_embeddings": sql.EMBEDDINGS,
+    }
