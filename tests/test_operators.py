@@ -304,3 +304,41 @@ def test_adaptive_level_keeps_coverage():
     half, _ = P.adaptive_level(e)
     ok = np.isfinite(half)
     assert abs((e[ok] <= half[ok]).mean() - 0.8) < 0.04
+
+
+def test_quote_source(spark):
+    from tidemark.sources.quotes import QuoteSource
+
+    spark.dataSource.register(QuoteSource)
+    d = spark.read.format("quotes").option("fetch", "tests.quote_fixture:fetch").option("tickers", "AA,BAD,C").option("wait", "0").load()
+    got = sorted((r["ticker"], r["day"].day, r["value"]) for r in d.collect())
+    assert [g[:2] for g in got] == [("AA", 1), ("AA", 2), ("AA", 3), ("C", 1), ("C", 2), ("C", 3)] and got[0][2] == 2.0 and got[1][2] is None
+
+
+def test_folds(spark):
+    from tidemark.plans.policies import Folds
+
+    got = [tuple(r) for r in Folds(F.lit(25), F.lit(10), F.lit(5), F.lit(2)).collect()]
+    assert got == [(0, 10, 12, 17), (1, 15, 17, 22), (2, 20, 22, 25)]
+
+
+def test_predicates(spark):
+    from tidemark.operators import predicates as X
+
+    df = spark.createDataFrame([("a", day("2024-01-05"), 1.0, None), ("a", day("2024-01-06"), 1.0, False), ("a", day("2024-01-08"), 2.0, True)], "k string, d date, v double, retro boolean")
+    assert [r["c"] for r in df.select("d", X.weekend_carry(["k"], "d", "v").alias("c")).orderBy("d").collect()] == [False, True, False]
+    assert df.where(X.live_only("retro")).count() == 1 and df.where(X.live_only("retro", False)).count() == 2
+    assert X.last_complete(df, ["k"], "d", ["v"]).first()["v"] == 2.0
+    assert X.sub_period(df, "d", "2024-01-05", "2024-01-08").count() == 2 and X.every_kth(df, ["k"], "d", 2).count() == 2
+    with pytest.raises(Exception):
+        X.must_be_positive(df.withColumn("v", F.col("v") - 1), "v").count()
+
+
+def test_autocorrelation(spark):
+    x = np.random.default_rng(9).normal(size=200).cumsum()
+    df = spark.createDataFrame([("a", i, float(v)) for i, v in enumerate(x)], "k string, i int, v double")
+    r = W.autocorrelation(df, ["k"], "i", "v", 3).first()
+    z = x - x.mean()
+    acf = [(z[k:] * z[:-k]).sum() / (z * z).sum() for k in (1, 2, 3)]
+    assert [r["acf1"], r["acf2"], r["acf3"]] == pytest.approx(acf)
+    assert r["ljung_box"] == pytest.approx(200 * 202 * sum(a * a / (200 - k) for k, a in enumerate(acf, 1)))

@@ -157,3 +157,16 @@ def quantile_buckets(df: DataFrame, by: list[str], value: str, cuts: list[float]
     q = df.groupBy(*by).agg(F.percentile(value, F.array(*[F.lit(c) for c in cuts])).alias("__q"))
     d = df.join(q, by) if by else df.crossJoin(F.broadcast(q))
     return d.withColumn(name, F.size(F.filter("__q", lambda c: F.col(value) > c))).drop("__q")
+
+
+def array_minima(df: DataFrame, by: list[str], actual: str, forecast: str, limit: str) -> DataFrame:
+    """Of forecast paths: precision and recall of dips to the limit, and the median error of the dip's place."""
+    hit, said = F.array_min(actual) <= F.col(limit), F.array_min(forecast) <= F.col(limit)
+    place = F.abs(F.array_position(actual, F.array_min(actual)) - F.array_position(forecast, F.array_min(forecast)))
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.try_divide(F.sum((hit & said).cast("int")), F.sum(said.cast("int"))).alias("precision"), F.try_divide(F.sum((hit & said).cast("int")), F.sum(hit.cast("int"))).alias("recall"), F.percentile(place, F.lit(0.5)).alias("timing_error"))
+
+
+def direction_accuracy(df: DataFrame, by: list[str], start: str, forecast: str, actual: str) -> DataFrame:
+    """Share of forecasts on the right side of the start; a zero move counts as wrong."""
+    ok = F.signum(F.col(forecast) - F.col(start)) * F.signum(F.col(actual) - F.col(start)) > 0
+    return df.where(F.col(actual).isNotNull() & F.col(forecast).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(ok.cast("double")).alias("accuracy"))

@@ -135,3 +135,41 @@ def seasonal_change(df: DataFrame, by: list[str], day: str, value: str, days: in
     """Value against the value exactly `days` days before: an equi join, so gaps give null."""
     past = df.select(*by, F.date_add(day, days).alias(day), F.col(value).alias("__p"))
     return df.join(past, [*by, day], "left").withColumn(name, F.col(value) - F.col("__p")).drop("__p")
+
+
+def z_score(df: DataFrame, by: list[str], order: str, value: str, n: int, least: int, name: str = "z") -> DataFrame:
+    """Value against mean and deviation of the last n rows, itself included."""
+    w = Window.partitionBy(*by).orderBy(order).rowsBetween(-(n - 1), 0)
+    sd = F.stddev_samp(value).over(w)
+    return df.withColumn(name, F.when((F.count(value).over(w) >= least) & (sd > 0), (F.col(value) - F.avg(value).over(w)) / F.when(sd > 0, sd)))
+
+
+def centred_trend(df: DataFrame, by: list[str], order: str, value: str, k: int, name: str = "trend") -> DataFrame:
+    """Mean of the k rows on both sides; null at the ends."""
+    w = Window.partitionBy(*by).orderBy(order).rowsBetween(-k, k)
+    return df.withColumn(name, F.when(F.count(value).over(w) == 2 * k + 1, F.avg(value).over(w)))
+
+
+def autocorrelation(df: DataFrame, by: list[str], order: str, value: str, lags: int) -> DataFrame:
+    """Autocorrelations up to `lags` and the Ljung-Box statistic, from lag products."""
+    w, whole = Window.partitionBy(*by).orderBy(order), Window.partitionBy(*by)
+    d = df.where(F.col(value).isNotNull()).withColumn("__x", F.col(value) - F.avg(value).over(whole))
+    d = d.select(*by, "__x", *[F.lag("__x", k).over(w).alias(f"__l{k}") for k in range(1, lags + 1)])
+    s2 = F.sum(F.col("__x") * F.col("__x"))
+    out = d.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[F.try_divide(F.sum(F.col("__x") * F.col(f"__l{k}")), s2).alias(f"acf{k}") for k in range(1, lags + 1)])
+    q = sum((F.try_divide(F.col(f"acf{k}") * F.col(f"acf{k}"), F.col("n") - k) for k in range(2, lags + 1)), F.try_divide(F.col("acf1") * F.col("acf1"), F.col("n") - 1))
+    return out.withColumn("ljung_box", F.col("n") * (F.col("n") + 2) * q)
+
+
+def variance_ratio(df: DataFrame, by: list[str], order: str, log_value: str, k: int) -> DataFrame:
+    """Variance of k-step moves over k times that of one-step moves."""
+    w = Window.partitionBy(*by).orderBy(order)
+    d = df.withColumn("__1", F.col(log_value) - F.lag(log_value).over(w)).withColumn("__k", F.col(log_value) - F.lag(log_value, k).over(w))
+    return d.groupBy(*by).agg(F.try_divide(F.var_samp("__k"), k * F.var_samp("__1")).alias("variance_ratio"), F.count("__k").alias("n"))
+
+
+def typical_move(df: DataFrame, by: list[str], day: str, value: str, back: int, window: int, now: str, least: int = 15) -> DataFrame:
+    """Median absolute change against `back` days before, over the last `window` days up to `now`; null below `least` pairs."""
+    past = df.select(*by, F.date_add(day, back).alias(day), F.col(value).alias("__p"))
+    d = df.join(past, [*by, day]).where((F.col(day) <= F.lit(now).cast("date")) & (F.col(day) > F.date_sub(F.lit(now).cast("date"), window)))
+    return d.groupBy(*by).agg(F.when(F.count("__p") >= least, F.percentile(F.abs(F.col(value) - F.col("__p")), F.lit(0.5))).alias("typical_move"), F.count("__p").alias("n"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import aggregates as A
 from tidemark.operators import windows as W
 from tidemark.plans import walkforward as P
 from tidemark.sources.readers import table
@@ -220,3 +221,54 @@ def kalman_levels(spark, sf_dir):
     return kalman(d, ["k"], "d", ["v", "s2"], 1e6, [1e7, 2e7])
 
 
+
+
+@query(f"with {DAILY}, x as (select *, count(v) over w as c, avg(v) over w as m, stddev_samp(v) over w as s from daily window w as ({BY} rows between 155 preceding and current row)) select k, d, case when c >= 30 and s > 0 then round((v - m) / s, 6) end as z from x")
+def trailing_z_156(spark, sf_dir):
+    return W.z_score(daily(spark, sf_dir), ["k"], "d", "v", 156, 30).select("k", "d", r("z", 6).alias("z"))
+
+
+@query(f"with {DAILY}, x as (select *, count(v) over w as c, avg(v) over w as m from daily window w as ({BY} rows between 5 preceding and 5 following)) select k, d, case when c = 11 then round(m, 5) end as trend from x")
+def centred_trend(spark, sf_dir):
+    return W.centred_trend(daily(spark, sf_dir), ["k"], "d", "v", 5).select("k", "d", r("trend", 5).alias("trend"))
+
+
+@query(f"with {DAILY}, c as (select k, d, v - avg(v) over (partition by k) as x from daily), l as (select *, lag(x, 1) over ({BY}) as a, lag(x, 2) over ({BY}) as b from c), s as (select k, count(*) as n, sum(x * a) / sum(x * x) as r1, sum(x * b) / sum(x * x) as r2 from l group by 1) select k, n, round(r1, 6) as acf1, round(r2, 6) as acf2, round(n * (n + 2) * (r1 * r1 / (n - 1) + r2 * r2 / (n - 2)), 4) as ljung_box from s")
+def autocorrelation(spark, sf_dir):
+    a = W.autocorrelation(daily(spark, sf_dir), ["k"], "d", "v", 2)
+    return a.select("k", "n", r("acf1", 6).alias("acf1"), r("acf2", 6).alias("acf2"), r("ljung_box").alias("ljung_box"))
+
+
+@query(f"with {DAILY}, l as (select k, ln(v) - lag(ln(v)) over ({BY}) as a, ln(v) - lag(ln(v), 5) over ({BY}) as b from daily) select k, round(var_samp(b) / (5 * var_samp(a)), 6) as variance_ratio, count(b) as n from l group by 1")
+def variance_ratio(spark, sf_dir):
+    d = W.variance_ratio(daily(spark, sf_dir).withColumn("lv", F.ln("v")), ["k"], "d", "lv", 5)
+    return d.select("k", r("variance_ratio", 6).alias("variance_ratio"), "n")
+
+
+@query(f"with {DAILY}, x as (select a.k, abs(a.v - b.v) as m from daily a join daily b on a.k = b.k and a.d = b.d + 5 where a.d <= date '1997-06-01' and a.d > date '1997-06-01' - 120) select k, case when count(m) >= 15 then round(quantile_cont(m, 0.5), 4) end as typical_move, count(m) as n from x group by 1")
+def typical_move(spark, sf_dir):
+    return W.typical_move(daily(spark, sf_dir), ["k"], "d", "v", 5, 120, "1997-06-01").select("k", r("typical_move").alias("typical_move"), "n")
+
+
+@query(f"with {DAILY}, x as (select k, v, list(v) over ({BY} rows between 1 following and 10 following) as p from daily), f as (select k, c.x as discount, v - coalesce(list_filter(p, lambda y: y <= v * (1 - c.x))[1], p[10]) as s from x, (values (0.05::double), (0.2::double)) c(x) where len(p) = 10) select k, discount, count(s) as n, round(avg(s), 4) as mean_saving, round(avg((s > 0)::int), 6) as share_better from f group by 1, 2")
+def buyer_policy(spark, sf_dir):
+    from tidemark.plans.policies import buyer_policy as simulate
+
+    p = simulate(daily(spark, sf_dir), ["k"], "d", "v", [0.05, 0.2], 10)
+    return p.select("k", "discount", "n", r("mean_saving").alias("mean_saving"), r("share_better", 6).alias("share_better"))
+
+
+@query(f"with {DAILY}, f as (select k, d, v + 3 * (v - lag(v, 5) over ({BY})) / 5 as f, lead(v, 3) over ({BY}) as a, v from daily) select k, count(*) as n, round(avg(abs(a - f)), 4) as drift_mae, round(avg(abs(a - v)), 4) as hold_mae from f where f is not null and a is not null group by 1")
+def drift_against_hold(spark, sf_dir):
+    from tidemark.plans.policies import drift_hold
+
+    d = drift_hold(daily(spark, sf_dir), ["k"], "d", "v", 5, 3).where("forecast is not null and actual is not null")
+    return d.groupBy("k").agg(F.count(F.lit(1)).alias("n"), r(F.avg(F.abs(F.col("actual") - F.col("forecast")))).alias("drift_mae"), r(F.avg(F.abs(F.col("actual") - F.col("v")))).alias("hold_mae"))
+
+
+@query(f"with {DAILY}, x as (select k, [lead(v, 1) over w, lead(v, 2) over w, lead(v, 3) over w] as a, [lag(v, 1) over w, lag(v, 2) over w, lag(v, 3) over w] as f, v * 0.8 as l, lead(v, 3) over w as z, lag(v, 3) over w as y from daily window w as ({BY})), g as (select * from x where z is not null and y is not null), h as (select k, list_min(a) <= l as hit, list_min(f) <= l as said, abs(list_position(a, list_min(a)) - list_position(f, list_min(f))) as p from g) select k, count(*) as n, round(sum((hit and said)::int) / sum(said::int), 6) as precision, round(sum((hit and said)::int) / sum(hit::int), 6) as recall, quantile_cont(p, 0.5) as timing_error from h group by 1")
+def dip_precision_recall(spark, sf_dir):
+    w = Window.partitionBy("k").orderBy("d")
+    d = daily(spark, sf_dir).select("k", F.array(*[F.lead("v", i).over(w) for i in (1, 2, 3)]).alias("a"), F.array(*[F.lag("v", i).over(w) for i in (1, 2, 3)]).alias("f"), (F.col("v") * 0.8).alias("l"))
+    m = A.array_minima(d.where("a[2] is not null and f[2] is not null"), ["k"], "a", "f", "l")
+    return m.select("k", "n", r("precision", 6).alias("precision"), r("recall", 6).alias("recall"), "timing_error")
