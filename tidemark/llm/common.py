@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import math
 import os
 import shutil
 import tempfile
+import time
 import uuid
 
 import pyarrow as pa
@@ -41,7 +43,10 @@ class Workspace:
 
     def release(self) -> None:
         """Let the driver's cleaner see the plans that are out of use, so that their shuffle files are deleted."""
-        self.spark.sparkContext._jvm.System.gc()
+        for _ in range(2):  # the cleaner works beside us; give it the time to
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(0.25)
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete written tables that no later step reads."""

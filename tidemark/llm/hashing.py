@@ -150,25 +150,30 @@ def anchors(symbols: np.ndarray, ptr: np.ndarray, window: int, k: int) -> dict[s
 
 
 def pack_sorted(keys: np.ndarray) -> bytes:
-    """Sorted 64-bit keys as differences of as few whole bytes as the largest needs; the first byte says how many."""
+    """Sorted 64-bit keys: the first, then the differences in as few whole bytes each as the largest needs."""
     if not len(keys):
-        return b"\x01"
-    gaps = keys.copy()
-    gaps[1:] -= keys[:-1]
-    width = max(1, (int(gaps.max()).bit_length() + 7) // 8)
-    return bytes([width]) + np.ascontiguousarray(gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+        return b""
+    gaps = keys[1:] - keys[:-1]
+    width = max(1, (int(gaps.max()).bit_length() + 7) // 8) if len(gaps) else 1
+    return keys[:1].astype("<u8").tobytes() + bytes([width]) + np.ascontiguousarray(gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
 
 
 def unpack_sorted(blob: bytes) -> np.ndarray:
-    width = blob[0]
-    raw = np.frombuffer(blob, np.uint8, offset=1).reshape(-1, width)
-    full = np.zeros((len(raw), 8), np.uint8)
-    full[:, :width] = raw
+    if not blob:
+        return np.zeros(0, np.uint64)
+    width = blob[8]
+    raw = np.frombuffer(blob, np.uint8, offset=9).reshape(-1, width)
+    full = np.zeros((len(raw) + 1, 8), np.uint8)
+    full[0] = np.frombuffer(blob, np.uint8, 8)
+    full[1:, :width] = raw
     return np.cumsum(full.view("<u8").ravel().astype(np.uint64), dtype=np.uint64)
 
 
-def crc_text(doc_id: "pa.Array") -> np.ndarray:
-    """crc32 of each id written as text; -1 for a null id."""
-    import zlib
+def pack_counts(n: np.ndarray) -> bytes:
+    """Counts in 1, 2 or 4 bytes each, as the largest needs; the first byte says how many."""
+    width = 1 if not len(n) or n.max() < 1 << 8 else 2 if n.max() < 1 << 16 else 4
+    return bytes([width]) + n.astype(f"<u{width}").tobytes()
 
-    return np.array([-1 if x is None else zlib.crc32(str(x).encode()) for x in doc_id.to_pylist()], np.int64)
+
+def unpack_counts(blob: bytes) -> np.ndarray:
+    return np.frombuffer(blob, f"<u{blob[0]}", offset=1).astype(np.int64)

@@ -1,13 +1,13 @@
 """N-gram Jaccard join: a blocked sparse product of the document by n-gram incidence matrix.
 
 Rows of the matrix are the distinct shingle sets (documents with equal sets are one row), columns the shingles, rarest first by
-a sketch of all shingles' counts. By size bounds a pair that links must share a column among the first
-n - ceil(t n) + 1 of both rows, so only that part of the matrix is multiplied, column block by column block; overlap counts
-are added up per pair. Pairs whose sizes, or whose parity sketches (an exact lower bound of the symmetric difference), rule
-the limit out are discarded, the rest is verified by the exact sets.
+a sketch of all shingles' counts. By size bounds a pair that links must share at least k columns among the first
+n - ceil(t n) + k of both rows (k = 1 + n / 50 of the smaller row), so only that part of the matrix is multiplied, column by
+column; overlap counts are added up per pair. Pairs whose overlap count, sizes or parity sketches (an exact lower bound of the
+symmetric difference) rule the limit out are discarded, the rest is verified by the exact sets.
 
-Components need no more links than connect them: a first product pairs each row of a column with the column's least and
-greatest row only. Then columns that still hold several components are multiplied in full between components. So every
+Components need no more links than connect them: a first product pairs each row of a column with the column's least row
+only. Then columns that still hold several components are multiplied in full between components. So every
 pair of different components that could link is judged, while a large group of near copies costs as much as its rows.
 
 The limit is `percent` in whole numbers: 100 * intersection >= percent * union. Null and empty texts have no shingles and link
@@ -23,9 +23,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import Workspace, connected_components
-from tidemark.llm.hashing import LOWER, Rolling, Words, mix, row_runs, signed, slices
+from tidemark.llm.hashing import LOWER, Rolling, Words, mix, pack_counts, row_runs, signed, slices, unpack_counts
 
-SLOT_BITS, SLOT_BLOCK = 20, 4096
+SLOT_BITS, SLOT_BLOCK, EXTRA = 22, 16384, 50
 
 
 def shingle_slices(text: pa.Array, width: int):
@@ -60,12 +60,12 @@ def column_classes(docs: DataFrame, text: str, width: int) -> np.ndarray:
                 n += np.bincount((h >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=len(n))
         blocks = n.reshape(-1, SLOT_BLOCK)
         some = np.flatnonzero(blocks.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([blocks[k].astype("<u4").tobytes() for k in some], pa.binary())], ["block", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([pack_counts(blocks[k]) for k in some], pa.binary())], ["block", "n"])
 
     def add(tab: pa.Table) -> pa.Table:
         total = np.zeros(SLOT_BLOCK, "<i8")
         for x in tab.column("n").to_pylist():
-            total += np.frombuffer(x, "<u4")
+            total += unpack_counts(x)
         return pa.table({"block": tab.column("block")[:1], "n": pa.array([total.tobytes()], pa.binary())})
 
     n = np.zeros((1 << SLOT_BITS) // SLOT_BLOCK * SLOT_BLOCK, np.int64).reshape(-1, SLOT_BLOCK)
@@ -94,7 +94,7 @@ def incidence(docs: DataFrame, width: int, percent: int, classes: np.ndarray, do
                         num[r, 1], num[r, 2] = m.sum(dtype=np.uint64), np.bitwise_xor.reduce(m)
                         bit = np.bincount((m & np.uint64(255)).astype(np.int64), minlength=256) & 1
                         num[r, 3:7] = np.packbits(bit.astype(np.uint8), bitorder="little").view("<u8")
-                        k = n - (percent * n + 99) // 100 + 1
+                        k = n - (percent * n + 99) // 100 + 1 + n // EXTRA
                         turn = np.lexsort((s, classes[(s >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]))[:k]
                         firsts.append(signed(s[turn]))
                     else:
@@ -106,6 +106,11 @@ def incidence(docs: DataFrame, width: int, percent: int, classes: np.ndarray, do
     return docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t")).mapInArrow(run, "id long, n long, s1 long, s2 long, b0 long, b1 long, b2 long, b3 long, first array<long>")
 
 
+def enough(overlap: str = "overlap") -> Column:
+    """Size-derived bound on the overlap count within the multiplied part."""
+    return F.col(overlap) >= 1 + F.floor(F.least("a_n", "b_n") / EXTRA)
+
+
 def possible(percent: int) -> Column:
     """Size bound and parity bound of a pair with columns a_*, b_*."""
     small, large, both = F.least("a_n", "b_n"), F.greatest("a_n", "b_n"), F.col("a_n") + F.col("b_n")
@@ -121,16 +126,18 @@ def jaccard_components(docs: DataFrame, work: Workspace, width: int = 3, percent
     rows = sets.where("n > 0 and id is not null").groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), *[F.first(c).alias(c) for c in info])
     rows = work.table(rows, "rows")
     light = rows.select("rep", "n", *info)
-    cols = sets.where("n > 0 and id is not null").select("id", F.explode("first").alias("col")).join(rows.select(F.col("rep").alias("id")), "id", "left_semi").distinct()
-    cols = work.table(cols.withColumnRenamed("id", "rep"), "columns")
-    shared = cols.groupBy("col").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")
+    cols = sets.where("n > 0 and id is not null").select("id", "n", "first").join(rows.select(F.col("rep").alias("id")), "id", "left_semi")
+    cols = cols.select(F.col("id").alias("rep"), "n", F.explode("first").alias("col"))
+    shared = cols.groupBy("col").agg(F.min(F.struct("rep", "n")).alias("lo"), F.max("rep").alias("hi")).where("lo.rep < hi")
+    shared = work.table(shared.select("col", F.col("lo.rep").alias("lo"), F.col("lo.n").alias("lo_n")), "shared")
     hits = work.table(cols.join(shared, "col"), "hits")
-    work.drop(cols)
-    texts = docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("t"))
-    texts = texts.join(hits.select("rep").distinct(), "rep", "left_semi").groupBy("rep").agg(F.first("t").alias("t"))
-    texts = work.table(texts, "texts")
+    work.drop(shared)
+    texts_of = docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("t"))
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
+        pairs = work.table(pairs.select("a", "b"), f"pairs_{name}")
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+        texts = work.table(texts_of.join(ids, "rep", "left_semi").groupBy("rep").agg(F.first("t").alias("t")), f"texts_{name}")
         left, right = texts.select(F.col("rep").alias("a"), F.col("t").alias("ta")), texts.select(F.col("rep").alias("b"), F.col("t").alias("tb"))
         both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
 
@@ -142,14 +149,15 @@ def jaccard_components(docs: DataFrame, work: Workspace, width: int = 3, percent
                 ok = pa.array(100 * same >= percent * size)
                 yield pa.RecordBatch.from_arrays([b.column("a").filter(ok), b.column("b").filter(ok)], ["a", "b"])
 
-        return work.table(both.mapInArrow(exact, "a long, b long"), name)
+        found = work.table(both.mapInArrow(exact, "a long, b long"), name)
+        work.drop(texts)
+        return found
 
     def side(k: str) -> DataFrame:
         return light.select(F.col("rep").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in ("n", *info)])
 
-    star = hits.where("rep > lo").select(F.col("lo").alias("a"), F.col("rep").alias("b")).unionByName(hits.where("rep < hi and rep > lo").select(F.col("rep").alias("a"), F.col("hi").alias("b")))
-    star = star.groupBy("a", "b").agg(F.count(F.lit(1)).alias("overlap"))
-    near = star.join(side("a"), "a").join(side("b"), "b").where(possible(percent)).select("a", "b", "overlap")
+    star = hits.where("rep > lo").groupBy(F.col("lo").alias("a"), F.col("rep").alias("b"), F.col("lo_n").alias("a_n"), F.col("n").alias("b_n")).agg(F.count(F.lit(1)).alias("overlap")).where(enough()).select("a", "b")
+    near = star.join(side("a"), "a").join(side("b"), "b").where(possible(percent))
     links = verified(near, "links1")
     comp = connected_components(links, work)
     at = hits.select("col", "rep").join(comp.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
@@ -159,8 +167,8 @@ def jaccard_components(docs: DataFrame, work: Workspace, width: int = 3, percent
     a = at.where("comp <> most").select("col", "most", F.col("rep").alias("a"), F.col("comp").alias("a_comp"), *[F.col(c).alias(f"a_{c}") for c in ("n", *info)])
     b = at.select("col", F.col("rep").alias("b"), F.col("comp").alias("b_comp"), *[F.col(c).alias(f"b_{c}") for c in ("n", *info)])
     cross = (F.col("a_comp") != F.col("b_comp")) & ((F.col("b_comp") == F.col("most")) | (F.col("a") < F.col("b")))
-    rest = a.join(b, (a["col"] == b["col"]) & cross & possible(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = verified(rest.groupBy("a", "b").agg(F.count(F.lit(1)).alias("overlap")), "links2")
+    rest = a.join(b, (a["col"] == b["col"]) & cross & possible(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("a_n", "b_n").alias("a_n"), F.greatest("a_n", "b_n").alias("b_n"))
+    more = verified(rest.groupBy("a", "b", "a_n", "b_n").agg(F.count(F.lit(1)).alias("overlap")).where(enough()), "links2")
     all_links = links.unionByName(more)
     comp = connected_components(all_links, work)
     degree = all_links.unionByName(all_links.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("rep")).agg(F.count(F.lit(1)).alias("links"))
