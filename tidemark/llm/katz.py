@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import Workspace, parts_for
-from tidemark.llm.hashing import LOWER, Rolling, Words, mix, pack_sorted, row_runs, slices, unpack_sorted
+from tidemark.llm.hashing import LOWER, Rolling, Words, mix, pack_counts, pack_sorted, row_runs, slices, unpack_counts, unpack_sorted
 
 BEGIN, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 TURING = 5
@@ -154,19 +154,19 @@ def score(docs: DataFrame, trained: Column, work: Workspace, order: int = 2, lea
             cut = bounds(s.keys[k - 1], buckets)
             for b in np.flatnonzero(np.diff(cut)):
                 part = slice(cut[b], cut[b + 1])
-                for c, v in (("g", g), ("ord", k), ("bucket", int(b)), ("keys", pack_sorted(s.keys[k - 1][part])), ("counts", n[part].tobytes())):
+                for c, v in (("g", g), ("ord", k), ("bucket", int(b)), ("keys", pack_sorted(s.keys[k - 1][part])), ("counts", pack_counts(n[part]))):
                     out[c].append(v)
         out["g"].append(g)
         out["ord"].append(0)
         out["bucket"].append(g % buckets)
-        out["keys"].append(b"\x01")
-        out["counts"].append(np.array([train.sum()], "<u4").tobytes())
+        out["keys"].append(b"")
+        out["counts"].append(pack_counts(np.array([int(train.sum())])))
         return pa.table({"g": pa.array(out["g"], pa.int32()), "ord": pa.array(out["ord"], pa.int32()), "bucket": pa.array(out["bucket"], pa.int32()), "keys": pa.array(out["keys"], pa.binary()), "counts": pa.array(out["counts"], pa.binary())})
 
     def totals(tab: pa.Table) -> pa.Table:
         k, b = tab.column("ord")[0].as_py(), tab.column("bucket")[0].as_py()
         gs = tab.column("g").to_numpy()
-        counts = [np.frombuffer(x, "<u4") for x in tab.column("counts").to_pylist()]
+        counts = [unpack_counts(x) for x in tab.column("counts").to_pylist()]
         if k == 0:
             blobs, gs, stat = [], [], np.array([sum(int(c.sum()) for c in counts)])
         else:
@@ -225,7 +225,7 @@ def score(docs: DataFrame, trained: Column, work: Workspace, order: int = 2, lea
             _, first = np.unique(s.at[k - 1], return_index=True)  # one occurrence of each n-gram
             mine = first[kept[first] & owned[k - 1][s.at[k - 1][first]]]
             n = len(s.keys[k - 2]) + 1
-            a, b = np.bincount(ctx[mine] % n, share[mine], n), np.bincount(ctx[mine] % n, below[mine], n)
+            a, b = (np.bincount(ctx[mine] % n, x[mine], n).astype(float) for x in (share, below))
             total = np.append(counts[k - 2], model.train_docs)
             some = total >= least
             key = np.append(s.keys[k - 2], mix(np.array([BEGIN]))).view(np.int64)
@@ -259,7 +259,7 @@ def score(docs: DataFrame, trained: Column, work: Workspace, order: int = 2, lea
         for k in range(2, order + 1):  # the longest context that the token has decides
             p[place[s.last[k - 1]]] = model.probability(s, counts, weights, k)
         base = np.log10((c + 0.5) / (model.tokens + 0.5 * (model.types + 1)))
-        cols = {"n_tokens": np.bincount(row, minlength=s.docs), "n_known": np.bincount(row, c > 0, s.docs).astype(np.int64), "train_tokens": np.full(s.docs, model.tokens), "base_score": np.bincount(row, base, s.docs), "score": np.bincount(row, np.log10(p), s.docs)}
+        cols = {"n_tokens": np.bincount(row, minlength=s.docs), "n_known": np.bincount(row, c > 0, s.docs).astype(np.int64), "train_tokens": np.full(s.docs, model.tokens), "base_score": np.bincount(row, base, s.docs).astype(float), "score": np.bincount(row, np.log10(p), s.docs).astype(float)}
         return pa.table({**{c: left.column(c) for c in kinds}, **{c: pa.array(v) for c, v in cols.items()}})
 
     out = src.groupBy("g").cogroup(replies.groupBy("g")).applyInArrow(final, schema)
