@@ -115,10 +115,10 @@ def dense_rank(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def remove_repeats(docs: DataFrame, work: Workspace, window: int = WINDOW, gram: int = GRAM, doc_id: str = "doc_id", text: str = "text", digest: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, work: Workspace, window: int = WINDOW, gram: int = GRAM, doc_id: str = "doc_id", text: str = "text", digest: bool = True, split: int = SPLIT) -> DataFrame:
     """Each row's doc_id, n_words, n_removed and kept_sha256, or with digest False the kept words joined by a space as `kept`."""
     src = keyed(docs, doc_id, text)
-    spans = by_document(repeated_spans(src, work, window, gram), "from", "to")
+    spans = by_document(repeated_spans(src, work, window, gram, split), "from", "to")
     both = src.join(spans, ["id", "rk"], "left").select("id", "t", "spans")
 
     def cut(batches):
