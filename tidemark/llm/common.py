@@ -33,12 +33,16 @@ class Workspace:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.at = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
-    def table(self, df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-        """Write df as parquet and return the written table; shuffle files of the stages before it may then go."""
+    def table(self, df: DataFrame, name: str, partition_by: list[str] | None = None, release: bool = True) -> DataFrame:
+        """Write df as parquet and return the written table; shuffle files of the stages before it may then go.
+
+        release False: for small tables, whose shuffle files need not go at once.
+        """
         out = f"{self.at}/{name}-{uuid.uuid4().hex[:6]}"
         writer = df.write.option("compression", "zstd")
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(out)
-        self.release()
+        if release:
+            self.release()
         return self.spark.read.schema(df.schema).parquet(out)
 
     def release(self) -> None:
@@ -92,13 +96,13 @@ def connected_components(edges: DataFrame, work: Workspace, most_rounds: int = 6
     """
     e = edges.where("a is not null and b is not null and a <> b").select("a", "b")
     both = work.table(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    label = work.table(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
+    label = work.table(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels", release=False)
     for _ in range(most_rounds):
         near = both.join(label.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
         low = label.join(near, "id", "left").select("id", F.col("component").alias("was"), F.least("component", "near").alias("c"))
         jump = label.select(F.col("id").alias("c"), F.col("component").alias("c2"))
         new = low.join(jump, "c", "left").select("id", "was", F.least("c", "c2").alias("component"))
-        done = work.table(new, "round")
+        done = work.table(new, "round", release=False)
         changed = done.where("component <> was").limit(1).count()
         label = done.select("id", "component")
         if not changed:

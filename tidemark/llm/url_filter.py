@@ -78,14 +78,14 @@ def template_tree(pages: DataFrame, work: Workspace, host: str = "host", path: s
     label = F.when(F.col(bad).isNotNull(), 1).otherwise(0)
     keys = ["tt_host", *segs, "tt_deep"]
     counts = [F.count(F.lit(1)).alias("n"), F.sum(label).alias("l"), F.sum(F.when(F.col(bad) == 1, 1).otherwise(0)).alias("b")]
-    t = work.table(d.withColumnRenamed(host, "tt_host").groupBy(*keys).agg(*counts), "paths")
+    t = work.table(d.withColumnRenamed(host, "tt_host").groupBy(*keys).agg(*counts), "paths", release=False)
     more = [F.sum(c).alias(c) for c in ("n", "l", "b")]
     all_l, all_b = t.agg(F.coalesce(F.sum("l"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0))).first()
     hosts = t.groupBy("tt_host").agg(*more).select("tt_host", smoothed(F.col("b"), F.col("l"), F.lit((all_b + 1.0) / (all_l + 2.0))).alias("p"))
-    t = work.table(t.join(hosts, "tt_host").withColumn("node", F.lit("")), "level0")
+    t = work.table(t.join(hosts, "tt_host").withColumn("node", F.lit("")), "level0", release=False)
     for k, seg in enumerate(segs):
         kids = t.where(F.col(seg).isNotNull()).groupBy("tt_host", "node", F.col(seg).alias("seg")).agg(*more, F.first("p").alias("up"))
-        kids = work.table(kids, f"children{k}")
+        kids = work.table(kids, f"children{k}", release=False)
         parent = kids.groupBy("tt_host", "node").agg(F.count(F.lit(1)).alias("kids"), F.sum("l").alias("pl"), F.sum("b").alias("pb"))
         kids = kids.join(parent, ["tt_host", "node"])
         others = F.col("pl") - F.col("l")
@@ -94,14 +94,14 @@ def template_tree(pages: DataFrame, work: Workspace, host: str = "host", path: s
         apart = F.abs(F.try_divide("b", "l") - F.try_divide(F.col("pb") - F.col("b"), others))
         differs = F.when((F.col("l") > 0) & (others > 0) & (pooled > 0) & (pooled < 1), apart > SIGNIFICANT * spread).otherwise(F.lit(False))
         rare = (F.col("kids") > WIDE) & (F.col("n") < SUPPORT)
-        kids = work.table(kids.withColumn("child", F.when(differs & ~rare, F.col("seg")).otherwise(F.lit("*"))), f"merged{k}")
+        kids = work.table(kids.withColumn("child", F.when(differs & ~rare, F.col("seg")).otherwise(F.lit("*"))), f"merged{k}", release=False)
         branch = kids.groupBy("tt_host", "node", "child").agg(F.sum("l").alias("l"), F.sum("b").alias("b"), F.first("up").alias("up"))
         branch = branch.select("tt_host", "node", "child", smoothed(F.col("b"), F.col("l"), F.col("up")).alias("new"))
-        step = work.table(kids.select("tt_host", "node", "seg", "child").join(branch, ["tt_host", "node", "child"]), f"branches{k}")
+        step = work.table(kids.select("tt_host", "node", "seg", "child").join(branch, ["tt_host", "node", "child"]), f"branches{k}", release=False)
         step = step.select(*[F.col(c).alias(f"x_{c}") for c in step.columns])
         t = t.join(step, (F.col("tt_host") == F.col("x_tt_host")) & (F.col("node") == F.col("x_node")) & (F.col(seg) == F.col("x_seg")), "left")
         t = t.withColumn("node", F.when(F.col("x_child").isNull(), F.col("node")).otherwise(F.concat("node", F.lit("/"), "x_child"))).withColumn("p", F.coalesce("x_new", "p"))
-        t = work.table(t.select(*keys, "n", "l", "b", "p", "node"), f"level{k + 1}")
+        t = work.table(t.select(*keys, "n", "l", "b", "p", "node"), f"level{k + 1}", release=False)
     t = t.select(*[F.col(c).alias(f"x_{c}") for c in keys], F.concat("node", F.when(F.col("tt_deep"), F.lit("/**")).otherwise(F.lit(""))).alias("template"), F.col("p").alias("purity"))
     d = d.join(t, same_path(d, t, host, segs), "left")
     return d.drop(*segs, "tt_deep", *[f"x_{c}" for c in keys])
