@@ -88,15 +88,40 @@ def over_three(x: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def block_sums(number: np.ndarray, block: np.ndarray, total: int, table: np.ndarray) -> np.ndarray:
-    """Sum of table rows over the known words of each block."""
-    known = number >= 0
-    n, b = number[known] % len(table), block[known]
-    out = np.zeros((total, table.shape[1]), table.dtype)
-    if len(n):
-        start = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1])))
-        out[b[start]] = np.add.reduceat(table[n], start, axis=0)
-    return out
+class Incidence:
+    """The block by word matrix of a slice: its most frequent words as a dense part, for matrix products, the others as a list."""
+
+    COMMON = 256
+
+    def __init__(self, number: np.ndarray, block: np.ndarray, total: int, dims: int):
+        known = number >= 0
+        n, b = number[known] % dims, block[known]
+        count = np.bincount(n, minlength=dims)
+        k = min(self.COMMON, dims)
+        self.common = np.argpartition(-count, k - 1)[:k]
+        place = np.full(dims, -1)
+        place[self.common] = np.arange(k)
+        at = place[n]
+        dense = at >= 0
+        self.dense = np.bincount(b[dense] * k + at[dense], minlength=total * k).reshape(total, k).astype(np.float32)
+        self.word, self.block, self.total = n[~dense], b[~dense], total
+
+    def times(self, table: np.ndarray) -> np.ndarray:
+        """The matrix times a words x k table."""
+        out = self.dense @ table[self.common]
+        if len(self.word):
+            start = np.flatnonzero(np.concatenate(([True], self.block[1:] != self.block[:-1])))
+            out[self.block[start]] += np.add.reduceat(table[self.word], start, axis=0)
+        return out
+
+    def add_transposed(self, y: np.ndarray, total: np.ndarray) -> None:
+        """total += the transposed matrix times a blocks x k table."""
+        total[self.common] += self.dense.T @ y
+        if len(self.word):
+            turn = np.argsort(self.word, kind="stable")
+            n, z = self.word[turn], self.block[turn]
+            start = np.flatnonzero(np.concatenate(([True], n[1:] != n[:-1])))
+            total[n[start]] += np.add.reduceat(y[z], start, axis=0)
 
 
 def add_up(df: DataFrame, column: str) -> np.ndarray:
@@ -146,15 +171,10 @@ def basis(docs: DataFrame, bench: Bench, idf: np.ndarray, rank: int, seed: int =
         for b in batches:
             for _, off, data in slices(b.column("t")):
                 number, block, first, _ = blocks(bench, off, data)
-                y = block_sums(number, block, int(first[-1]), weighed)
+                part = Incidence(number, block, int(first[-1]), bench.dims)
+                y = part.times(weighed)
                 y /= np.maximum(1e-6, np.sqrt((y * y).sum(axis=1)))[:, None]  # no passage outweighs others
-                known = number >= 0
-                n, z = number[known] % bench.dims, block[known]
-                if len(n):
-                    turn = np.argsort(n, kind="stable")
-                    n, z = n[turn], z[turn]
-                    start = np.flatnonzero(np.concatenate(([True], n[1:] != n[:-1])))
-                    total[n[start]] += np.add.reduceat(y[z], start, axis=0)
+                part.add_transposed(y, total)
         out = list(pieces(total, 256, rank))
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], ["part", "y"])
 
@@ -229,7 +249,7 @@ def leaks_of(src: DataFrame, bench: Bench, kind: str, rank: int) -> DataFrame |
             rows, item, cosine, kept = [], [], [], []
             for i, off, data in slices(b.column("t")):
                 number, block, first, ptr = blocks(bench, off, data)
-                z = over_three(block_sums(number, block, int(first[-1]), table), first)
+                z = over_three(Incidence(number, block, int(first[-1]), bench.dims).times(table), first)
                 z /= np.maximum(1e-9, np.sqrt((z * z).sum(axis=1)))[:, None]
                 row = np.repeat(np.arange(len(first) - 1), np.diff(first))
                 for s in range(0, len(z), 4096):
