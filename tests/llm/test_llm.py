@@ -334,3 +334,21 @@ def test_pipeline(spark):
             items = [r["text"] for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
             assert {r["doc_id"] for r in before.collect() if any(t in r["text"] for t in items)} == {r["doc_id"] for r in before.collect()} - {r["doc_id"] for r in docs.collect()}
     assert sizes[0] > sizes[1] > sizes[2] == sizes[3] > sizes[4] == sizes[5]
+
+
+def null_and_repeated_ids(spark):
+    """Rows with null and repeated ids, a passage that two of them hold, and the text of a near copy."""
+    r = random.Random(21)
+    item, near = prose(40, r), prose(150, r).split()
+    other = " ".join([*near[:-1], "another"])
+    rows = [(None, prose(100, r) + " " + item + " " + prose(60, r)), (None, prose(150, r)), (7, prose(150, r)), (7, prose(150, r)), (8, " ".join(near)), (None, other), (9, item)]
+    return spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long"), rows, item, other
+
+
+def test_pipeline_leaks_by_row(spark, tmp_path):
+    import corpus_pipeline as C
+
+    d, rows, item, _ = null_and_repeated_ids(spark)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    clean = C.benchmark_leaks(spark, d, str(tmp_path))
+    assert clean.columns == C.COLUMNS and sorted(x["text"] for x in clean.collect()) == sorted(t for _, t in rows[1:6])

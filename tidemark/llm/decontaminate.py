@@ -272,9 +272,15 @@ def leaks_of(src: DataFrame, bench: Bench, kind: str, rank: int) -> DataFrame |
     return src.mapInArrow(search, f"k {kind}, item string, cosine double, kept double")
 
 
-def judge(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
-    """One row for each row of docs: doc_id, contaminated, item_id (of the best match, least id of equals), kept share, n_hits."""
-    hits = find_leaks(docs, benchmark, doc_id=doc_id, **options)
+def judge(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None, **options) -> DataFrame:
+    """One row for each row of docs: doc_id, columns keep, contaminated, item_id (of the best match, least id of equals), kept share, n_hits.
+
+    Rows are judged by their own text, by a hash of id and text: null ids and ids that occur twice do no harm.
+    """
+    row = F.xxhash64(doc_id, text)
+    hits = find_leaks(docs.select(row.alias("row"), F.col(text).alias("t")), benchmark, doc_id="row", text="t", **options)
     best = hits.groupBy("row_key").agg(F.max("kept").alias("kept"), F.min(F.struct((-F.col("kept")).alias("s"), "item_id"))["item_id"].alias("item_id"), F.count(F.lit(1)).alias("n_hits"))
-    out = docs.select(F.col(doc_id)).join(best, docs[doc_id].eqNullSafe(best["row_key"]), "left")
-    return out.select(docs[doc_id], F.col("n_hits").isNotNull().alias("contaminated"), "item_id", F.coalesce("kept", F.lit(0.0)).alias("kept"), F.coalesce("n_hits", F.lit(0)).alias("n_hits"))
+    names = [doc_id, *(keep or [])]
+    src = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(names)], row.alias("row"))
+    out = src.join(best.withColumnRenamed("row_key", "row"), "row", "left")
+    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(names)], F.col("n_hits").isNotNull().alias("contaminated"), "item_id", F.coalesce("kept", F.lit(0.0)).alias("kept"), F.coalesce("n_hits", F.lit(0)).alias("n_hits"))
