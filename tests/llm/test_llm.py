@@ -352,3 +352,11 @@ def test_pipeline_leaks_by_row(spark, tmp_path):
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     clean = C.benchmark_leaks(spark, d, str(tmp_path))
     assert clean.columns == C.COLUMNS and sorted(x["text"] for x in clean.collect()) == sorted(t for _, t in rows[1:6])
+
+
+def test_pipeline_near_copies_by_row(spark):
+    import corpus_pipeline as C
+
+    d, rows, _, other = null_and_repeated_ids(spark)
+    left = C.near_copies(spark, d, "")
+    assert left.columns == C.COLUMNS and sorted(x["text"] for x in left.collect()) == sorted(t for _, t in rows if t != other)
