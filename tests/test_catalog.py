@@ -31,3 +31,12 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_whole_tables(spark, con, sf_dir):
+    """Queries without a cut: every day, every month of two points and every id."""
+    daily = "(select distinct o_orderpriority as k, cast(o_orderdate as date) as d from orders)"
+    n = {x: Q[x](spark, sf_dir).count() for x in ("kalman_levels", "back_adjusted_history", "theil_sen_every_month", "union_newest_wins_all")}
+    days = con.execute(f"select count(*) from {daily}").fetchone()[0]
+    months = con.execute(f"select count(*) from (select 1 from {daily} group by k, date_trunc('month', d) having count(*) > 1)").fetchone()[0]
+    assert n == {"kalman_levels": days, "back_adjusted_history": days, "theil_sen_every_month": months, "union_newest_wins_all": con.execute("select count(*) from customer").fetchone()[0]}

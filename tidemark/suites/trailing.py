@@ -80,6 +80,7 @@ def ewma_shifted(spark, sf_dir):
 
 @query(f"with {DAILY}, x as (select *, case when abs(ln(v / lag(v) over ({BY}))) > 0.6 then ln(v / lag(v) over ({BY})) else 0 end as j from daily) select k, d, round(ln(v * exp(coalesce(sum(j) over ({BY} rows between 1 following and unbounded following), 0))), 8) as adjusted from x where d >= date '1998-01-01'")
 def back_adjusted(spark, sf_dir):
+    """Days from 1998 on only; back_adjusted_history has all."""
     w = Window.partitionBy("k").orderBy("d")
     d = daily(spark, sf_dir)
     d = d.withColumn("jump", F.coalesce(F.abs(F.ln(F.col("v") / F.lag("v").over(w))) > 0.6, F.lit(False))).where("d >= date'1998-01-01'")
@@ -87,6 +88,14 @@ def back_adjusted(spark, sf_dir):
     return W.back_adjust(d, ["k"], "d", "v", F.col("jump")).select("k", "d", r(F.ln("adjusted"), 8).alias("adjusted"))
 
 
+@query(f"with {DAILY}, x as (select *, case when abs(ln(v / lag(v) over ({BY}))) > 0.6 then ln(v / lag(v) over ({BY})) else 0 end as j from daily) select k, d, round(ln(v * exp(coalesce(sum(j) over ({BY} rows between 1 following and unbounded following), 0))), 8) as adjusted from x")
+def back_adjusted_history(spark, sf_dir):
+    w = Window.partitionBy("k").orderBy("d")
+    jump = F.coalesce(F.abs(F.ln(F.col("v") / F.lag("v").over(w))) > 0.6, F.lit(False))
+    d = daily(spark, sf_dir).withColumn("jump", jump)
+    return W.back_adjust(d, ["k"], "d", "v", F.col("jump")).select("k", "d", r(F.ln("adjusted"), 8).alias("adjusted"))
+
+
 @query(f"with {DAILY} select a.k, a.d, round(a.v - b.v, 2) as change_7 from daily a left join daily b on a.k = b.k and a.d = b.d + 7")
 def seasonal_change_7(spark, sf_dir):
     return W.seasonal_change(daily(spark, sf_dir), ["k"], "d", "v", 7, "c").select("k", "d", r("c", 2).alias("change_7"))
@@ -217,7 +226,7 @@ def kalman_levels(spark, sf_dir):
     from tidemark.plans.models import kalman
 
     w = Window.partitionBy("k").orderBy("d")
-    d = daily(spark, sf_dir).where("d >= date'1998-01-01'").withColumn("s2", F.when(F.col("n") % 2 == 0, F.lag("v").over(w)))
+    d = daily(spark, sf_dir).withColumn("s2", F.when(F.col("n") % 2 == 0, F.lag("v").over(w)))
     return kalman(d, ["k"], "d", ["v", "s2"], 1e6, [1e7, 2e7])
 
 
