@@ -165,3 +165,38 @@ class Katz:
         for i, w in self.tokens.items():
             base = sum(math.log10((self.one[x] + 0.5) / (self.n + 0.5 * (v + 1))) for x in w)
             yield i, (len(w), sum(self.one[x] > 0 for x in w), self.n, base, sum(math.log10(self.p2(a, b)) for a, b in zip(["^", *w], w)))
+
+
+def leaks(rows, items):
+    """(doc, item) pairs by the definition: all windows of three blocks against all passages; items of up to 64 words.
+
+    Of words as rare as the third rarest, all are the answer.
+    """
+    cut = lambda t: WORD.findall(lower((t or "").encode()))
+    passages = [(i, w) for i, w in ((i, cut(t)) for i, t in items) if len(w) >= 5]
+    vocab, total, seen = {x for _, w in passages for x in w}, 0, Counter()
+    blocks = {d: [w[k : k + 32] for k in range(0, len(w), 32)] for d, w in ((d, cut(t)) for d, t in rows)}
+    for own in blocks.values():
+        total += len(own)
+        for x in own:
+            seen.update(vocab & set(x))
+    idf = {x: max(0.01, math.log((total + 1) / (seen[x] + 0.5))) for x in vocab}
+    out = set()
+    for i, w in passages:
+        limit = sorted((idf[x] for x in set(w)), reverse=True)[:3][-1]
+        sure = {x for x in set(w) if idf[x] > limit}
+        tied = {x for x in set(w) if idf[x] == limit}
+        for d, own in blocks.items():
+            for k in range(len(own)):
+                held = [x for b in own[k : k + 3] for x in b]
+                if sum(x in held for x in w) < 0.5 * len(w):
+                    continue
+                row = [0] * (len(held) + 1)
+                for x in w:
+                    last = row
+                    row = [0]
+                    for p, y in enumerate(held):
+                        row.append(last[p] + 1 if x == y else max(row[-1], last[p + 1]))
+                if row[-1] / len(w) >= 0.8 or row[-1] / len(w) >= 0.5 and sure <= set(held) and tied <= set(held):
+                    out.add((d, i))
+    return out

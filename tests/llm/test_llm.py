@@ -231,6 +231,27 @@ def test_leaks(spark):
         assert common_subsequence(m, (1 << len(a)) - 1, b) == t[-1, -1]
 
 
+def test_leaks_of_many_items(spark):
+    """Thousands of items cut from texts of a skewed vocabulary: every pair that a plain search finds, verbatim ones in long documents too."""
+    from tests.llm.brute import leaks
+    from tidemark.llm.decontaminate import find_leaks, judge
+
+    r = random.Random(17)
+    vocab = ["".join(r.choice("abcdefghiklmnoprstu") for _ in range(6)) for _ in range(3000)]
+    share = [1 / (k + 2) for k in range(3000)]
+    texts = [r.choices(vocab, share, k=200) for _ in range(300)]
+    items = []
+    for k in range(3000):
+        at, n = r.randrange(130), r.randrange(10, 60)
+        items.append((k, " ".join(texts[k % 300][at : at + n])))
+    rows = [(k, " ".join(r.choices(vocab, share, k=70) + items[k][1].split() + r.choices(vocab, share, k=110))) for k in range(120)]
+    d, b = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert all(x["contaminated"] for x in judge(d, b).collect())
+    few = [*items[:60], (3001, "a b c d e f"), (3002, " ".join(vocab[:8]))]
+    got = {(x["row_key"], x["item_id"]) for x in find_leaks(d, spark.createDataFrame(few, "item_id long, text string")).collect()}
+    assert got >= {(k, k) for k in range(60)} and got == leaks(rows, few)
+
+
 def test_leaks_in_the_tables(spark):
     from tidemark.llm.queries import op3_decontaminate
 

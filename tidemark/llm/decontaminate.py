@@ -3,11 +3,13 @@
 Documents are cut into passages of three blocks of BLOCK words, one block apart. Words are weighed by TF-IDF over the benchmark's
 vocabulary, with document frequencies of all passages. The row space is found by a randomised SVD: each task multiplies its part of
 the passage matrix by a random matrix and by its own transpose, the sums give an orthonormal basis of RANK latent dimensions; the
-benchmark's rows weigh as much as all documents' together. Every passage is projected and compared by cosine with every benchmark
-passage, in blocks. Candidates are then checked by the longest common subsequence of words: a passage is a leak if it
-keeps at least VERBATIM of the benchmark passage's words in order, or at least PARAPHRASE of them and the answer. The answer is the
+benchmark's rows weigh as much as all documents' together. A passage is a leak if it keeps at least VERBATIM of the benchmark
+passage's words in order (their longest common subsequence), or at least PARAPHRASE of them and the answer. The answer is the
 item's answer column where one is given, else the item's ANSWER rarest words.
 
+Candidates are all pairs that the words both have, in any order, do not rule out (Overlap). No leak is lost there, however large the
+benchmark; the cosine in the latent space is reported for each leak and decides nothing.
+
 The benchmark is a stated query set: it is handled in blocks of at most MOST_ITEMS passages, which bounds what each task gets, whatever
 its size. Benchmark passages of fewer than LEAST words after splitting are not searched for. Null and empty texts are clean;
 an empty benchmark leaves all documents clean. Item ids may be null or repeat; the least matching id is reported.
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.hashing import LOWER, Words, slices
 
-BLOCK, PART, RANK, COSINE, VERBATIM, PARAPHRASE, ANSWER, LEAST = 32, 48, 128, 0.4, 0.8, 0.5, 3, 5
+BLOCK, PART, RANK, VERBATIM, PARAPHRASE, ANSWER, LEAST = 32, 48, 128, 0.8, 0.5, 3, 5
 MOST_ITEMS, MOST_WORDS = 8192, 1 << 16
 
 
@@ -78,14 +80,65 @@ def blocks(bench: Bench, off: np.ndarray, data: np.ndarray):
     return number, block, first, w.ptr
 
 
-def over_three(x: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Sums over each block and the two after it in the same row."""
-    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    out = x.copy()
-    for k in (1, 2):
-        if len(x) > k:
-            out[:-k] += x[k:] * (row[k:] == row[:-k])[:, None]
-    return out
+class Overlap:
+    """How many of each benchmark passage's words a window of three blocks holds, in any order, and how many of its answer's.
+
+    A product of the window by word presence matrix and a word by passage table, whose entries are the word's count in the passage plus
+    SHIFT where it is one of the answer: dense for the words that make most work, by lists of passages for the others.
+    """
+
+    COMMON, SHIFT, MOST_ANSWER, CELLS = 256, 4096, 2048, 1 << 22
+
+    def __init__(self, parts: list[np.ndarray], answers: list[frozenset], words: int, often: np.ndarray):
+        self.words, self.parts = words, len(parts)
+        asked = [sorted(x for x in a if x >= 0)[: self.MOST_ANSWER] for a in answers]
+        each = np.concatenate([*parts, *(np.array(a, np.int64) for a in asked)])
+        part = np.repeat(np.tile(np.arange(self.parts), 2), [len(x) for x in (*parts, *asked)])
+        value = np.repeat([1, self.SHIFT], [sum(map(len, parts)), sum(map(len, asked))])
+        key, at = np.unique(each * self.parts + part, return_inverse=True)
+        word, self.part = np.divmod(key, self.parts)
+        self.value = np.bincount(at, value, len(key)).astype(np.float32)
+        self.length = np.bincount(word, minlength=words)
+        self.start = np.cumsum(self.length) - self.length
+        k = min(self.COMMON, words)
+        common = np.argpartition(-self.length * (1.0 + often), k - 1)[:k]
+        self.place = np.full(words, -1)
+        self.place[common] = np.arange(k)
+        self.table = np.zeros((k, self.parts), np.float32)
+        own = self.place[word] >= 0
+        self.table[self.place[word[own]], self.part[own]] = self.value[own]
+        sizes = np.array([len(p) for p in parts])
+        self.verbatim, self.paraphrase = ((share * sizes - 1e-6).astype(np.float32) for share in (VERBATIM, PARAPHRASE))
+        self.answer = np.array([len(a) for a in asked], np.float32)
+
+    def candidates(self, number: np.ndarray, block: np.ndarray, first: np.ndarray):
+        """(windows, passages) of all pairs that can be leaks, a part of the windows at a time."""
+        known = number >= 0
+        key = np.unique(block[known] * self.words + number[known])
+        at, row = key // self.words, np.repeat(np.arange(len(first) - 1), np.diff(first))
+        held = [key]
+        for k in (1, 2):  # a window holds its block and the two after it in the same row
+            before = at >= k
+            before[before] = row[at[before] - k] == row[at[before]]
+            held.append(key[before] - k * self.words)
+        window, word = np.divmod(np.unique(np.concatenate(held)), self.words)
+        step = max(16, min(4096, self.CELLS // self.parts))
+        for s in range(0, int(first[-1]), step):
+            m = min(step, int(first[-1]) - s)
+            own = slice(*np.searchsorted(window, (s, s + m)))
+            w, x = window[own] - s, word[own]
+            place = self.place[x]
+            dense = np.zeros((m, len(self.table)), np.float32)
+            dense[w[place >= 0], place[place >= 0]] = 1
+            got = dense @ self.table
+            w, x = w[place < 0], x[place < 0]
+            n = self.length[x]
+            entry = np.repeat(self.start[x] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            got += np.bincount(np.repeat(w, n) * self.parts + self.part[entry], self.value[entry], m * self.parts).reshape(m, self.parts)
+            said = np.floor(got / self.SHIFT)
+            got -= said * self.SHIFT
+            hit, j = np.nonzero((got >= self.verbatim) | (got >= self.paraphrase) & (said >= self.answer))
+            yield hit + s, j
 
 
 class Incidence:
@@ -241,6 +294,8 @@ def leaks_of(src: DataFrame, bench: Bench, kind: str, rank: int) -> DataFrame |
         rare = sorted(set(p.tolist()), key=lambda x: (-idf[x % bench.dims], x))[:ANSWER]
         answers.append(frozenset(rare) if a is None else frozenset(a))
     ids = [bench.ids[r] for r in bench.item]
+    words = len(bench.vocab)
+    overlap = Overlap(bench.parts, answers, words, n[np.arange(words) % bench.dims])
 
     def search(batches):
         names = ["k", "item", "cosine", "kept"]
@@ -249,23 +304,19 @@ def leaks_of(src: DataFrame, bench: Bench, kind: str, rank: int) -> DataFrame |
             rows, item, cosine, kept = [], [], [], []
             for i, off, data in slices(b.column("t")):
                 number, block, first, ptr = blocks(bench, off, data)
-                z = over_three(Incidence(number, block, int(first[-1]), bench.dims).times(table), first)
-                z /= np.maximum(1e-9, np.sqrt((z * z).sum(axis=1)))[:, None]
                 row = np.repeat(np.arange(len(first) - 1), np.diff(first))
-                for s in range(0, len(z), 4096):
-                    c = z[s : s + 4096] @ own.T
-                    for p, j in zip(*np.nonzero(c >= COSINE)):
-                        r = row[s + p]
-                        at = ptr[r] + (s + p - first[r]) * BLOCK
-                        words = number[at : min(at + 3 * BLOCK, ptr[r + 1])].tolist()
-                        # no subsequence is longer than the words that both have
-                        if sum(m.bit_count() for x, m in masks[j].items() if x in words) < PARAPHRASE * sizes[j]:
-                            continue
+                for window, passage in overlap.candidates(number, block, first):
+                    for p, j in zip(window.tolist(), passage.tolist()):
+                        r = row[p]
+                        at = ptr[r] + (p - first[r]) * BLOCK
+                        held = number[at : min(at + 3 * BLOCK, ptr[r + 1])]
+                        words = held.tolist()
                         share = common_subsequence(masks[j], (1 << sizes[j]) - 1, words) / sizes[j]
                         if share >= VERBATIM or share >= PARAPHRASE and answers[j].issubset(words):
+                            z = table[held[held >= 0] % bench.dims].sum(axis=0)
                             rows.append(i + int(r))
                             item.append(ids[j])
-                            cosine.append(float(c[p, j]))
+                            cosine.append(float(z @ own[j] / max(1e-9, np.sqrt((z * z).sum()))))
                             kept.append(share)
             yield pa.RecordBatch.from_arrays([keys.take(pa.array(rows, pa.int64())), pa.array(item, pa.string()), pa.array(cosine, pa.float64()), pa.array(kept, pa.float64())], names)
 
