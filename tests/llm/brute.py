@@ -167,6 +167,41 @@ class Katz:
             yield i, (len(w), sum(self.one[x] > 0 for x in w), self.n, base, sum(math.log10(self.p2(a, b)) for a, b in zip(["^", *w], w)))
 
 
+def katz_scores(rows, order, least):
+    """Scores of a Katz model of any order, by recursion on plain dictionaries."""
+    tokens = {i: [*WORD.findall(lower((t or "").encode())), None] for i, t in rows}
+    train = [("^", *w) for i, w in tokens.items() if zlib.crc32(str(i).encode()) % 5 != 1]
+    counts = [Counter(w[p : p + k] for w in train for p in range(k == 1, len(w) - k + 1)) for k in range(1, order + 1)]
+    d = [Katz.turing(c, 1 if k == 0 else least) for k, c in enumerate(counts)]
+    after = defaultdict(list)
+    for k in range(1, order):
+        for g, c in counts[k].items():
+            if c >= least:
+                after[g[:-1]].append(g)
+    plain, weights = Katz(rows), {}
+
+    def total(h):
+        return len(train) if h == ("^",) else counts[len(h) - 1][h]
+
+    def share(g):
+        return Katz.disc(counts[len(g) - 1][g], d[len(g) - 1]) / total(g[:-1])
+
+    def weight(h):
+        if h not in weights:
+            own = sum(share(g) for g in after[h]) if h in after else 0.0
+            scale = 1.0 if own < 1 - 1e-9 else total(h) / (total(h) + 1) / own
+            weights[h] = (scale, (1 - scale * own) / max(1 - sum(p(g[1:]) for g in after[h]), 1e-12)) if own else (1.0, 1.0)
+        return weights[h]
+
+    def p(g):
+        if len(g) == 1:
+            return plain.p1(g[0])
+        scale, alpha = weight(g[:-1])
+        return scale * share(g) if counts[len(g) - 1][g] >= least else alpha * p(g[1:])
+
+    return {i: sum(math.log10(p(tuple(["^", *w][max(0, n + 2 - order) : n + 2]))) for n in range(len(w))) for i, w in tokens.items()}
+
+
 def leaks(rows, items):
     """(doc, item) pairs by the definition: all windows of three blocks against all passages; items of up to 64 words.
 

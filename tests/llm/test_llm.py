@@ -117,6 +117,19 @@ def test_katz(spark, docs):
                 assert g[4] == pytest.approx(want[i][4], rel=1e-9)
 
 
+def test_katz_longer_contexts_and_singletons(spark, docs, monkeypatch):
+    from tidemark.llm import katz, queries
+
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
+    for order, least in ((3, 1), (3, 2), (2, 1)):
+        want = B.katz_scores(ROWS, order, least)
+        got = {r["doc_id"]: r["score"] for r in katz.score(docs, ~held, Workspace(spark, "t"), order=order, least=least).collect()}
+        assert got == pytest.approx(want, rel=1e-9)
+    want = B.katz_scores(ROWS, 3, 1)
+    monkeypatch.setattr(queries, "table", lambda *_: docs)
+    assert {r["doc_id"]: r["score"] for r in queries.op4_katz(spark, "").collect()} == pytest.approx(want, rel=1e-9)
+
+
 def test_katz_sums_to_one():
     k = B.Katz(ROWS)
     for u in list(k.after)[:40]:

@@ -56,7 +56,7 @@ def op4_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held = F.coalesce(remainder("doc_id", 5) == 1, F.lit(False))
-    out = score(docs, ~held, Workspace(spark, "katz"), keep=["doc_id"])
+    out = score(docs, ~held, Workspace(spark, "katz"), order=3, least=1, keep=["doc_id"])
     return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
