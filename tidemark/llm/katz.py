@@ -1,18 +1,23 @@
 """Katz backoff language model: Good-Turing discounted n-gram counts with exactly normalised backoff weights.
 
-Documents are dealt into groups by a hash of their id. Each group lists its distinct n-grams (64-bit hashes, sorted and
+Documents are dealt into groups by a hash of the row. Each group lists its distinct n-grams (64-bit hashes, sorted and
 delta-coded) with their counts in training documents; lists of all groups meet in buckets of n-grams, where counts are added up,
 and each group gets the totals of its own n-grams back, in the order of its list. So an n-gram, however frequent, travels once
-from each group. Totals are kept in a table partitioned by n-gram length and are read by (group, bucket).
+from each group. The longest n-grams, which are the most, travel after the others, so that no two large exchanges lie on disk at
+once. Totals are kept in a table partitioned by kind and n-gram length and are read by (group, bucket).
 
-P(w|h) = d_c c(hw)/c(h) where c(hw) reaches the length's least count (1 for words, `least` for longer n-grams, a model parameter that
-leaves singletons to the backoff), else alpha(h) P(w|h'). d_c is Good-Turing's ratio for c up to 5, 1 beyond (also
+A context that only one group lists has all its continuations there, so that group works out its backoff weight alone. For the
+others each n-gram has one group that answers for it; a group sends what its n-grams add to a context, by the context's
+number among the bucket's shared n-grams (known from the exchange of the counts, so no key travels twice), and gets the weight back.
+
+P(w|h) = d_c c(hw)/c(h) where c(hw) reaches the length's least count (1 for words, `least` for longer n-grams: a model parameter; 1
+keeps singletons, more leaves them to the backoff), else alpha(h) P(w|h'). d_c is Good-Turing's ratio for c up to 5, 1 beyond (also
 where the counts of counts give no ratio between 0 and 1). alpha(h) spreads exactly what the kept n-grams of h leave over the
 words that they do not hold; where they leave nothing, 1/(c(h)+1) is set aside. Words unseen in training share one class, which
 holds what the discounted words leave. A text ends in an end token; its first word follows a begin mark.
 
-A null or empty text is just an end token. Null ids form one group and are not held out. Without any training document
-each token has probability 1. Texts are scored whole.
+A null or empty text is just an end token. Null ids are not held out. Without any training document each token has probability 1.
+Texts are scored whole; a row that occurs twice counts twice. Ties do not occur: counts decide nothing but probabilities.
 """
 
 from __future__ import annotations
@@ -24,19 +29,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import Workspace, parts_for
-from tidemark.llm.hashing import LOWER, Rolling, Words, mix, pack_counts, pack_sorted, row_runs, slices, unpack_counts, unpack_sorted
+from tidemark.llm.hashing import LOWER, Rolling, Words, pack_counts, pack_sorted, row_runs, slices, unpack_counts, unpack_sorted
 
 BEGIN, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 TURING = 5
-OWNED = np.uint32(1 << 31)
+BEGIN_PARTS = 64
 
 
 class Stream:
-    """Tokens of a group of texts, each as begin, words, end; and its n-grams of each length up to `order`."""
+    """Tokens of a group of texts, each as begin, words, end; and its n-grams of any length, worked out when asked for."""
 
-    def __init__(self, text: pa.Array, order: int):
+    def __init__(self, text: pa.Array):
         hashes, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for _, off, data in slices(text):
+        for _, off, data in slices(text, 1 << 18):
             w = Words(off, LOWER[data])
             hashes.append(w.hashes())
             counts.append(np.diff(w.ptr))
@@ -49,30 +54,29 @@ class Stream:
         d = np.arange(docs)
         tok[ptr[:-1] + 2 * d] = BEGIN
         tok[ptr[1:] + 2 * d + 1] = END
-        self.ptr, self.tokens, self.docs, self.order = ptr + 2 * np.arange(docs + 1), tok, docs, order
-        roll = Rolling(tok)
-        self.last: list[np.ndarray] = []  # place of the last token of each n-gram, by length
-        self.row: list[np.ndarray] = []
-        self.keys: list[np.ndarray] = []  # distinct n-grams, sorted
-        self.at: list[np.ndarray] = []  # where each occurrence is among them
-        for k in range(1, order + 1):
+        self.ptr, self.tokens, self.docs = ptr + 2 * np.arange(docs + 1), tok, docs
+        self.roll = Rolling(tok)
+        self.known: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+
+    def grams(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each occurrence: place of its last token and its row; the distinct n-grams, sorted; where each occurrence is among them."""
+        if k not in self.known:
             start, row = row_runs(self.ptr, k)
             if k == 1:
-                real = tok[start] != BEGIN
+                real = self.tokens[start] != BEGIN
                 start, row = start[real], row[real]
-            key, at = np.unique(roll.of(start, k), return_inverse=True)
-            self.last.append(start + k - 1)
-            self.row.append(row)
-            self.keys.append(key)
-            self.at.append(at)
+            key, at = np.unique(self.roll.of(start, k), return_inverse=True)
+            self.known[k] = (start + k - 1).astype(np.int32), row.astype(np.int32), key, at.astype(np.int32)
+        return self.known[k]
 
     def contexts(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """For each occurrence of length k: the place of its context among the keys of length k - 1, -1 for begin alone; and
         of its lower-order n-gram among the occurrences of length k - 1."""
-        place = np.full(len(self.tokens) + 1, -1, np.int64)
-        place[self.last[k - 2]] = np.arange(len(self.last[k - 2]))
-        ctx = place[self.last[k - 1] - 1]
-        return np.where(ctx >= 0, self.at[k - 2][ctx], -1), place[self.last[k - 1]]
+        last, below = self.grams(k)[0], self.grams(k - 1)
+        place = np.full(len(self.tokens) + 1, -1, np.int32)
+        place[below[0]] = np.arange(len(below[0]))
+        ctx = place[last - 1]
+        return np.where(ctx >= 0, below[3][ctx], -1), place[last]
 
 
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -83,6 +87,10 @@ def bounds(keys: np.ndarray, buckets: int) -> np.ndarray:
     return np.searchsorted(bucket_of(keys, buckets), np.arange(buckets + 1))
 
 
+def bits(blob: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(blob, np.uint8), count=n).astype(bool)
+
+
 def discounts(counts_of: np.ndarray, least: int) -> np.ndarray:
     """d_r for r = 0..TURING; counts_of[r - 1] is the number of n-grams that occur r times."""
     d = np.ones(TURING + 1)
@@ -95,6 +103,13 @@ def discounts(counts_of: np.ndarray, least: int) -> np.ndarray:
     return d
 
 
+def backoff(share: np.ndarray, below: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(alpha, scale) of contexts from their kept n-grams' shares, these words' lower-order probabilities and the contexts' counts."""
+    full = share >= 1 - 1e-9
+    scale = np.where(full, total / (total + 1.0), 1.0)
+    return (1 - scale * np.where(full, 1.0, share)) / np.maximum(1 - below, 1e-12), scale
+
+
 class Model:
     """What of the model every task needs: a few numbers for each length."""
 
@@ -107,6 +122,7 @@ class Model:
         kept = self.tokens - sum((1 - self.d[0][r]) * r * int(one[r - 1]) for r in range(1, TURING + 1))
         self.shrink = 1.0 if self.tokens == 0 or kept < self.tokens - 1e-9 else self.tokens / (self.tokens + 1)
         self.unseen = 1 - self.shrink * kept / self.tokens if self.tokens else 1.0
+        self.begin = (1.0, 1.0)  # alpha and scale of the begin mark
 
     def discounted(self, k: int, c: np.ndarray) -> np.ndarray:
         return c * np.where(c <= TURING, self.d[k - 1][np.minimum(c, TURING)], 1.0)
@@ -114,135 +130,217 @@ class Model:
     def words(self, c: np.ndarray) -> np.ndarray:
         return np.where(c > 0, self.shrink * self.discounted(1, c) / max(1, self.tokens), self.unseen)
 
-    def kept(self, s: Stream, counts: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """For occurrences of length k: context, lower-order occurrence, whether the n-gram is kept and its discounted share."""
-        ctx, lower = s.contexts(k)
-        c = counts[k - 1][s.at[k - 1]]
-        total = np.where(ctx >= 0, counts[k - 2][ctx], self.train_docs)
-        kept = c >= self.least
-        return ctx, lower, kept, np.where(kept, self.discounted(k, c) / np.maximum(total, 1), 0.0)
 
-    def probability(self, s: Stream, counts: list[np.ndarray], weights: list[tuple[np.ndarray, np.ndarray]], k: int) -> np.ndarray:
-        """P of each occurrence of length k, by recursion on the length; weights[k - 2]: (alpha, scale) by context, begin last."""
+class Known:
+    """A group's stream with what it has learnt of its n-grams: totals, whether it answers for them, whether others list them."""
+
+    def __init__(self, model: Model, left: pa.Table, right: pa.Table, upto: int):
+        """upto: the backoff weights of contexts shorter than this are worked out."""
+        self.model, self.s = model, Stream(left.column("t"))
+        o, b = right.column("ord").to_numpy(), right.column("bucket").to_numpy()
+        self.rows = {k: np.flatnonzero(o == k)[np.argsort(b[o == k], kind="stable")].tolist() for k in range(-model.order, model.order + 1)}
+        self.right, self.got, self.weights = right, {}, {}
+        for k in range(2, upto + 1):
+            self.weigh(k)
+
+    def totals(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(count, owned, shared) of each of the keys of length k."""
+        if k not in self.got:
+            counts, owned, shared = [np.zeros(0, np.int64)], [np.zeros(0, bool)], [np.zeros(0, bool)]
+            for i in self.rows[k]:
+                counts.append(unpack_counts(self.right.column("counts")[i].as_py()))
+                owned.append(bits(self.right.column("owned")[i].as_py(), len(counts[-1])))
+                shared.append(bits(self.right.column("shared")[i].as_py(), len(counts[-1])))
+            self.got[k] = np.concatenate(counts), np.concatenate(owned), np.concatenate(shared)
+        return self.got[k]
+
+    def context_totals(self, k: int) -> np.ndarray:
+        """Counts of the contexts of n-grams of length k; begin alone is last."""
+        return np.append(self.totals(k - 1)[0], self.model.train_docs)
+
+    def shared_contexts(self, k: int) -> np.ndarray:
+        count, _, shared = self.totals(k - 1)
+        return np.flatnonzero(shared & (count > 0))
+
+    def sums(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of each context: the discounted counts of the kept n-grams that this group answers for, and what these words have below."""
+        _, _, keys, at = self.s.grams(k)
+        count, owned, _ = self.totals(k)
+        one = np.zeros(len(keys), np.int64)  # an occurrence of each n-gram
+        one[at] = np.arange(len(at))
+        mine = np.flatnonzero(owned & (count >= self.model.least))
+        one = one[mine]
+        ctx, lower = self.s.contexts(k)
+        below = self.probability(k - 1)[lower[one]]
+        n = len(self.s.grams(k - 1)[2]) + 1
+        ctx = ctx[one] % n
+        return np.bincount(ctx, self.model.discounted(k, count[mine]), n).astype(float), np.bincount(ctx, below, n).astype(float)
+
+    def weigh(self, k: int) -> None:
+        """(alpha, scale) of the contexts of length k - 1: those of this group alone from its own sums, the others as told."""
+        total = self.context_totals(k)
+        alpha, scale = np.ones(len(total)), np.ones(len(total))
+        mass, below = self.sums(k)
+        own = np.flatnonzero(~np.append(self.totals(k - 1)[2], True) & (mass > 0))
+        alpha[own], scale[own] = backoff(mass[own] / total[own], below[own], total[own])
+        told = np.concatenate([np.zeros(0), *(np.frombuffer(self.right.column("counts")[i].as_py(), "<f8") for i in self.rows[-k])])
+        at = self.shared_contexts(k)
+        alpha[at] = np.abs(told)
+        scale[at] = np.where(told < 0, total[at] / (total[at] + 1.0), 1.0)
+        if k == 2:
+            alpha[-1], scale[-1] = self.model.begin
+        self.weights[k] = alpha, scale
+
+    def probability(self, k: int) -> np.ndarray:
+        """P of each occurrence of length k, by recursion on the length."""
+        at = self.s.grams(k)[3]
         if k == 1:
-            return self.words(counts[0][s.at[0]])
-        ctx, lower, kept, share = self.kept(s, counts, k)
-        alpha, scale = weights[k - 2]
-        below = self.probability(s, counts, weights, k - 1)[lower]
-        return np.where(kept, scale[ctx] * share, alpha[ctx] * below)
+            return self.model.words(self.totals(1)[0])[at]
+        ctx, lower = self.s.contexts(k)
+        c = self.totals(k)[0][at]
+        alpha, scale = self.weights[k]
+        below = alpha[ctx] * self.probability(k - 1)[lower]
+        return np.where(c >= self.model.least, scale[ctx] * self.model.discounted(k, c) / np.maximum(self.context_totals(k)[ctx], 1), below)
 
 
-def score(docs: DataFrame, trained: Column, work: Workspace, order: int = 2, least: int = 2, text: str = "text", keep: list[str] | None = None, group_mb: float = 5.0) -> DataFrame:
+REPLY = "kind string, ord int, g int, bucket int, counts binary, owned binary, shared binary"
+
+
+def score(docs: DataFrame, trained: Column, work: Workspace, order: int = 2, least: int = 2, text: str = "text", keep: list[str] | None = None, group_mb: float = 4.0) -> DataFrame:
     """Train on the rows where `trained` is true and score all rows: columns keep, n_tokens, n_known, train_tokens, base_score, score.
 
-    The first column of keep deals rows into groups. base_score is the add-half word score described in `base`.
+    base_score is the sum over tokens of log10((c + 0.5) / (N + 0.5 (V + 1))): c the token's training count, N all training
+    tokens, V the distinct ones.
     """
     keep = keep or ["doc_id"]
     groups = parts_for(docs.select(text), group_mb)
     buckets = max(96, groups // 4)
     src = docs.select(*[docs[c].alias(f"k{i}") for i, c in enumerate(keep)], docs[text].alias("t"), F.coalesce(trained, F.lit(False)).alias("train"))
-    src = src.withColumn("g", F.pmod(F.xxhash64("k0"), F.lit(groups)).cast("int"))
+    src = src.withColumn("g", F.pmod(F.xxhash64("k0", "t"), F.lit(groups)).cast("int"))
     kinds = {f"k{i}": docs.schema[c].dataType.simpleString() for i, c in enumerate(keep)}
 
-    def lists(tab: pa.Table) -> pa.Table:
-        s = Stream(tab.column("t"), order)
-        train = tab.column("train").to_numpy(zero_copy_only=False).astype(float)
-        out = {"g": [], "ord": [], "bucket": [], "keys": [], "counts": []}
-        g = tab.column("g")[0].as_py()
-        for k in range(1, order + 1):
-            n = np.bincount(s.at[k - 1], train[s.row[k - 1]], len(s.keys[k - 1])).astype("<u4")
-            cut = bounds(s.keys[k - 1], buckets)
-            for b in np.flatnonzero(np.diff(cut)):
-                part = slice(cut[b], cut[b + 1])
-                for c, v in (("g", g), ("ord", k), ("bucket", int(b)), ("keys", pack_sorted(s.keys[k - 1][part])), ("counts", pack_counts(n[part]))):
+    def lists_of(lengths: list[int]):
+        def lists(tab: pa.Table) -> pa.Table:
+            s = Stream(tab.column("t"))
+            train = tab.column("train").to_numpy(zero_copy_only=False).astype(float)
+            out = {"g": [], "ord": [], "bucket": [], "keys": [], "counts": []}
+            g = tab.column("g")[0].as_py()
+            for k in lengths:
+                _, row, keys, at = s.grams(k)
+                n = np.bincount(at, train[row], len(keys)).astype("<u4")
+                cut = bounds(keys, buckets)
+                for b in np.flatnonzero(np.diff(cut)):
+                    part = slice(cut[b], cut[b + 1])
+                    for c, v in zip(out, (g, k, int(b), pack_sorted(keys[part]), pack_counts(n[part]))):
+                        out[c].append(v)
+            if 1 in lengths:  # length 0: how many training documents
+                for c, v in zip(out, (g, 0, g % buckets, b"", pack_counts(np.array([int(train.sum())])))):
                     out[c].append(v)
-        out["g"].append(g)
-        out["ord"].append(0)
-        out["bucket"].append(g % buckets)
-        out["keys"].append(b"")
-        out["counts"].append(pack_counts(np.array([int(train.sum())])))
-        return pa.table({"g": pa.array(out["g"], pa.int32()), "ord": pa.array(out["ord"], pa.int32()), "bucket": pa.array(out["bucket"], pa.int32()), "keys": pa.array(out["keys"], pa.binary()), "counts": pa.array(out["counts"], pa.binary())})
+            return pa.table({c: pa.array(v, pa.binary() if c in ("keys", "counts") else pa.int32()) for c, v in out.items()})
+
+        return lists
 
     def totals(tab: pa.Table) -> pa.Table:
+        """Replies to each list; the numbers of its shared n-grams, where they are contexts of longer ones; counts of counts."""
         k, b = tab.column("ord")[0].as_py(), tab.column("bucket")[0].as_py()
-        gs = tab.column("g").to_numpy()
         counts = [unpack_counts(x) for x in tab.column("counts").to_pylist()]
+        out: list[tuple] = []
         if k == 0:
-            blobs, gs, stat = [], [], np.array([sum(int(c.sum()) for c in counts)])
+            stat = np.array([sum(int(c.sum()) for c in counts)])
         else:
+            gs = tab.column("g").to_numpy()
             turn = np.argsort(gs, kind="stable")
-            gs, counts = gs[turn], [counts[i] for i in turn]
-            blobs_in = tab.column("keys").to_pylist()
-            keys = [unpack_sorted(blobs_in[i]) for i in turn]
-            key, first, at = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+            gs, counts, blobs = gs[turn].tolist(), [counts[i] for i in turn], tab.column("keys").to_pylist()
+            cut = np.concatenate(([0], np.cumsum([len(c) for c in counts])))
+            key, first, at, held = np.unique(np.concatenate([unpack_sorted(blobs[i]) for i in turn]), return_index=True, return_inverse=True, return_counts=True)
             n = np.bincount(at, np.concatenate(counts), len(key)).astype(np.int64)
-            reply = np.minimum(n, (1 << 31) - 1).astype("<u4")[at]
-            reply[first] |= OWNED
-            ends = np.cumsum([len(x) for x in keys])
-            blobs = [reply[e - len(x) : e].tobytes() for e, x in zip(ends, keys)]
             stat = np.concatenate([np.bincount(n[n <= TURING + 1], minlength=TURING + 2)[1:], [n.sum(), (n > 0).sum()]])
-        return pa.table({"g": pa.array([*gs, -1], pa.int32()), "bucket": pa.array([b] * (len(blobs) + 1), pa.int32()), "counts": pa.array([*blobs, stat.astype("<i8").tobytes()], pa.binary()), "ord": pa.array([k] * (len(blobs) + 1), pa.int32())})
-
-    listed = src.groupBy("g").applyInArrow(lists, "g int, ord int, bucket int, keys binary, counts binary")
-    replies = work.table(listed.groupBy("ord", "bucket").applyInArrow(totals, "g int, bucket int, counts binary, ord int"), "totals", partition_by=["ord"])
+            owned = np.zeros(len(at), bool)
+            owned[first] = True
+            reply, shared = np.minimum(n, (1 << 32) - 1)[at], (held > 1)[at]
+            context = (held > 1) & (n > 0)
+            number = np.cumsum(context) - 1
+            for g, a, z in zip(gs, cut, cut[1:]):
+                out.append(("reply", k, g, b, pack_counts(reply[a:z]), np.packbits(owned[a:z]).tobytes(), np.packbits(shared[a:z]).tobytes()))
+                if k < order:
+                    own = at[a:z]
+                    out.append(("number", k, g, b, pack_sorted(number[own[context[own]]].astype(np.uint64)), None, None))
+            if k < order:
+                out.append(("number", k, -1, b, pack_counts(n[context]), None, None))
+        out.append(("stat", k, -1, b, stat.astype("<i8").tobytes(), None, None))
+        types = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        return pa.table({x.split()[0]: pa.array(v, t) for x, t, v in zip(REPLY.split(", "), types, zip(*out))})
+
+    told = None
+    for lengths in ([k for k in range(1, order)], [order]) if order > 1 else ([1],):
+        listed = src.groupBy("g").applyInArrow(lists_of(lengths), "g int, ord int, bucket int, keys binary, counts binary")
+        got = work.table(listed.groupBy("ord", "bucket").applyInArrow(totals, REPLY), f"totals{lengths[-1]}", partition_by=["kind", "ord"])
+        told = got if told is None else told.unionByName(got)
     stats: dict[int, np.ndarray] = {}
-    for r in replies.where("g = -1").select("ord", "counts").collect():  # one short row for each bucket and length
+    for r in told.where("kind = 'stat'").select("ord", "counts").collect():  # one short row for each bucket and length
         stats[r["ord"]] = stats.get(r["ord"], 0) + np.frombuffer(r["counts"], "<i8")
     model = Model(stats, order, least, int(stats.get(0, np.zeros(1))[0]))
-    replies = replies.where("g >= 0 and ord >= 1").select("g", "ord", "bucket", "counts", F.lit(None).cast("long").alias("ctx"), F.lit(None).cast("double").alias("alpha"), F.lit(None).cast("double").alias("scale"))
-
-    def read(left: pa.Table, right: pa.Table, upto: int):
-        """The group's stream, its n-grams' totals and owned marks, and (alpha, scale) of the contexts of lengths below upto."""
-        s = Stream(left.column("t"), order)
-        o, c = right.column("ord").to_numpy(), right.column("counts")
-        bucket, counts, owned, weights = right.column("bucket").to_numpy(zero_copy_only=False), [], [], []
-        for k in range(1, order + 1):
-            at = np.flatnonzero((o == k) & (bucket >= 0))
-            at = at[np.argsort(bucket[at], kind="stable")]
-            got = np.concatenate([np.zeros(0, "<u4"), *(np.frombuffer(c[int(i)].as_py(), "<u4") for i in at)])
-            counts.append((got & ~OWNED).astype(np.int64))
-            owned.append((got & OWNED) > 0)
-        for k in range(2, upto + 1):
-            alpha, scale = np.ones(len(s.keys[k - 2]) + 1), np.ones(len(s.keys[k - 2]) + 1)
-            own = pa.compute.equal(right.column("ord"), -k)
-            mine = right.filter(own)
-            ctx = mine.column("ctx").to_numpy().view(np.uint64)
-            place = np.searchsorted(s.keys[k - 2], ctx)
-            here = (place < len(s.keys[k - 2])) & (s.keys[k - 2][np.minimum(place, max(0, len(s.keys[k - 2]) - 1))] == ctx) if len(s.keys[k - 2]) else np.zeros(len(ctx), bool)
-            place = np.where(here, place, len(alpha) - 1)  # what is no key of the group is begin alone
-            alpha[place], scale[place] = mine.column("alpha").to_numpy(), mine.column("scale").to_numpy()
-            weights.append((alpha, scale))
-        return s, counts, owned, weights
-
-    def sums_of(k: int):
-        def sums(left: pa.Table, right: pa.Table) -> pa.Table:
-            """Of each context of the group: the kept shares that this group answers for, and what these words have below."""
-            if not left.num_rows:
-                return pa.table({"ctx": pa.array([], pa.int64()), "g": pa.array([], pa.int32()), "share": pa.array([], pa.float64()), "below": pa.array([], pa.float64()), "total": pa.array([], pa.int64())})
-            s, counts, owned, weights = read(left, right, k - 1)
-            ctx, lower, kept, share = model.kept(s, counts, k)
-            below = model.probability(s, counts, weights, k - 1)[lower]
-            _, first = np.unique(s.at[k - 1], return_index=True)  # one occurrence of each n-gram
-            mine = first[kept[first] & owned[k - 1][s.at[k - 1][first]]]
-            n = len(s.keys[k - 2]) + 1
-            a, b = (np.bincount(ctx[mine] % n, x[mine], n).astype(float) for x in (share, below))
-            total = np.append(counts[k - 2], model.train_docs)
-            some = total >= least
-            key = np.append(s.keys[k - 2], mix(np.array([BEGIN]))).view(np.int64)
-            g = left.column("g")[0].as_py()
-            return pa.table({"ctx": key[some], "g": pa.array(np.full(some.sum(), g, np.int32)), "share": a[some], "below": b[some], "total": total[some]})
-
-        return sums
+    replies = told.where("kind = 'reply'").select("g", "ord", "bucket", "counts", "owned", "shared")
+
+    def added_of(k: int):
+        def added(left: pa.Table, right: pa.Table) -> pa.Table:
+            """What the group's n-grams of length k add to its shared contexts: by bucket, in the order of their numbers."""
+            out: dict[str, list] = {"bucket": [], "g": [], "some": [], "mass": [], "below": []}
+            if left.num_rows:
+                own = Known(model, left, right, k - 1)
+                mass, below = own.sums(k)
+                at, g = own.shared_contexts(k), left.column("g")[0].as_py()
+                cut = np.searchsorted(at, bounds(own.s.grams(k - 1)[2], buckets))
+                parts = [(int(b), at[cut[b] : cut[b + 1]]) for b in np.flatnonzero(np.diff(cut))]
+                if k == 2:
+                    parts.append((-1 - g % BEGIN_PARTS, np.array([len(mass) - 1])))
+                for b, x in parts:
+                    some = mass[x] > 0
+                    x = x[some]
+                    for c, v in zip(out, (b, g, np.packbits(some).tobytes(), mass[x].astype("<f8").tobytes(), below[x].astype("<f8").tobytes())):
+                        out[c].append(v)
+            return pa.table({c: pa.array(v, pa.int32() if c in ("bucket", "g") else pa.binary()) for c, v in out.items()})
+
+        return added
+
+    def weights_of(k: int):
+        def weights(left: pa.Table, right: pa.Table) -> pa.Table:
+            """alpha of the bucket's shared contexts for each group that lists them, below zero where the counts are scaled."""
+            out: dict[str, list] = {"g": [], "ord": [], "bucket": [], "counts": []}
+            b = (left if left.num_rows else right).column("bucket")[0].as_py()
+            mine = {g: tuple(np.frombuffer(left.column(c)[i].as_py(), "u1" if c == "some" else "<f8") for c in ("some", "mass", "below")) for i, g in enumerate(left.column("g").to_pylist())}
+            if b < 0:
+                out = {"g": [-1], "ord": [-k], "bucket": [b], "counts": [np.array([sum(x[i].sum() for x in mine.values()) for i in (1, 2)], "<f8").tobytes()]}
+            else:
+                blobs = dict(zip(right.column("g").to_pylist(), right.column("counts").to_pylist()))
+                total = unpack_counts(blobs.pop(-1))
+                numbers = {g: unpack_sorted(x).astype(np.int64) for g, x in sorted(blobs.items())}
+                mass, below = np.zeros(len(total)), np.zeros(len(total))
+                for g, x in numbers.items():
+                    if g in mine:
+                        some, m, z = mine[g]
+                        x = x[np.unpackbits(some, count=len(x)).astype(bool)]
+                        mass[x] += m
+                        below[x] += z
+                alpha, scale = backoff(mass / total, below, total)
+                alpha = np.where(scale < 1, -alpha, alpha)
+                for g, x in numbers.items():
+                    for c, v in zip(out, (g, -k, b, alpha[x].astype("<f8").tobytes())):
+                        out[c].append(v)
+            return pa.table({c: pa.array(v, pa.binary() if c == "counts" else pa.int32()) for c, v in out.items()})
+
+        return weights
 
     for k in range(2, order + 1):
-        got = work.table(src.groupBy("g").cogroup(replies.groupBy("g")).applyInArrow(sums_of(k), "ctx long, g int, share double, below double, total long"), f"contexts{k}")
-        agg = got.groupBy("ctx").agg(F.sum("share").alias("share"), F.sum("below").alias("below"), F.max("total").alias("total")).where("share > 0")
-        scale = F.when(F.col("share") < 1 - 1e-9, 1.0).otherwise(F.col("total") / (F.col("total") + 1.0) / F.col("share"))
-        agg = agg.withColumn("scale", scale).withColumn("alpha", (1 - F.col("scale") * F.col("share")) / F.greatest(1 - F.col("below"), F.lit(1e-12)))
-        back = got.select("ctx", "g").join(agg.select("ctx", "alpha", "scale"), "ctx")
-        back = work.table(back.select("g", F.lit(-k).alias("ord"), F.lit(-1).alias("bucket"), F.lit(None).cast("binary").alias("counts"), "ctx", "alpha", "scale"), f"weights{k}")
-        work.drop(got)
-        replies = replies.unionByName(back)
+        sent = src.groupBy("g").cogroup(replies.where(F.col("ord") <= k).groupBy("g")).applyInArrow(added_of(k), "bucket int, g int, some binary, mass binary, below binary")
+        numbers = told.where((F.col("kind") == "number") & (F.col("ord") == k - 1)).select("bucket", "g", "counts")
+        back = work.table(sent.groupBy("bucket").cogroup(numbers.groupBy("bucket")).applyInArrow(weights_of(k), "g int, ord int, bucket int, counts binary"), f"weights{k}")
+        if k == 2:
+            parts = [np.frombuffer(r["counts"], "<f8") for r in back.where("g = -1").select("counts").collect()]  # BEGIN_PARTS rows at most
+            if model.train_docs:
+                alpha, scale = backoff(sum(x[:1] for x in parts) / model.train_docs, sum(x[1:] for x in parts), np.array([model.train_docs]))
+                model.begin = float(alpha[0]), float(scale[0])
+        replies = replies.unionByName(back.where("g >= 0").select("*", F.lit(None).cast("binary").alias("owned"), F.lit(None).cast("binary").alias("shared")))
 
     names = [*kinds, "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     schema = ", ".join([*(f"{c} {t}" for c, t in kinds.items()), "n_tokens long, n_known long, train_tokens long, base_score double, score double"])
@@ -250,19 +348,18 @@ def score(docs: DataFrame, trained: Column, work: Workspace, order: int = 2, lea
     def final(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return pa.table({c: pa.array([], pa.float64() if "score" in c else pa.int64() if c not in kinds else left.schema.field(c).type) for c in names})
-        s, counts, _, weights = read(left, right, order)
-        c = counts[0][s.at[0]]
-        row = s.row[0]
-        p = model.probability(s, counts, weights, 1)
+        own = Known(model, left, right, order)
+        s = own.s
+        last, row, _, at = s.grams(1)
+        c = own.totals(1)[0][at]
+        p = own.probability(1)
         place = np.full(len(s.tokens), -1, np.int64)
-        place[s.last[0]] = np.arange(len(s.last[0]))
+        place[last] = np.arange(len(last))
         for k in range(2, order + 1):  # the longest context that the token has decides
-            p[place[s.last[k - 1]]] = model.probability(s, counts, weights, k)
+            p[place[s.grams(k)[0]]] = own.probability(k)
         base = np.log10((c + 0.5) / (model.tokens + 0.5 * (model.types + 1)))
         cols = {"n_tokens": np.bincount(row, minlength=s.docs), "n_known": np.bincount(row, c > 0, s.docs).astype(np.int64), "train_tokens": np.full(s.docs, model.tokens), "base_score": np.bincount(row, base, s.docs).astype(float), "score": np.bincount(row, np.log10(p), s.docs).astype(float)}
         return pa.table({**{c: left.column(c) for c in kinds}, **{c: pa.array(v) for c, v in cols.items()}})
 
     out = src.groupBy("g").cogroup(replies.groupBy("g")).applyInArrow(final, schema)
     return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *names[len(kinds) :])
-
-
