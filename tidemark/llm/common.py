@@ -27,10 +27,20 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Let no Arrow batch grow beyond BATCH_BYTES, however long the texts, so that a task's memory does not follow its rows' lengths."""
+    if int(str(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 class Workspace:
     """A folder of written tables. Writing a table cuts its lineage with files that outlive any executor."""
 
     def __init__(self, spark: SparkSession, name: str):
+        bound_batches(spark)
         self.spark, self.at = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
     def table(self, df: DataFrame, name: str, partition_by: list[str] | None = None, release: bool = True) -> DataFrame:

@@ -58,7 +58,7 @@ def flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return off - off[0], data
 
 
-def slices(col: pa.Array, most: int = 2 << 20):
+def slices(col: pa.Array, most: int = 1 << 20):
     """(first row, offsets, bytes) of consecutive row ranges of at most `most` bytes, or of one longer text."""
     off, data = flat(col)
     i, n = 0, len(off) - 1

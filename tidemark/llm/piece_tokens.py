@@ -21,9 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import bound_batches
 
 MARK = "▁"  # the library's sign for a space
-CACHE = 250_000
+CACHE, PAIRS = 100_000, 200_000  # parts and pairs of pieces remembered by a worker
 
 
 class PieceModel:
@@ -49,6 +50,7 @@ class PieceModel:
         self.chars = {c for p in self.rank for c in p}
         self.whole: dict[str, bool] = {}
         self.pair: dict[str, dict[str, bool]] = {}
+        self.learnt = 0
         self.automaton = ahocorasick.Automaton()
         for p in self.rank:
             if len(p) == 1 or self.merge(p) == [p]:
@@ -84,6 +86,7 @@ class PieceModel:
         after = self.pair[a]
         got = after.get(b)
         if got is None:
+            self.learnt += 1
             got = after[b] = self.merge(a + b) == [a, b]
         return got
 
@@ -115,6 +118,7 @@ class PieceModel:
         while t is not None and last and not self.fits(last, t):
             t = self.shorter[t]
         self.best[last][p] = t or ""
+        self.learnt += 1
         return t or ""
 
     def go_back(self, text: str, out: list[str], token: str) -> list[str]:
@@ -157,6 +161,10 @@ class PieceModel:
         """All ids of a text, begin and end included, and the decoded text in UTF-8."""
         if not text:
             return self.ends[0] + self.ends[1], b""
+        if self.learnt > PAIRS:
+            self.learnt = 0
+            for known in (*self.pair.values(), *self.best.values()):
+                known.clear()
         parts = self.part.findall(MARK + text.replace(" ", MARK))
         got = list(map(self.cache.get, parts))
         if None in got:
@@ -199,6 +207,7 @@ def model(path: str) -> PieceModel:
 
 def encode(docs: DataFrame, model_path: str, text: str = "text", keep: list[str] | None = None, outputs=("ids", "decoded")) -> DataFrame:
     """Columns `keep` and, as asked for in outputs, ids (array of int), decoded (string), n_tokens, ids_sha256, decoded_sha256."""
+    bound_batches(docs.sparkSession)
     keep = keep or []
     kinds = {"ids": "array<int>", "decoded": "string", "n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}
     src = docs.select(*[docs[c].alias(f"k{i}") for i, c in enumerate(keep)], docs[text].alias("t"))

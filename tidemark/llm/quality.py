@@ -16,11 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import bound_batches
 from tidemark.llm.hashing import LOWER, Words, mix, slices
 
 WORD_BITS, STYLE_BITS = 16, 14
 DIM = (1 << WORD_BITS) + (1 << STYLE_BITS)
 MOST_ROWS = 4000
+SLICE = 1 << 18  # bytes of text whose features are held at once
 
 
 def features(off: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -42,7 +44,7 @@ def scale(n: np.ndarray) -> np.ndarray:
 def sparse_rows(b: pa.RecordBatch):
     """Feature and value lists of each labelled document."""
     grade = b.column("grade").to_pylist()
-    for i, off, data in slices(b.column("t")):
+    for i, off, data in slices(b.column("t"), SLICE):
         f, doc, g, row = features(off, data)
         rows = len(off) - 1
         ptr, gptr = np.searchsorted(doc, np.arange(rows + 1)), np.searchsorted(row, np.arange(rows + 1))
@@ -68,7 +70,7 @@ class Ordinal:
 
 def fit_ordinal(ptr: np.ndarray, idx: np.ndarray, val: np.ndarray, grade: np.ndarray, levels: int, ridge: float = 2e-4, steps: int = 80) -> Ordinal:
     """Least penalised negative log likelihood; rows are idx/val[ptr[i]:ptr[i+1]]."""
-    n, row = len(grade), np.repeat(np.arange(len(grade)), np.diff(ptr))
+    n, row = len(grade), np.repeat(np.arange(len(grade), dtype=np.int32), np.diff(ptr))
 
     def cuts(p):
         return np.cumsum(np.concatenate((p[DIM : DIM + 1], np.exp(p[DIM + 1 :]))))
@@ -123,21 +125,24 @@ def fit_ordinal(ptr: np.ndarray, idx: np.ndarray, val: np.ndarray, grade: np.nda
 
 
 def fit(labelled: DataFrame, levels: int, text: str = "text", grade: str = "grade", most_rows: int = MOST_ROWS) -> Ordinal:
-    """Fit on the labelled rows given; a caller keeps them to about most_rows (sample_labels)."""
+    """Fit on the labelled rows given, or on most_rows of them: those with the least hash of text and grade, the same ones each time."""
+    bound_batches(labelled.sparkSession)
+    labelled = labelled.orderBy(F.xxhash64(F.lit(72), text, grade)).limit(most_rows)
     src = labelled.where(F.col(grade).isNotNull()).select(F.col(grade).cast("int").alias("grade"), F.col(text).alias("t"))
 
     def run(batches):
         for b in batches:
             yield from sparse_rows(b)
 
-    got = src.mapInArrow(run, "grade int, idx binary, val binary").limit(2 * most_rows).toPandas()
+    got = src.mapInArrow(run, "grade int, idx binary, val binary").toPandas()
     if not len(got):
         return Ordinal(np.zeros(DIM, np.float32), np.zeros(levels - 1))
     got = got.sort_values(["grade", "idx", "val"], kind="stable")  # the order of arrival does not matter
-    idx = [np.frombuffer(x, np.int32) for x in got["idx"]]
+    grade, idx = got["grade"].to_numpy(), [np.frombuffer(x, np.int32) for x in got["idx"]]
     ptr = np.concatenate(([0], np.cumsum([len(x) for x in idx])))
-    val = np.concatenate([np.frombuffer(x, np.float32) for x in got["val"]])
-    return fit_ordinal(ptr, np.concatenate(idx), val, got["grade"].to_numpy(), levels)
+    idx, val = np.concatenate(idx), np.concatenate([np.frombuffer(x, np.float32) for x in got["val"]])
+    del got
+    return fit_ordinal(ptr, idx, val, grade, levels)
 
 
 def sample_labels(labels: DataFrame, key: str = "doc_id", most_rows: int = MOST_ROWS) -> DataFrame:
@@ -150,6 +155,7 @@ def sample_labels(labels: DataFrame, key: str = "doc_id", most_rows: int = MOST_
 
 def score(docs: DataFrame, model: Ordinal, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Columns keep, expected_grade, p_above (array: P(grade > k) for each k) and value."""
+    bound_batches(docs.sparkSession)
     keep = keep or []
     src = docs.select(*[docs[c].alias(f"k{i}") for i, c in enumerate(keep)], docs[text].alias("t"))
     schema = ", ".join([*(f"k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)), "expected_grade double", "p_above array<double>", "value double"])
@@ -158,7 +164,7 @@ def score(docs: DataFrame, model: Ordinal, text: str = "text", keep: list[str] |
     def run(batches):
         for b in batches:
             value = np.zeros(b.num_rows)
-            for i, off, data in slices(b.column("t")):
+            for i, off, data in slices(b.column("t"), SLICE):
                 rows = len(off) - 1
                 for f, row in (lambda x: (x[:2], x[2:]))(features(off, data)):
                     value[i : i + rows] += np.bincount(row, model.weights[f].astype(np.float64), rows) * scale(np.bincount(row, minlength=rows))
