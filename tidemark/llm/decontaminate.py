@@ -1,8 +1,9 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Documents are cut into passages of three blocks of BLOCK words, one block apart. Words are weighed by TF-IDF over the benchmark's
-vocabulary, with document frequencies of all passages. The row space is found by a randomised SVD: each task multiplies its part of
-the passage matrix by a random matrix and by its own transpose, the sums give an orthonormal basis of RANK latent dimensions; the
+vocabulary, with document frequencies of all passages. The latent space is that of a randomised SVD in one pass: each task multiplies its part
+A of the passage matrix (rows of unit length) by a random matrix and by its own transpose, and from the sum Y = A'A Omega the driver takes
+the RANK leading right singular vectors and singular values of A by Nystrom's formula (Y (Omega'Y)^-1 Y' stands for A'A); the
 benchmark's rows weigh as much as all documents' together. A passage is a leak if it keeps at least VERBATIM of the benchmark
 passage's words in order (their longest common subsequence), or at least PARAPHRASE of them and the answer. The answer is the
 item's answer column where one is given, else the item's ANSWER rarest words.
@@ -11,8 +12,12 @@ Candidates are all pairs that the words both have, in any order, do not rule out
 benchmark; the cosine in the latent space is reported for each leak and decides nothing.
 
 The benchmark is a stated query set: it is handled in blocks of at most MOST_ITEMS passages, which bounds what each task gets, whatever
-its size. Benchmark passages of fewer than LEAST words after splitting are not searched for. Null and empty texts are clean;
-an empty benchmark leaves all documents clean. Item ids may be null or repeat; the least matching id is reported.
+its size. Verdicts do not depend on the blocks; the reported cosine is that of the block's own latent space, in which words beyond the
+first MOST_WORDS of a block's vocabulary share dimensions. Items of LEAST to PHRASE - 1 words must occur as they are, word after word;
+those of fewer words than LEAST say too little and are not searched for. The tail of a long item goes with the part before it.
+
+Null and empty texts are clean; an empty benchmark leaves all documents clean. Item ids may be null or repeat; the least matching id is
+reported. Repeated rows and ids are judged each by their own text, long texts whole. Only the named columns are read; others may have any name.
 """
 
 from __future__ import annotations
@@ -22,9 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import bound_batches
 from tidemark.llm.hashing import LOWER, Words, slices
 
-BLOCK, PART, RANK, VERBATIM, PARAPHRASE, ANSWER, LEAST = 32, 48, 128, 0.8, 0.5, 3, 5
+BLOCK, PART, RANK, VERBATIM, PARAPHRASE, ANSWER, PHRASE, LEAST = 32, 48, 128, 0.8, 0.5, 3, 5, 3
+MORE = 16  # columns of the random matrix beyond RANK
 MOST_ITEMS, MOST_WORDS = 8192, 1 << 16
 
 
@@ -45,9 +52,12 @@ class Bench:
             cuts = max(1, -(-len(own) // (2 * BLOCK))) if len(own) > 2 * BLOCK else 1
             step = PART if cuts > 1 else max(1, len(own))
             for s in range(0, len(own), step):
-                if len(own[s : s + step]) >= LEAST:
-                    self.parts.append(own[s : s + step])
+                end = s + step if len(own) - s - step >= PHRASE else len(own)
+                if end - s >= LEAST:
+                    self.parts.append(own[s:end])
                     self.item.append(r)
+                if end == len(own):
+                    break
         self.ids = [i for i, *_ in items]
         self.answers = []
         for r, x in enumerate(items):
@@ -167,6 +177,10 @@ class Incidence:
             out[self.block[start]] += np.add.reduceat(table[self.word], start, axis=0)
         return out
 
+    def row_sums(self, weight: np.ndarray) -> np.ndarray:
+        """The sum of the weights of each block's words."""
+        return self.times(weight[:, None])[:, 0]
+
     def add_transposed(self, y: np.ndarray, total: np.ndarray) -> None:
         """total += the transposed matrix times a blocks x k table."""
         total[self.common] += self.dense.T @ y
@@ -198,48 +212,67 @@ def frequencies(docs: DataFrame, bench: Bench) -> tuple[np.ndarray, float]:
     """In how many blocks of all documents each vocabulary word occurs, and how many blocks there are."""
 
     def count(batches):
-        total = np.zeros((bench.dims + 1, 1))
+        words = len(bench.vocab)
+        total = np.zeros((words + 1, 1))
         for b in batches:
             for _, off, data in slices(b.column("t")):
                 number, block, first, _ = blocks(bench, off, data)
                 total[-1] += first[-1]
                 known = number >= 0
-                once = np.unique(block[known] * bench.dims + number[known] % bench.dims)
-                total[:-1, 0] += np.bincount(once % bench.dims, minlength=bench.dims)
+                once = np.unique(block[known] * words + number[known])
+                total[:-1, 0] += np.bincount(once % words, minlength=words)
         out = list(pieces(total, 1024, 1))
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], ["part", "n"])
 
     n = add_up(docs.mapInArrow(count, "part int, n binary"), "n")
-    return (n[:-1], float(n[-1])) if len(n) else (np.zeros(bench.dims), 0.0)
+    return (n[:-1], float(n[-1])) if len(n) else (np.zeros(len(bench.vocab)), 0.0)
+
+
+def folded(weights: np.ndarray, dims: int) -> np.ndarray:
+    """A weight for each latent input: of words that share one, the mean."""
+    at = np.arange(len(weights)) % dims
+    return np.bincount(at, weights, dims) / np.maximum(1, np.bincount(at, minlength=dims))
+
 
+def nystrom(y: np.ndarray, omega: np.ndarray, rank: int) -> tuple[np.ndarray, np.ndarray]:
+    """(leading eigenvectors, eigenvalues) of a positive matrix M from y = M omega."""
+    small, turn = np.linalg.eigh((omega.T @ y + y.T @ omega) / 2)
+    real = small > 1e-10 * max(small[-1], 1e-300)
+    u, s, _ = np.linalg.svd(y @ (turn[:, real] / np.sqrt(small[real])), full_matrices=False)
+    return u[:, :rank], s[:rank] ** 2
 
-def basis(docs: DataFrame, bench: Bench, idf: np.ndarray, rank: int, seed: int = 5) -> np.ndarray:
-    """An orthonormal basis (words x rank) of the leading right singular space of all passages."""
-    rank = min(rank, bench.dims)
-    omega = np.random.Generator(np.random.PCG64(seed)).standard_normal((bench.dims, rank)).astype(np.float32)
-    weighed = (omega * idf[:, None]).astype(np.float32)
+
+def latent(docs: DataFrame, bench: Bench, idf: np.ndarray, rank: int, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Leading right singular vectors (words x rank) and singular values of the matrix of all passages, rows of unit length.
+
+    A row's length is the root of the summed squares of its words' weights, each occurrence for itself.
+    """
+    columns = min(rank + MORE, bench.dims)
+    omega = np.random.Generator(np.random.PCG64(seed)).standard_normal((bench.dims, columns)).astype(np.float32)
+    weighed, squares = (omega * idf[:, None]).astype(np.float32), (idf * idf).astype(np.float32)
 
     def multiply(batches):
-        total = np.zeros((bench.dims, rank))
+        total = np.zeros((bench.dims + 1, columns))
         for b in batches:
             for _, off, data in slices(b.column("t")):
                 number, block, first, _ = blocks(bench, off, data)
                 part = Incidence(number, block, int(first[-1]), bench.dims)
-                y = part.times(weighed)
-                y /= np.maximum(1e-6, np.sqrt((y * y).sum(axis=1)))[:, None]  # no passage outweighs others
-                part.add_transposed(y, total)
-        out = list(pieces(total, 256, rank))
+                length = part.row_sums(squares)
+                some = length > 0
+                total[-1, 0] += some.sum()
+                part.add_transposed(part.times(weighed) * np.where(some, 1 / np.maximum(length, 1e-12), 0)[:, None], total)
+        out = list(pieces(total, 256, columns))
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], ["part", "y"])
 
     y = add_up(docs.mapInArrow(multiply, "part int, y binary"), "y")
-    y = y.reshape(-1, rank) * idf[:, None] if len(y) else np.zeros((bench.dims, rank))
-    own = np.zeros((bench.dims, rank))
+    y = y.reshape(-1, columns) if len(y) else np.zeros((bench.dims + 1, columns))
+    own = np.zeros((bench.dims, columns))
     for p in bench.parts:
-        row = weighed[p % bench.dims].sum(axis=0)
-        np.add.at(own, p % bench.dims, row / max(1e-6, np.sqrt((row * row).sum())))
-    own *= idf[:, None]
-    both = y / max(1e-9, np.linalg.norm(y)) + own / max(1e-9, np.linalg.norm(own))
-    return np.linalg.qr(both)[0]
+        p = p % bench.dims
+        np.add.at(own, p, weighed[p].sum(axis=0) / max(1e-12, float(squares[p].sum())))
+    both = idf[:, None] * (y[:-1] / max(1.0, y[-1, 0]) + own / len(bench.parts))  # the traces of both parts are 1
+    vectors, values = nystrom(both, omega.astype(float), rank)
+    return vectors, np.sqrt(values)
 
 
 def common_subsequence(masks: dict[int, int], full: int, words: list[int]) -> int:
@@ -253,8 +286,15 @@ def common_subsequence(masks: dict[int, int], full: int, words: list[int]) -> in
     return full.bit_length() - v.bit_count()
 
 
+def has_run(words: list[int], part: list[int]) -> bool:
+    """Whether the part's words follow each other in words."""
+    n = len(part)
+    return any(words[i : i + n] == part for i in range(len(words) - n + 1))
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", answer: str | None = None, rank: int = RANK) -> DataFrame:
     """(row_key, item_id, cosine, kept): one row for each passage and benchmark passage judged a leak; row_key: the doc_id."""
+    bound_batches(docs.sparkSession)
     total = benchmark.count()
     rounds = max(1, -(-total // MOST_ITEMS))
     src = docs.select(F.col(doc_id).alias("k"), F.col(text).alias("t"))
@@ -277,8 +317,9 @@ def leaks_of(src: DataFrame, bench: Bench, kind: str, rank: int) -> DataFrame |
         return None
     n, total = frequencies(src.select("t"), bench)
     idf = np.log((total + 1) / (n + 0.5)).clip(0.01)
-    q = basis(src.select("t"), bench, idf, rank)
-    table = (q * idf[:, None]).astype(np.float32)
+    inner = folded(idf, bench.dims)
+    vectors, _ = latent(src.select("t"), bench, inner, rank)
+    table = (vectors * inner[:, None]).astype(np.float32)
     own = np.stack([table[p % bench.dims].sum(axis=0) for p in bench.parts])
     own /= np.maximum(1e-9, np.sqrt((own * own).sum(axis=1)))[:, None]
     masks = []
@@ -291,11 +332,11 @@ def leaks_of(src: DataFrame, bench: Bench, kind: str, rank: int) -> DataFrame |
     answers = []
     for p, r in zip(bench.parts, bench.item):
         a = bench.answers[r]
-        rare = sorted(set(p.tolist()), key=lambda x: (-idf[x % bench.dims], x))[:ANSWER]
+        rare = sorted(set(p.tolist()), key=lambda x: (-idf[x], x))[:ANSWER]
         answers.append(frozenset(rare) if a is None else frozenset(a))
     ids = [bench.ids[r] for r in bench.item]
     words = len(bench.vocab)
-    overlap = Overlap(bench.parts, answers, words, n[np.arange(words) % bench.dims])
+    overlap = Overlap(bench.parts, answers, words, n)
 
     def search(batches):
         names = ["k", "item", "cosine", "kept"]
@@ -311,6 +352,8 @@ def leaks_of(src: DataFrame, bench: Bench, kind: str, rank: int) -> DataFrame |
                         at = ptr[r] + (p - first[r]) * BLOCK
                         held = number[at : min(at + 3 * BLOCK, ptr[r + 1])]
                         words = held.tolist()
+                        if sizes[j] < PHRASE and not has_run(words, bench.parts[j].tolist()):
+                            continue
                         share = common_subsequence(masks[j], (1 << sizes[j]) - 1, words) / sizes[j]
                         if share >= VERBATIM or share >= PARAPHRASE and answers[j].issubset(words):
                             z = table[held[held >= 0] % bench.dims].sum(axis=0)
