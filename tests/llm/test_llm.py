@@ -150,6 +150,46 @@ def test_language(spark):
     assert {r["lang_pred"] for r in predict(d, *learn(d.limit(0)), keep=["doc_id"]).collect()} == {"und"}
 
 
+def test_language_against_a_plain_version(spark):
+    """Whole profiles and distances by dictionaries, letters of several scripts, ties, repeated, long and empty rows, odd columns."""
+    from collections import Counter
+
+    from tidemark.llm.language_id import learn, predict
+
+    r = random.Random(9)
+    scripts = {"el": "αβγδε", "ru": "абвгд", "uk": "абвгґ", "en": "abcde", "eo": "abcdĉ"}
+    rows = [(i, " ".join("".join(r.choice(scripts[k]) for _ in range(r.randint(1, 7))) for _ in range(40)) + ". 12", k) for i, k in enumerate(list(scripts) * 12)]
+    rows += [(900, "", "en"), (901, rows[0][1] * 400, "el"), (902, rows[3][1], "en"), (902, rows[3][1], "en"), (903, "x", None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("t", F.lit(1)).withColumn("r", F.lit(2))
+
+    def order(counts):
+        code = lambda g: sum((0x1FFFFF if c == " " else ord(c)) << 21 * k for k, c in enumerate(reversed(g)))
+        return [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], code(x[0])))][:300]
+
+    # words that follow each other share one boundary: two-letter runs across it are "a " and " b", three-letter runs "a b"
+    def codes(t):
+        s = " " + "".join(c if c.isalpha() else " " for c in (t or "").lower()) + " "
+        while "  " in s:
+            s = s.replace("  ", " ")
+        return Counter(s[i : i + n] for n in (1, 2, 3) for i in range(len(s) - n + 1) if s[i : i + n] != " ") if s.strip() else Counter()
+
+    learnt = {k: Counter() for k in scripts}
+    for _, t, k in rows:
+        if k:
+            learnt[k].update(codes(t))
+    profiles = {k: {g: i for i, g in enumerate(order(c))} for k, c in sorted(learnt.items())}
+    want = []
+    for i, t, _ in rows:
+        own = order(codes(t))
+        far = {k: sum(abs(p[g] - j) if g in p else 300 for j, g in enumerate(own)) for k, p in profiles.items()}
+        best = min(far, key=lambda k: (far[k], k)) if own else "und"
+        want.append((i, best, 1 - far[best] / (300 * len(own)) if own else 0.0))
+    names, model = learn(d)
+    got = sorted((x["doc_id"], x["lang_pred"], x["score"]) for x in predict(d, names, model, keep=["doc_id"]).collect())
+    assert [x[:2] for x in got] == [x[:2] for x in sorted(want)]
+    assert [x[2] for x in got] == pytest.approx([x[2] for x in sorted(want)])
+
+
 def test_language_held_out_accuracy(spark, sf_dir):
     from tidemark.llm.queries import op8_language
 
@@ -216,6 +256,19 @@ def test_url_templates_learn(spark):
     assert {got[i]["template"] for i in range(200)} == {"/spam/*", "/news/*"}
 
 
+def test_url_tree_goes_as_deep_as_labels_differ(spark):
+    from tidemark.llm.url_filter import judge
+
+    rows = [(i, f"https://h.net/2024/05/12/a/{'spam' if i % 2 else 'news'}/{i}", (i % 2) if i < 120 else None) for i in range(200)]
+    rows += [(500, "https://h.net/" + "/".join(["x"] * 300), None), (501, None, 1), (502, "https://h.net/2024/05/12/a/spam/1", None), (502, "https://h.net/2024/05/12/a/spam/1", None)]
+    d = spark.createDataFrame(rows, "page_id long, url string, bad int").withColumn("host", F.lit("x")).withColumn("node", F.lit(1)).withColumn("tt_segs", F.lit(1))
+    out = judge(d, Workspace(spark, "t"), [], keep=["page_id"], label="bad").collect()
+    got = {r["page_id"]: r for r in out}
+    assert len(out) == len(rows)
+    assert all(got[i]["verdict"] == ("block" if i % 2 else "allow") for i in range(120, 200)) and got[502]["verdict"] == "block"
+    assert got[121]["template"] != got[120]["template"]
+
+
 def test_leaks(spark):
     from tidemark.llm.decontaminate import common_subsequence, judge
 
@@ -265,6 +318,64 @@ def test_leaks_of_many_items(spark):
     assert got >= {(k, k) for k in range(60)} and got == leaks(rows, few)
 
 
+def test_leaks_short_items_tails_and_rows(spark):
+    """Short items word after word, the tail of a long one, repeated ids with other texts, a very long text, other columns of any name."""
+    from tidemark.llm.decontaminate import judge
+
+    r = random.Random(23)
+    long = [f"w{k}" for k in range(64 + 34)]  # two parts of 48 and 50 words
+    bench = spark.createDataFrame([(1, "zeta kappa omega rho"), (2, " ".join(long)), (3, "mu nu"), (4, "")], "item_id long, text string")
+    far = " ".join(prose(3, r) for _ in range(30000))
+    rows = [(1, "so zeta kappa omega rho it is", 5), (2, "zeta kappa and omega rho", 5), (3, " ".join(long[48:]), 5), (4, prose(30, r), 5), (4, "x " + " ".join(long[:48]), 5), (5, far + " zeta kappa omega rho " + far, 5), (6, "mu nu", 5), (6, "mu nu", 5), (None, None, 5)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, row long").withColumn("k0", F.lit(1)).withColumn("kept", F.lit(2))
+    got = sorted((x["doc_id"] or 0, x["contaminated"]) for x in judge(d, bench).collect())
+    assert got == [(0, False), (1, True), (2, False), (3, True), (4, False), (4, True), (5, True), (6, False), (6, False)]
+
+
+def test_paraphrases_are_found(spark):
+    """Items of which a quarter of the words is replaced, the three rarest kept, words added: at least 0.9 of them; unlike texts never."""
+    from tidemark.llm.decontaminate import judge
+
+    r = random.Random(31)
+    vocab = ["".join(r.choice("abcdefghiklmnoprstu") for _ in range(6)) for _ in range(2000)]
+    items = [[*r.sample(vocab, 30), *(f"key{k}{j}" for j in range(3))] for k in range(300)]
+    for x in items:
+        r.shuffle(x)
+    rows = []
+    for k, x in enumerate(items):
+        own = [w if w.startswith("key") or r.random() > 0.25 else r.choice(vocab) for w in x]
+        own[10:10] = ["well"]
+        rows.append((k, " ".join(r.choices(vocab, k=40) + own + r.choices(vocab, k=40))))
+    rows += [(1000 + k, " ".join(r.choices(vocab, k=120))) for k in range(300)]
+    got = judge(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")).collect()
+    assert sum(x["contaminated"] and x["item_id"] == x["doc_id"] for x in got if x["doc_id"] < 1000) >= 270
+    assert not any(x["contaminated"] for x in got if x["doc_id"] >= 1000)
+
+
+def test_latent_space_is_the_svd(spark):
+    """One pass gives the singular values and the row space of the passage matrix."""
+    from tidemark.llm import decontaminate as D
+
+    rows = [(k, prose(60, random.Random(k))) for k in range(40)]
+    d = spark.createDataFrame(rows, "doc_id long, t string").select("t")
+    bench = D.Bench([(k, prose(20, random.Random(100 + k))) for k in range(20)])
+    n, total = D.frequencies(d, bench)
+    idf = np.log((total + 1) / (n + 0.5)).clip(0.01)
+    v, values = D.latent(d, bench, idf, len(bench.vocab))
+    a = []
+    for _, t in rows:
+        off = np.array([0, len(t.encode())])
+        number, block, first, _ = D.blocks(bench, off, np.frombuffer(t.encode(), np.uint8))
+        for p in range(first[-1]):
+            x = np.bincount(number[(block == p) & (number >= 0)], minlength=len(idf)) * idf
+            length = np.sqrt((idf[number[(block == p) & (number >= 0)]] ** 2).sum())
+            if length:
+                a.append(x / length)
+    both = [np.array(a) / np.sqrt(len(a)), np.array([np.bincount(p, minlength=len(idf)) * idf / np.sqrt((idf[p] ** 2).sum()) for p in bench.parts]) / np.sqrt(len(bench.parts))]
+    want = np.linalg.svd(np.vstack(both), compute_uv=False)
+    assert values[: len(want)] == pytest.approx(want[: len(values)], abs=1e-3)
+
+
 def test_leaks_in_the_tables(spark):
     from tidemark.llm.queries import op3_decontaminate
 

@@ -6,6 +6,9 @@ wildcard. Sibling branches whose labelled shares do not differ by more than chan
 share one pooled branch. A template's purity is its labelled share of bad pages, smoothed towards its parent's, the
 root of a host towards the share of all labelled pages. Templates whose smoothed purity reaches the limit are rejected.
 
+The first LEVELS levels are always grown; deeper ones as long as there are deeper segments below a node that has good and bad labelled pages:
+where no node has both, none can split. What lies deeper than the tree is written `/**`.
+
 The tree is grown level by level with aggregates, so a host with a third of all pages only ever meets in partial sums and in
 joins that Spark may split. Labels: 1 bad, 0 good, null none. A null url, or one without `://`, has empty host and path and
 falls under the empty host's tree. Empty tables give empty results; repeated urls count as often as they come.
@@ -13,12 +16,14 @@ falls under the empty host's tree. Empty tables give empty results; repeated url
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import Workspace
 
-LEVELS = 3
+LEVELS = 3  # grown in any case
 WIDE = 50  # a node with more children than this keeps only those with at least SUPPORT pages
 SUPPORT = 20
 SMOOTHING = 4.0
@@ -72,19 +77,23 @@ def template_tree(pages: DataFrame, work: Workspace, host: str = "host", path: s
     Pages are first added up by host and shaped segments; the tree is grown on these sums, one written table a level.
     """
     parts = F.filter(F.split(F.col(path), "/"), lambda s: s != "")
-    segs = [f"tt_s{k}" for k in range(levels)]
-    d = pages.withColumn("tt_parts", parts).withColumns({s: F.when(F.size("tt_parts") > k, shape(F.try_element_at("tt_parts", F.lit(k + 1)))) for k, s in enumerate(segs)})
-    d = d.withColumn("tt_deep", F.size("tt_parts") > levels).drop("tt_parts")
+    d = pages.withColumn("tt_segs", F.transform(parts, shape))
     label = F.when(F.col(bad).isNotNull(), 1).otherwise(0)
-    keys = ["tt_host", *segs, "tt_deep"]
+    keys = ["tt_host", "tt_segs"]
     counts = [F.count(F.lit(1)).alias("n"), F.sum(label).alias("l"), F.sum(F.when(F.col(bad) == 1, 1).otherwise(0)).alias("b")]
     t = work.table(d.withColumnRenamed(host, "tt_host").groupBy(*keys).agg(*counts), "paths", release=False)
     more = [F.sum(c).alias(c) for c in ("n", "l", "b")]
     all_l, all_b = t.agg(F.coalesce(F.sum("l"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0))).first()
     hosts = t.groupBy("tt_host").agg(*more).select("tt_host", smoothed(F.col("b"), F.col("l"), F.lit((all_b + 1.0) / (all_l + 2.0))).alias("p"))
     t = work.table(t.join(hosts, "tt_host").withColumn("node", F.lit("")), "level0", release=False)
-    for k, seg in enumerate(segs):
-        kids = t.where(F.col(seg).isNotNull()).groupBy("tt_host", "node", F.col(seg).alias("seg")).agg(*more, F.first("p").alias("up"))
+    for k in count():
+        seg = F.try_element_at("tt_segs", F.lit(k + 1))
+        deeper = t.where(F.size("tt_segs") > k)
+        if k >= levels:
+            deeper = deeper.groupBy("tt_host", "node").agg(F.sum("l").alias("l"), F.sum("b").alias("b")).where("b > 0 and b < l")
+        if not deeper.limit(1).count():
+            break
+        kids = t.where(F.size("tt_segs") > k).groupBy("tt_host", "node", seg.alias("seg")).agg(*more, F.first("p").alias("up"))
         kids = work.table(kids, f"children{k}", release=False)
         parent = kids.groupBy("tt_host", "node").agg(F.count(F.lit(1)).alias("kids"), F.sum("l").alias("pl"), F.sum("b").alias("pb"))
         kids = kids.join(parent, ["tt_host", "node"])
@@ -99,20 +108,12 @@ def template_tree(pages: DataFrame, work: Workspace, host: str = "host", path: s
         branch = branch.select("tt_host", "node", "child", smoothed(F.col("b"), F.col("l"), F.col("up")).alias("new"))
         step = work.table(kids.select("tt_host", "node", "seg", "child").join(branch, ["tt_host", "node", "child"]), f"branches{k}", release=False)
         step = step.select(*[F.col(c).alias(f"x_{c}") for c in step.columns])
-        t = t.join(step, (F.col("tt_host") == F.col("x_tt_host")) & (F.col("node") == F.col("x_node")) & (F.col(seg) == F.col("x_seg")), "left")
+        t = t.join(step, (F.col("tt_host") == F.col("x_tt_host")) & (F.col("node") == F.col("x_node")) & (seg == F.col("x_seg")), "left")
         t = t.withColumn("node", F.when(F.col("x_child").isNull(), F.col("node")).otherwise(F.concat("node", F.lit("/"), "x_child"))).withColumn("p", F.coalesce("x_new", "p"))
         t = work.table(t.select(*keys, "n", "l", "b", "p", "node"), f"level{k + 1}", release=False)
-    t = t.select(*[F.col(c).alias(f"x_{c}") for c in keys], F.concat("node", F.when(F.col("tt_deep"), F.lit("/**")).otherwise(F.lit(""))).alias("template"), F.col("p").alias("purity"))
-    d = d.join(t, same_path(d, t, host, segs), "left")
-    return d.drop(*segs, "tt_deep", *[f"x_{c}" for c in keys])
-
-
-def same_path(d: DataFrame, t: DataFrame, host: str, segs: list[str]) -> Column:
-    """Equal host, shaped segments (null equals null) and depth."""
-    on = (d[host] == t["x_tt_host"]) & (d["tt_deep"] == t["x_tt_deep"])
-    for s in segs:
-        on = on & d[s].eqNullSafe(t[f"x_{s}"])
-    return on
+    t = t.select(*[F.col(c).alias(f"x_{c}") for c in keys], F.concat("node", F.when(F.size("tt_segs") > k, F.lit("/**")).otherwise(F.lit(""))).alias("template"), F.col("p").alias("purity"))
+    d = d.join(t, (d[host] == t["x_tt_host"]) & (d["tt_segs"] == t["x_tt_segs"]), "left")
+    return d.drop("tt_segs", *[f"x_{c}" for c in keys])
 
 
 def smoothed(bad: Column, labelled: Column, prior: Column) -> Column:
