@@ -8,7 +8,8 @@ once. Totals are kept in a table partitioned by kind and n-gram length and are r
 
 A context that only one group lists has all its continuations there, so that group works out its backoff weight alone. For the
 others each n-gram has one group that answers for it; a group sends what its n-grams add to a context, by the context's
-number among the bucket's shared n-grams (known from the exchange of the counts, so no key travels twice), and gets the weight back.
+number among the bucket's shared n-grams (known from the exchange of the counts, so no key travels twice), and gets the weights back
+that it has unkept n-grams for, which only they multiply.
 
 P(w|h) = d_c c(hw)/c(h) where c(hw) reaches the length's least count (1 for words, `least` for longer n-grams: a model parameter; 1
 keeps singletons, more leaves them to the backoff), else alpha(h) P(w|h'). d_c is Good-Turing's ratio for c up to 5, 1 beyond (also
@@ -162,6 +163,17 @@ class Known:
         count, _, shared = self.totals(k - 1)
         return np.flatnonzero(shared & (count > 0))
 
+    def sizes(self, k: int) -> list[int]:
+        """How many shared contexts each told row is about."""
+        return [int.from_bytes(self.right.column("shared")[i].as_py(), "little") for i in self.rows[-k]]
+
+    def needed(self, k: int) -> np.ndarray:
+        """Of each context, begin alone last: does the group have an n-gram of length k after it that is not kept?"""
+        ctx, _ = self.s.contexts(k)
+        out = np.zeros(len(self.s.grams(k - 1)[2]) + 1, bool)
+        out[ctx[(self.totals(k)[0] < self.model.least)[self.s.grams(k)[3]]]] = True
+        return out
+
     def sums(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Of each context: the discounted counts of the kept n-grams that this group answers for, and what these words have below."""
         _, _, keys, at = self.s.grams(k)
@@ -183,10 +195,12 @@ class Known:
         mass, below = self.sums(k)
         own = np.flatnonzero(~np.append(self.totals(k - 1)[2], True) & (mass > 0))
         alpha[own], scale[own] = backoff(mass[own] / total[own], below[own], total[own])
-        told = np.concatenate([np.zeros(0), *(np.frombuffer(self.right.column("counts")[i].as_py(), "<f8") for i in self.rows[-k])])
+        told = [np.zeros(0), *(np.frombuffer(self.right.column("counts")[i].as_py(), "<f8") for i in self.rows[-k])]
+        marks = [np.zeros(0, bool), *(bits(self.right.column("owned")[i].as_py(), n) for i, n in zip(self.rows[-k], self.sizes(k)))]
         at = self.shared_contexts(k)
-        alpha[at] = np.abs(told)
-        scale[at] = np.where(told < 0, total[at] / (total[at] + 1.0), 1.0)
+        alpha[at[self.needed(k)[at]]] = np.concatenate(told)
+        scaled = at[np.concatenate(marks)]
+        scale[scaled] = total[scaled] / (total[scaled] + 1.0)
         if k == 2:
             alpha[-1], scale[-1] = self.model.begin
         self.weights[k] = alpha, scale
@@ -285,19 +299,20 @@ def score(docs: DataFrame, trained: Column, work: Workspace, order: int = 2, lea
     def added_of(k: int):
         def added(left: pa.Table, right: pa.Table) -> pa.Table:
             """What the group's n-grams of length k add to its shared contexts: by bucket, in the order of their numbers."""
-            out: dict[str, list] = {"bucket": [], "g": [], "some": [], "mass": [], "below": []}
+            out: dict[str, list] = {"bucket": [], "g": [], "some": [], "need": [], "mass": [], "below": []}
             if left.num_rows:
                 own = Known(model, left, right, k - 1)
                 mass, below = own.sums(k)
+                need = own.needed(k)
                 at, g = own.shared_contexts(k), left.column("g")[0].as_py()
                 cut = np.searchsorted(at, bounds(own.s.grams(k - 1)[2], buckets))
                 parts = [(int(b), at[cut[b] : cut[b + 1]]) for b in np.flatnonzero(np.diff(cut))]
                 if k == 2:
                     parts.append((-1 - g % BEGIN_PARTS, np.array([len(mass) - 1])))
                 for b, x in parts:
-                    some = mass[x] > 0
+                    some, wanted = mass[x] > 0, need[x]
                     x = x[some]
-                    for c, v in zip(out, (b, g, np.packbits(some).tobytes(), mass[x].astype("<f8").tobytes(), below[x].astype("<f8").tobytes())):
+                    for c, v in zip(out, (b, g, np.packbits(some).tobytes(), np.packbits(wanted).tobytes(), mass[x].astype("<f8").tobytes(), below[x].astype("<f8").tobytes())):
                         out[c].append(v)
             return pa.table({c: pa.array(v, pa.int32() if c in ("bucket", "g") else pa.binary()) for c, v in out.items()})
 
@@ -305,12 +320,12 @@ def score(docs: DataFrame, trained: Column, work: Workspace, order: int = 2, lea
 
     def weights_of(k: int):
         def weights(left: pa.Table, right: pa.Table) -> pa.Table:
-            """alpha of the bucket's shared contexts for each group that lists them, below zero where the counts are scaled."""
-            out: dict[str, list] = {"g": [], "ord": [], "bucket": [], "counts": []}
+            """For each group: alpha of the bucket's shared contexts that it needs, which of all that it lists are scaled, and how many."""
+            out: dict[str, list] = {"g": [], "ord": [], "bucket": [], "counts": [], "owned": [], "shared": []}
             b = (left if left.num_rows else right).column("bucket")[0].as_py()
-            mine = {g: tuple(np.frombuffer(left.column(c)[i].as_py(), "u1" if c == "some" else "<f8") for c in ("some", "mass", "below")) for i, g in enumerate(left.column("g").to_pylist())}
+            mine = {g: tuple(np.frombuffer(left.column(c)[i].as_py(), "<f8" if c in ("mass", "below") else "u1") for c in ("some", "mass", "below", "need")) for i, g in enumerate(left.column("g").to_pylist())}
             if b < 0:
-                out = {"g": [-1], "ord": [-k], "bucket": [b], "counts": [np.array([sum(x[i].sum() for x in mine.values()) for i in (1, 2)], "<f8").tobytes()]}
+                out = {"g": [-1], "ord": [-k], "bucket": [b], "counts": [np.array([sum(x[i].sum() for x in mine.values()) for i in (1, 2)], "<f8").tobytes()], "owned": [b""], "shared": [b""]}
             else:
                 blobs = dict(zip(right.column("g").to_pylist(), right.column("counts").to_pylist()))
                 total = unpack_counts(blobs.pop(-1))
@@ -318,29 +333,30 @@ def score(docs: DataFrame, trained: Column, work: Workspace, order: int = 2, lea
                 mass, below = np.zeros(len(total)), np.zeros(len(total))
                 for g, x in numbers.items():
                     if g in mine:
-                        some, m, z = mine[g]
+                        some, m, z, _ = mine[g]
                         x = x[np.unpackbits(some, count=len(x)).astype(bool)]
                         mass[x] += m
                         below[x] += z
                 alpha, scale = backoff(mass / total, below, total)
-                alpha = np.where(scale < 1, -alpha, alpha)
                 for g, x in numbers.items():
-                    for c, v in zip(out, (g, -k, b, alpha[x].astype("<f8").tobytes())):
-                        out[c].append(v)
-            return pa.table({c: pa.array(v, pa.binary() if c == "counts" else pa.int32()) for c, v in out.items()})
+                    if g in mine:
+                        need = np.unpackbits(mine[g][3], count=len(x)).astype(bool)
+                        for c, v in zip(out, (g, -k, b, alpha[x[need]].astype("<f8").tobytes(), np.packbits(scale[x] < 1).tobytes(), len(x).to_bytes(4, "little"))):
+                            out[c].append(v)
+            return pa.table({c: pa.array(v, pa.int32() if c in ("g", "ord", "bucket") else pa.binary()) for c, v in out.items()})
 
         return weights
 
     for k in range(2, order + 1):
-        sent = src.groupBy("g").cogroup(replies.where(F.col("ord") <= k).groupBy("g")).applyInArrow(added_of(k), "bucket int, g int, some binary, mass binary, below binary")
+        sent = src.groupBy("g").cogroup(replies.where(F.col("ord") <= k).groupBy("g")).applyInArrow(added_of(k), "bucket int, g int, some binary, need binary, mass binary, below binary")
         numbers = told.where((F.col("kind") == "number") & (F.col("ord") == k - 1)).select("bucket", "g", "counts")
-        back = work.table(sent.groupBy("bucket").cogroup(numbers.groupBy("bucket")).applyInArrow(weights_of(k), "g int, ord int, bucket int, counts binary"), f"weights{k}")
+        back = work.table(sent.groupBy("bucket").cogroup(numbers.groupBy("bucket")).applyInArrow(weights_of(k), "g int, ord int, bucket int, counts binary, owned binary, shared binary"), f"weights{k}")
         if k == 2:
             parts = [np.frombuffer(r["counts"], "<f8") for r in back.where("g = -1").select("counts").collect()]  # BEGIN_PARTS rows at most
             if model.train_docs:
                 alpha, scale = backoff(sum(x[:1] for x in parts) / model.train_docs, sum(x[1:] for x in parts), np.array([model.train_docs]))
                 model.begin = float(alpha[0]), float(scale[0])
-        replies = replies.unionByName(back.where("g >= 0").select("*", F.lit(None).cast("binary").alias("owned"), F.lit(None).cast("binary").alias("shared")))
+        replies = replies.unionByName(back.where("g >= 0"))
 
     names = [*kinds, "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     schema = ", ".join([*(f"{c} {t}" for c, t in kinds.items()), "n_tokens long, n_known long, train_tokens long, base_score double, score double"])
