@@ -244,7 +244,7 @@ def test_gate_order(spark):
 
 def test_sticky(spark):
     df = spark.createDataFrame([("a", i, b) for i, b in enumerate([True, True, True, False, False, True, False, False, False])], "k string, i int, b boolean")
-    assert [r["demoted"] for r in G.sticky(df, ["k"], "i", "b").orderBy("i").collect()] == [False, False, True, True, True, True, True, True, False]
+    assert [r["demoted"] for r in G.sticky(df, ["k"], "i", "b").orderBy("i").collect()] == [False, False, True, True, True, True, True, True, True]  # clean checks do not undo it
 
 
 def test_cooldown_rules():
@@ -342,3 +342,74 @@ def test_autocorrelation(spark):
     acf = [(z[k:] * z[:-k]).sum() / (z * z).sum() for k in (1, 2, 3)]
     assert [r["acf1"], r["acf2"], r["acf3"]] == pytest.approx(acf)
     assert r["ljung_box"] == pytest.approx(200 * 202 * sum(a * a / (200 - k) for k, a in enumerate(acf, 1)))
+
+
+def test_event_between_any_span_and_equal_rows(spark):
+    import datetime as dt
+
+    day = lambda y, m, d: dt.date(y, m, d)
+    left = spark.createDataFrame([(1, day(2000, 1, 1), day(2020, 1, 1)), (2, day(2019, 1, 1), day(2019, 2, 1)), (2, day(2019, 1, 1), day(2019, 2, 1)), (3, day(2019, 2, 1), day(2019, 3, 1)), (4, day(2019, 1, 1), None), (5, None, day(2019, 3, 1))], "i int, a date, b date")
+    events = spark.createDataFrame([(day(2019, 2, 1),), (day(2030, 1, 1),)], "e date")
+    assert sorted(r["i"] for r in J_events(left, events).collect()) == [1, 2, 2]
+    assert J_events(left, events.limit(0)).count() == 0
+
+
+def J_events(left, events):
+    from tidemark.operators.joins import with_event_between
+
+    return with_event_between(left, events, "a", "b", "e")
+
+
+def test_long_half_lives(spark):
+    """Weights reach as far as the half-life asks for, and no power overflows where it is short."""
+    from tidemark.operators.windows import ewma
+    from tidemark.plans.walkforward import recency_fit
+
+    rng = np.random.default_rng(4)
+    n = 3000
+    x, y = rng.normal(size=n), rng.normal(size=n)
+    df = spark.createDataFrame([("a", i, float(x[i]), float(y[i]) + 2 * float(x[i]) * (i > 1500)) for i in range(n)], "k string, i int, x double, y double")
+    yy = y + 2 * x * (np.arange(n) > 1500)
+    for half in (1000.0, 0.25):
+        w = 0.5 ** (np.arange(n - 1)[::-1] / half)
+        mx, my = np.average(x[:-1], weights=w), np.average(yy[:-1], weights=w)
+        want = np.average((x[:-1] - mx) * (yy[:-1] - my), weights=w) / np.average((x[:-1] - mx) ** 2, weights=w)
+        got = recency_fit(df, ["k"], "i", "x", "y", halflife=half).where(f"i = {n - 1}").first()["slope"]
+        assert got == pytest.approx(want, rel=1e-6)
+        assert ewma(df, ["k"], "i", "y", half, "e").where(f"i = {n - 1}").first()["e"] == pytest.approx(my, rel=1e-9)
+
+
+def test_null_times_match_nothing(spark):
+    left = spark.createDataFrame([("a", None), ("a", 5)], "k string, t int")
+    right = spark.createDataFrame([("a", 3, 1.0), ("a", 7, 2.0)], "k string, u int, v double")
+    from tidemark.operators.asof import asof_join
+
+    for direction, want in (("forward", 2.0), ("backward", 1.0)):
+        assert {r["t"]: r["v"] for r in asof_join(left, right, ["k"], "t", "u", ["v"], direction).collect()} == {None: None, 5: want}
+
+
+def test_null_p_values_are_left_out(spark):
+    from tidemark.functions.stats import benjamini_hochberg
+
+    d = spark.createDataFrame([("a", 1, 0.01), ("a", 2, None), ("a", 3, 0.04)], "k string, i int, p double")
+    got = {r["i"]: (r["p_bh"], r["reject_bh"]) for r in benjamini_hochberg(d, ["k"], "p").collect()}
+    assert got[2] == (None, False) and got[1] == (pytest.approx(0.03), True) and got[3] == (pytest.approx(0.06), False)
+
+
+def test_xml_entries_keep_to_themselves(spark):
+    x = spark.createDataFrame([(7, "<f><e><d>1</d></e><e a='1'>\n<d>2</d><v>20</v></e><e/><e><v>30</v></e></f>"), (8, "<f/>")], "i int, b string")
+    assert [tuple(r) for r in readers.xml_rows(x, "b", "f/e", {"d": "d", "v": "v"}).collect()] == [(7, "1", None), (7, "2", "20"), (7, None, None), (7, None, "30")]
+
+
+def test_store_keeps_columns_and_survives_a_crash(spark, tmp_path):
+    a = spark.createDataFrame([(1, None, "x"), (2, 4.0, "y")], "k int, v double, note string")
+    b = spark.createDataFrame([(1, 5.0), (1, 6.0), (3, 1.0)], "k int, v double")
+    got = {r["k"]: (r["v"], r["note"]) for r in stores.fill_missing(a, b, ["k"], ["v"]).collect()}
+    assert got == {1: (5.0, "x"), 2: (4.0, "y"), 3: (1.0, None)}
+    at = str(tmp_path / "s")
+    stores.replace(a, at)
+    stores.replace(b, at)
+    assert spark.read.parquet(at).count() == 3 and [p.name for p in tmp_path.iterdir()] == ["s"]
+    (tmp_path / "s").rename(tmp_path / "s.old")  # as a crash between the two moves leaves it
+    stores.recover(spark, at)
+    assert spark.read.parquet(at).count() == 3 and [p.name for p in tmp_path.iterdir()] == ["s"]

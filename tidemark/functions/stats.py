@@ -130,13 +130,16 @@ def wilcoxon(df: DataFrame, by: list[str], difference: str) -> DataFrame:
 
 
 def benjamini_hochberg(df: DataFrame, by: list[str], p: str, alpha: float = 0.05) -> DataFrame:
-    """Adjusted p-values, Benjamini-Hochberg and Bonferroni, and whether each is rejected at alpha."""
+    """Adjusted p-values, Benjamini-Hochberg and Bonferroni, and whether each is rejected at alpha.
+
+    A null p-value takes no rank and is not rejected; it still counts as one of the tests made.
+    """
     w, m = Window.partitionBy(*by), F.count(F.lit(1)).over(Window.partitionBy(*by))
-    d = df.withColumn("__m", m).withColumn("__i", F.row_number().over(w.orderBy(p)))
+    d = df.withColumn("__m", m).withColumn("__i", F.row_number().over(w.orderBy(F.col(p).asc_nulls_last())))
     raw = F.col(p) * F.col("__m") / F.col("__i")
-    d = d.withColumn("p_bh", F.least(F.lit(1.0), F.min(raw).over(w.orderBy("__i").rowsBetween(0, Window.unboundedFollowing))))
-    d = d.withColumn("p_bonferroni", F.least(F.lit(1.0), F.col(p) * F.col("__m")))
-    return d.withColumn("reject_bh", F.col("p_bh") <= alpha).drop("__m", "__i")
+    d = d.withColumn("p_bh", F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.min(raw).over(w.orderBy("__i").rowsBetween(0, Window.unboundedFollowing)))))
+    d = d.withColumn("p_bonferroni", F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.col(p) * F.col("__m"))))
+    return d.withColumn("reject_bh", F.coalesce(F.col("p_bh") <= alpha, F.lit(False))).drop("__m", "__i")
 
 
 def _xlogy(k: Column, p: Column) -> Column:

@@ -32,7 +32,7 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_ts: str, ri
         got = F.last("__match", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     else:
         got = F.first("__match", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    out = l.unionByName(r).withColumn("__got", got).where("__left is not null")
+    out = l.unionByName(r).withColumn("__got", F.when(F.col("__ts").isNotNull(), got)).where("__left is not null")  # a row without a time matches nothing
     if tolerance:
         span = F.expr(f"INTERVAL {tolerance}")
         t, m = F.col("__left")[left_ts], F.col("__got")[right_ts]

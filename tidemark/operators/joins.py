@@ -23,11 +23,16 @@ def exclude_neighbourhood(left: DataFrame, events: DataFrame, day: str, event_da
     return left.join(near, left[day] == near["__d"], "left_anti")
 
 
-def with_event_between(left: DataFrame, events: DataFrame, start: str, end: str, event_day: str, most_days: int = 400) -> DataFrame:
-    """Rows with an event in (start, end]; spans are walked day by day, up to most_days, so that the join is by equality."""
-    days = left.withColumn("__d", F.explode(F.when((F.col(end) > F.col(start)) & (F.datediff(end, start) <= most_days), F.sequence(F.date_add(start, 1), F.col(end))).otherwise(F.array().cast("array<date>"))))
-    hit = days.join(events.select(F.col(event_day).alias("__d")).distinct(), "__d", "left_semi")
-    return hit.drop("__d").dropDuplicates()
+def with_event_between(left: DataFrame, events: DataFrame, start: str, end: str, event_day: str) -> DataFrame:
+    """Rows with an event in (start, end], each as often as it comes; a row with a null end has none.
+
+    Each day that ends a span gets the last event up to it, in one pass over the days that occur (a calendar's worth), so rows are joined
+    by equality and spans may be of any length.
+    """
+    marks = left.select(F.col(end).alias("__d"), F.lit(None).cast("date").alias("__e")).unionByName(events.select(F.col(event_day).alias("__d"), F.col(event_day).cast("date").alias("__e")))
+    days = marks.where("__d is not null").groupBy("__d").agg(F.max("__e").alias("__e"))
+    last = days.select("__d", F.last("__e", True).over(Window.orderBy("__d")).alias("__last")).where("__last is not null")
+    return left.join(last, left[end] == last["__d"]).where(F.col("__last") > F.col(start)).drop("__d", "__last")
 
 
 def ahead_on_calendar(df: DataFrame, by: list[str], day: str, n: int, columns: list[str], suffix: str) -> DataFrame:

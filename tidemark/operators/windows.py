@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,12 +99,19 @@ def robust_z(df: DataFrame, by: list[str], order: str, value: str, n: int, least
     return d.withColumn("__d", mad).withColumn(name, F.when((k >= least) & (F.col("__d") > 0), (F.col(value) - F.col("__m")) / (1.4826 * F.col("__d")))).drop("__p", "__m", "__d")
 
 
-def ewma(df: DataFrame, by: list[str], order: str, value: str, halflife: float, name: str, span: int = 256) -> DataFrame:
-    """Half-life weighted mean of the rows strictly before; weights below 2**-(span/halflife) count as 0."""
-    past = F.collect_list(value).over(rows_before(by, [order], span))
-    r = 0.5 ** (1 / halflife)
-    state = F.aggregate(past, F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("w")), lambda a, x: F.struct((a["s"] * r + x).alias("s"), (a["w"] * r + 1).alias("w")))
-    return df.withColumn("__e", state).withColumn(name, F.when(F.col("__e")["w"] > 0, F.col("__e")["s"] / F.col("__e")["w"])).drop("__e")
+def ewma(df: DataFrame, by: list[str], order: str, value: str, halflife: float, name: str) -> DataFrame:
+    """Half-life weighted mean of the values strictly before, ages counted in values that are there.
+
+    Sums of a block of 50 half-lives and of the block before it are added (older values weigh below 2^-50), so a row costs two window sums.
+    """
+    size = max(1, math.ceil(50 * halflife))
+    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    d = df.withColumn("__i", F.count(value).over(w)).withColumn("__blk", F.floor(F.col("__i") / size))
+    d = d.withColumn("__w", F.when(F.col(value).isNotNull(), F.pow(F.lit(2.0), (F.col("__i") - (F.col("__blk") + 1) * size) / halflife)))
+    past = Window.partitionBy(*by, "__blk").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*by).orderBy("__blk").rangeBetween(-1, -1)
+    total = {k: F.coalesce(F.sum(v).over(past), F.lit(0.0)) + 2.0 ** (-size / halflife) * F.coalesce(F.sum(v).over(before), F.lit(0.0)) for k, v in {"__sw": F.col("__w"), "__sv": F.col("__w") * F.col(value)}.items()}
+    return d.withColumns(total).withColumn(name, F.when(F.col("__sw") > 0, F.col("__sv") / F.col("__sw"))).drop("__i", "__blk", "__w", *total)
 
 
 def chain_ahead(df: DataFrame, by: list[str], day: str, value: str, k: int, most_step: int) -> DataFrame:

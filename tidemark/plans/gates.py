@@ -68,12 +68,11 @@ def refit_due(new_pairs: Column, least: int = 10) -> Column:
 
 
 def sticky(df: DataFrame, by: list[str], order: str, breach: str, checks: int = 3) -> DataFrame:
-    """Demoted once the last `checks` checks all breach; stays so until a later run of as many clean checks."""
+    """Demoted once the last `checks` checks all breach; nothing but a person undoes it, so it stays so."""
     w = Window.partitionBy(*by).orderBy(order)
     last = w.rowsBetween(-(checks - 1), 0)
     b = F.coalesce(F.col(breach), F.lit(False)).cast("int")
     d = df.withColumn("__b", b)
     full = F.count("__b").over(last) == checks
-    turn = F.when(full & (F.min("__b").over(last) == 1), 1).when(full & (F.max("__b").over(last) == 0), 0)
-    d = d.withColumn("__t", turn)
-    return d.withColumn("demoted", F.coalesce(F.last("__t", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)) == 1).drop("__b", "__t")
+    d = d.withColumn("__t", (full & (F.min("__b").over(last) == 1)).cast("int"))
+    return d.withColumn("demoted", F.max("__t").over(w.rowsBetween(Window.unboundedPreceding, 0)) == 1).drop("__b", "__t")

@@ -55,16 +55,18 @@ def rolling_slope(df: DataFrame, by: list[str], decision: str, x: str, y: str, n
 def recency_fit(df: DataFrame, by: list[str], order: str, x: str, y: str, halflife: float = 10.0, least: int = 30) -> DataFrame:
     """Weighted least-squares line over all strictly earlier rows, weights 0.5^(age in rows / halflife).
 
-    Weights are kept relative to blocks of 512 rows, so that no power under- or overflows on long series.
+    Weights are kept relative to blocks of 50 half-lives, so that no power under- or overflows on long series; older blocks than the one
+    before weigh less than 2^-50.
     """
+    size = max(1, math.ceil(50 * halflife))
     w0 = Window.partitionBy(*by).orderBy(order)
-    d = df.withColumn("__i", F.row_number().over(w0)).withColumn("__blk", F.floor(F.col("__i") / 512))
-    wt = F.pow(F.lit(2.0), (F.col("__i") - (F.col("__blk") + 1) * 512) / halflife)
+    d = df.withColumn("__i", F.row_number().over(w0)).withColumn("__blk", F.floor(F.col("__i") / size))
+    wt = F.pow(F.lit(2.0), (F.col("__i") - (F.col("__blk") + 1) * size) / halflife)
     d = d.withColumn("__w", F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), wt))
     past = Window.partitionBy(*by, "__blk").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    before = Window.partitionBy(*by).orderBy("__blk").rangeBetween(-1, -1)  # the block before; older ones weigh below 2^-50
+    before = Window.partitionBy(*by).orderBy("__blk").rangeBetween(-1, -1)  # the block before
     names = {"w": F.col("__w"), "x": F.col("__w") * F.col(x), "y": F.col("__w") * F.col(y), "xx": F.col("__w") * F.col(x) * F.col(x), "xy": F.col("__w") * F.col(x) * F.col(y)}
-    shift = F.pow(F.lit(2.0), F.lit(-512.0 / halflife))
+    shift = F.pow(F.lit(2.0), F.lit(-size / halflife))
     s = {k: F.coalesce(F.sum(v).over(past), F.lit(0.0)) + shift * F.coalesce(F.sum(v).over(before), F.lit(0.0)) for k, v in names.items()}
     d = d.withColumns({f"__s{k}": v for k, v in s.items()})
     det = F.col("__sw") * F.col("__sxx") - F.col("__sx") * F.col("__sx")

@@ -60,9 +60,14 @@ def api_rows(df: DataFrame, body: str, schema: str, path: str = "rows") -> DataF
 
 
 def xml_rows(df: DataFrame, body: str, entry: str, fields: dict[str, str]) -> DataFrame:
-    """Entries of an XML document in a column; fields maps names to paths below the entry."""
-    arrays = [F.expr(f"xpath({body}, '{entry}/{p}/text()')").alias(n) for n, p in fields.items()]
-    return df.withColumn("__z", F.explode(F.arrays_zip(*arrays))).select(*[c for c in df.columns if c != body], *[F.col("__z")[n].alias(n) for n in fields])
+    """Entries of an XML document in a column; fields maps names to paths below the entry.
+
+    Each entry is read by itself, so a field that it lacks is null. Entries do not nest.
+    """
+    tag = entry.rstrip("/").rpartition("/")[2]
+    each = F.regexp_extract_all(body, F.lit(rf"(?s)<{tag}(?:\s[^>]*)?/>|<{tag}(?:\s[^>]*)?>.*?</{tag}\s*>"), F.lit(0))
+    d = df.withColumn("__x", F.explode(each))
+    return d.select(*[c for c in df.columns if c != body], *[F.expr(f"try_element_at(xpath(__x, '{tag}/{p}/text()'), 1)").alias(n) for n, p in fields.items()])
 
 
 def html_fields(df: DataFrame, html: str, patterns: dict[str, str]) -> DataFrame:

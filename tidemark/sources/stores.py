@@ -12,9 +12,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def one_per_key(df: DataFrame, keys: list[str]) -> DataFrame:
+    """One row of each key: the first in order of the other columns, the same one each time."""
+    w = Window.partitionBy(*keys).orderBy(*[F.col(c) for c in df.columns if c not in keys], F.lit(0))
+    return df.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
+
+
 def new_rows(stored: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """New rows whose key is not stored; of repeated new keys one stays."""
-    n, s = new.dropDuplicates(keys), stored.select(*[F.col(k).alias(f"__{k}") for k in keys])
+    """New rows whose key is not stored; of repeated new keys the first in order of the other columns stays."""
+    n, s = one_per_key(new, keys), stored.select(*[F.col(k).alias(f"__{k}") for k in keys])
     return n.join(s, reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]), "left_anti")
 
 
@@ -26,11 +32,11 @@ def upgraded(stored: DataFrame, new: DataFrame, keys: list[str], better: str) ->
 
 
 def fill_missing(stored: DataFrame, new: DataFrame, keys: list[str], columns: list[str], insert: bool = True) -> DataFrame:
-    """Stored values stay; only nulls take the new value. insert: keys that are only new come in."""
-    n = new.dropDuplicates(keys).select(*[F.col(c).alias(f"__{c}") for c in [*keys, *columns]])
+    """Stored values stay; only nulls in `columns` take the new value. insert: keys that are only new come in, with nulls in the other columns."""
+    n = one_per_key(new, keys).select(*[F.col(c).alias(f"__{c}") for c in [*keys, *columns]])
     on = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
-    j = stored.select(*keys, *columns).join(n, on, "full_outer" if insert else "left")
-    return j.select(*[F.coalesce(c, f"__{c}").alias(c) for c in [*keys, *columns]])
+    j = stored.join(n, on, "full_outer" if insert else "left")
+    return j.select(*[F.coalesce(c, f"__{c}").alias(c) if c in [*keys, *columns] else F.col(c) for c in stored.columns])
 
 
 def newest_wins(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -59,16 +65,40 @@ def may_publish(stored: DataFrame, new: DataFrame, order: list[str]) -> DataFram
 
 
 def replace(df: DataFrame, path: str) -> None:
-    """Write beside the target and rename, so that readers see the old or the new state."""
+    """Write beside the target, move the old state aside, move the new one in and only then delete the old one.
+
+    The state is never lost: a crash between the two moves leaves the old state aside, and `recover` (called first here and
+    by readers that open a store) moves it back.
+    """
     spark = df.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    tmp = f"{path.rstrip('/')}.next-{uuid.uuid4().hex[:8]}"
+    recover(spark, path)
+    at = path.rstrip("/")
+    tmp, aside = f"{at}.next-{uuid.uuid4().hex[:8]}", f"{at}.old"
     df.write.parquet(tmp)
-    target, source = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(tmp)
-    fs = target.getFileSystem(conf)
-    if fs.exists(target):
-        fs.delete(target, True)
-    fs.rename(source, target)
+    fs, (target, source, old) = _files(spark, at, tmp, aside)
+    if fs.exists(target) and not fs.rename(target, old):
+        raise OSError(f"{at} could not be moved aside")
+    if not fs.rename(source, target):
+        fs.rename(old, target)
+        raise OSError(f"{tmp} could not be moved to {at}")
+    fs.delete(old, True)
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """Undo or finish a `replace` that was broken off."""
+    at = path.rstrip("/")
+    fs, (target, old) = _files(spark, at, f"{at}.old")
+    if fs.exists(old):
+        if fs.exists(target):
+            fs.delete(old, True)
+        else:
+            fs.rename(old, target)
+
+
+def _files(spark: SparkSession, *paths: str):
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    found = [jvm.org.apache.hadoop.fs.Path(p) for p in paths]
+    return found[0].getFileSystem(conf), found
 
 
 def append_new(spark: SparkSession, new: DataFrame, path: str, keys: list[str]) -> None:

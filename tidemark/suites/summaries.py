@@ -367,8 +367,8 @@ def direction_gate(spark, sf_dir):
     return g.select("k", "y", ok.alias("ok"), why.alias("reason"))
 
 
-@query(f"""with {DAILY}, b as (select k, d, cast(v < 140000 as int) as b from daily), t as (select *, case when count(b) over w = 3 and min(b) over w = 1 then 1 when count(b) over w = 3 and max(b) over w = 0 then 0 end as t from b window w as ({BY} rows between 2 preceding and current row))
-select k, d, coalesce(last_value(t ignore nulls) over ({BY} rows between unbounded preceding and current row), 0) = 1 as demoted from t""")
+@query(f"""with {DAILY}, b as (select k, d, cast(v < 140000 as int) as b from daily), t as (select *, count(b) over w = 3 and min(b) over w = 1 as t from b window w as ({BY} rows between 2 preceding and current row))
+select k, d, bool_or(t) over ({BY} rows between unbounded preceding and current row) as demoted from t""")
 def sticky_demotion(spark, sf_dir):
     d = daily(spark, sf_dir).withColumn("breach", F.col("v") < 140000)
     return G.sticky(d, ["k"], "d", "breach").select("k", "d", "demoted")
