@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tidemark.suites import QUERIES, SQL, summaries, temporal, trailing
+from tidemark.suites import QUERIES, SQL, basics, summaries, temporal, trailing
 
-SUITES = (temporal, trailing, summaries)
+SUITES = (temporal, trailing, summaries, basics)
 
 
 def queries() -> dict[str, Callable]:

@@ -73,7 +73,7 @@ def drop_carried_forward(spark, sf_dir):
     return W.drop_repeats(daily(spark, sf_dir), ["k"], "d", "n").select("k", "d", "n")
 
 
-@query(f"with {DAILY}, x as (select *, row_number() over ({BY}) as i from daily) select a.k, a.d, round(sum(b.v * pow(0.5, (a.i - b.i - 1) / 10.0)) / sum(pow(0.5, (a.i - b.i - 1) / 10.0)), 3) as ewma from x a left join x b on a.k = b.k and b.i < a.i and b.i >= a.i - 256 group by 1, 2")
+@query(f"with {DAILY}, x as (select *, row_number() over ({BY}) as i from daily) select a.k, a.d, round(sum(b.v * pow(0.5, (a.i - b.i - 1) / 10.0)) / sum(pow(0.5, (a.i - b.i - 1) / 10.0)), 3) as ewma from x a left join x b on a.k = b.k and b.i < a.i group by 1, 2")
 def ewma_shifted(spark, sf_dir):
     return W.ewma(daily(spark, sf_dir), ["k"], "d", "v", 10, "ewma").select("k", "d", r("ewma", 3).alias("ewma"))
 
