@@ -182,17 +182,25 @@ def matured_totals(spark, sf_dir):
     return out.select("k", "d", r("past", 2).alias("past"), F.col("c").cast("long").alias("c"))
 
 
-@query()
+@query(f"""with {DAILY}, b as (select k, d, v, min(v) over w as lo, max(v) over w as hi from daily window w as ({BY} rows between 20 preceding and 1 preceding)),
+s as (select k, d + 1 as known, greatest(lo - v, v - hi) as s, row_number() over (partition by k order by d) as i from b where lo is not null), m as (select b.k, b.d, count(s.i) as m from b left join s on b.k = s.k and s.known < b.d group by 1, 2),
+l as (select m.k, m.d, list_sort(list(s.s)) as l from m join s on m.k = s.k and s.i > m.m - 250 and s.i <= m.m group by 1, 2), q as (select k, d, case when len(l) >= 20 then l[least(ceil((len(l) + 1) * 0.8)::bigint, len(l))] end as adjust from l)
+select b.k, b.d, round(adjust, 4) as adjust, round(lo - adjust, 4) as cqr_lower, round(hi + adjust, 4) as cqr_upper from b left join q on b.k = q.k and b.d = q.d""")
 def cqr_bands(spark, sf_dir):
     w = Window.partitionBy("k").orderBy("d")
     d = daily(spark, sf_dir).withColumn("lo", F.min("v").over(w.rowsBetween(-20, -1))).withColumn("hi", F.max("v").over(w.rowsBetween(-20, -1))).withColumn("known", F.date_add("d", 1))
-    return P.cqr(d, ["k"], "d", "known", "lo", "hi", "v").select("k", "d", "adjust", "cqr_lower", "cqr_upper")
+    return P.cqr(d, ["k"], "d", "known", "lo", "hi", "v").select("k", "d", *[r(c, 4).alias(c) for c in ("adjust", "cqr_lower", "cqr_upper")])
 
 
-@query()
+@query(f"""with recursive {DAILY}, e as (select k, d, abs(v - lag(v) over ({BY})) as e, row_number() over ({BY}) as i from daily), x as (select a.k, a.d, a.i, a.e, list_sort(list(b.e) filter (b.e is not null)) as l from e a left join e b on a.k = b.k and b.i < a.i and b.i >= a.i - 60 group by all),
+t as (select k, 0::bigint as i, 0.8::double as next, null::double as half, null::double as level from x where i = 1 union all
+select k, i, case when half is not null and e is not null then level + 0.02 * (0.8 - (e <= half)::int) else level end as next, half, level from (
+select k, i, e, level, case when len(l) >= 20 then l[floor(p)::bigint + 1] + (p - floor(p)) * (l[least(floor(p)::bigint + 2, len(l))] - l[floor(p)::bigint + 1]) end as half from (
+select x.k, x.i, x.e, x.l, t.next as level, least(greatest(t.next, 0), 1) * (len(x.l) - 1) as p from t join x on x.k = t.k and x.i = t.i + 1)))
+select t.k, x.d, round(t.half, 4) as aci_half, round(t.level, 9) as aci_level from t join x using (k, i)""")
 def adaptive_conformal_bands(spark, sf_dir):
     d = daily(spark, sf_dir).withColumn("f", F.lag("v").over(Window.partitionBy("k").orderBy("d")))
-    return P.adaptive_conformal(d, ["k"], "d", "f", "v").select("k", "d", "aci_half", "aci_level")
+    return P.adaptive_conformal(d, ["k"], "d", "f", "v").select("k", "d", r(F.nanvl("aci_half", F.lit(None).cast("double")), 4).alias("aci_half"), r("aci_level", 9).alias("aci_level"))
 
 
 @query()
@@ -204,7 +212,7 @@ def huber_calibration(spark, sf_dir):
 def garch_bounds(spark, sf_dir):
     from tidemark.plans.models import garch_forecast
 
-    return garch_forecast(returns(spark, sf_dir).where("d >= date'1997-06-01'"), ["k"], "d", "y", 5)
+    return garch_forecast(returns(spark, sf_dir), ["k"], "d", "y", 5)
 
 
 @query()
@@ -221,13 +229,19 @@ def simulated_range(spark, sf_dir):
     return simulated_ranges(returns(spark, sf_dir), ["k"], "d", "y", 5)
 
 
-@query()
+@query(f"""with recursive {DAILY}, x as (select k, d, v, case when n % 2 = 0 then lag(v) over ({BY}) end as w, row_number() over ({BY}) as i from daily),
+t as (select k, 0::bigint as i, v as x0, 0::double as x1, 1e6::double as a, 0::double as b, 1e4::double as c from x where i = 1 union all
+select k, i, case when w is null then y0 else y0 + (a1 + b1) / s * (w - y0 - y1) end, case when w is null then y1 else y1 + (b1 + c1) / s * (w - y0 - y1) end,
+case when w is null then a1 else a1 - (a1 + b1) * (a1 + b1) / s end, case when w is null then b1 else b1 - (a1 + b1) * (b1 + c1) / s end, case when w is null then c1 else c1 - (b1 + c1) * (b1 + c1) / s end from (
+select k, i, w, x0 + a0 / z * (v - x0) as y0, x1 + b / z * (v - x0) as y1, a0 - a0 * a0 / z as a1, b - a0 * b / z as b1, c - b * b / z as c1, a0 - a0 * a0 / z + 2 * (b - a0 * b / z) + c - b * b / z + 2e7 as s from (
+select x.k, x.i, x.v, x.w, t.x0, t.x1, t.a + 1e6 as a0, t.b, t.c, t.a + 1e6 + 1e7 as z from t join x on x.k = t.k and x.i = t.i + 1)))
+select t.k, x.d, round(t.x0, 3) as level, round(t.a, 2) as level_var from t join x using (k, i)""")
 def kalman_levels(spark, sf_dir):
     from tidemark.plans.models import kalman
 
     w = Window.partitionBy("k").orderBy("d")
     d = daily(spark, sf_dir).withColumn("s2", F.when(F.col("n") % 2 == 0, F.lag("v").over(w)))
-    return kalman(d, ["k"], "d", ["v", "s2"], 1e6, [1e7, 2e7])
+    return kalman(d, ["k"], "d", ["v", "s2"], 1e6, [1e7, 2e7]).select("k", "d", r("level", 3).alias("level"), r("level_var", 2).alias("level_var"))
 
 
 
