@@ -84,6 +84,24 @@ def test_suffix_tree(spark, docs):
         assert got == want
 
 
+def test_suffix_array_and_maximal_repeats():
+    from tidemark.llm.suffix_tree import maximal_repeats, suffix_array
+
+    r = random.Random(5)
+    for _ in range(60):
+        pieces = [[r.randrange(3) for _ in range(r.randint(1, 25))] for _ in range(r.randint(1, 6))]
+        number = np.array([x for p in pieces for x in p])
+        left = np.concatenate([np.arange(len(p), 0, -1) for p in pieces])
+        tails = [tuple(p[k:]) for p in pieces for k in range(len(p))]
+        turn, common = suffix_array(number, left)
+        shared = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        assert [tails[i] for i in turn] == sorted(tails) and list(common[1:]) == [shared(tails[a], tails[b]) for a, b in zip(turn, turn[1:])]
+        order = np.array(r.sample(range(len(tails)), len(tails)))
+        got = dict(zip(*(x.tolist() for x in maximal_repeats(turn, common, order, 3))))
+        best = {i: max((shared(tails[i], tails[j]) for j in range(len(tails)) if order[j] < order[i]), default=0) for i in range(len(tails))}
+        assert got == {i: x for i, x in best.items() if x >= 3}
+
+
 def test_repeated_rows_and_null_ids(spark):
     from tidemark.llm import suffix_merge, suffix_tree
 

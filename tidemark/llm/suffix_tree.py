@@ -1,11 +1,15 @@
 """Substring dedup with prefix-partitioned suffix trees over words.
 
 A window of 20 words can only repeat if the words at its anchor do (repeats), so suffixes are partitioned by the words at their anchor.
-Equal segments are one first, the earliest stays. Segments that share an anchor with unequal ones go on as pieces
-of text: the pieces of a key meet in the group of its prefix; where a key has more than SPLIT unequal pieces, its prefix is lengthened to the
-whole window, and each window goes to a group of its own words. Keys are dealt into groups of a size that fits a task's memory.
-A group's suffix tree is built from the sorted suffixes and their longest common prefixes; its internal nodes
-of depth 20 words and more are the repeats, and all leaves below them but the earliest are removed.
+Equal segments are one leaf, that of the earliest place. Segments that share an anchor with unequal ones go on as pieces of text: the pieces of
+a key meet in the group of its prefix, and keys are dealt into groups of a size that fits a task's memory. A group's suffix tree is built from its
+suffix array (prefix doubling) and the longest common prefixes of neighbours, its internal nodes being intervals of the array. Of
+the nodes of depth 20 words and more above a suffix, the deepest that also holds an earlier place is a maximal repeat: as many words as that
+node is deep are removed.
+
+Where a key has more than SPLIT unequal pieces, its prefix is lengthened to the whole window: each window goes to the group of its own words,
+which is a node of the tree by itself, and only the earliest of its places stays. Equal windows are one before they are shuffled, so that a very common
+passage costs a row a batch and not one for each of its surroundings.
 
 Words are [^\\x20\\x09-\\x0D]+, unchanged. A null text has none. Earlier is a smaller id (null first), or the same document and
 an earlier start. A row that occurs twice is one document here, so both copies keep the same words. Removal is judged
@@ -47,6 +51,62 @@ def deep_leaves(suffix: np.ndarray, order: np.ndarray) -> np.ndarray:
     return out
 
 
+def suffix_array(number: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes in order and the prefix each shares with the one before; left: words from a place to the end of its piece."""
+    n = len(number)
+    levels = [(number + 1).astype(np.int32)]
+    while 1 << (len(levels) - 1) < left.max(initial=0):
+        k, rank = 1 << (len(levels) - 1), levels[-1].astype(np.int64)
+        after = np.zeros(n, np.int64)
+        inside = np.flatnonzero(left > k)
+        after[inside] = rank[inside + k]
+        key, rank = np.unique(rank * (n + 2) + after, return_inverse=True)
+        levels.append((rank + 1).astype(np.int32))
+        if len(key) == n:
+            break
+    turn = np.argsort(levels[-1], kind="stable")
+    a, b, common = turn[:-1], turn[1:], np.zeros(max(0, n - 1), np.int64)
+    most = np.minimum(left[a], left[b])
+    for k in range(len(levels) - 1, -1, -1):
+        while True:
+            at = np.flatnonzero(common < most)
+            at = at[levels[k][a[at] + common[at]] == levels[k][b[at] + common[at]]]
+            if not len(at):
+                break
+            common[at] = np.minimum(common[at] + (1 << k), most[at])
+    return turn, np.concatenate((np.zeros(min(1, n), np.int64), common))
+
+
+def maximal_repeats(turn: np.ndarray, common: np.ndarray, order: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, depths): of each suffix, the deepest node of at least `window` words that also holds a place earlier in `order`.
+
+    Suffixes leave the array from the latest to the earliest; what is left beside one is earlier, and the nodes that
+    it shares with its two neighbours are as deep as the common prefixes kept between them.
+    """
+    deep = np.flatnonzero(common >= window)
+    near = np.unique(np.concatenate((deep, deep - 1)))
+    if not len(near):
+        return near, near
+    size = len(near)
+    up = np.where(np.concatenate(([False], near[1:] == near[:-1] + 1)), common[near], 0)
+    up = np.where(up >= window, up, 0).tolist()  # shared with the neighbour before
+    before, after = list(range(-1, size - 1)), list(range(1, size + 1))
+    rank = order[turn[near]]
+    out = [0] * size
+    for i in np.argsort(-rank, kind="stable").tolist():
+        p, q = before[i], after[i]
+        x, y = up[i], up[q] if q < size else 0
+        out[i] = max(x, y)
+        if p >= 0:
+            after[p] = q
+        if q < size:
+            before[q] = p
+            up[q] = min(x, y)
+    found = np.array(out)
+    hit = found > 0
+    return turn[near[hit]], found[hit]
+
+
 def repeated_spans(docs: DataFrame, work: Workspace, window: int = WINDOW, gram: int = GRAM, split: int = SPLIT) -> DataFrame:
     """(id, rk, from, to): word ranges of keyed docs covered by windows that also start earlier; they may overlap."""
     found = candidates(docs, work, "words", window, gram)
@@ -59,49 +119,86 @@ def repeated_spans(docs: DataFrame, work: Workspace, window: int = WINDOW, gram:
     pieces = pieces.join(large.withColumn("large", F.lit(True)), "key", "left").withColumn("large", F.coalesce("large", F.lit(False)))
     groups = parts_for(docs.select("t"), 4.0)
     with_text = docs.join(by_document(pieces, "key", "first", "last", "large"), ["id", "rk"])
+    names = ["g", "id", "rk", "first", "large", "piece"]
 
     def deal(batches):
-        names = ["g", "id", "rk", "first", "piece"]
+        """Pieces by group; of windows of large keys the earliest of the batch, and those that are not without their text."""
         for b in batches:
             ids, rks, spans = b.column("id").to_pylist(), b.column("rk").to_pylist(), b.column("spans")
+            out = {c: [] for c in names}
+            hashes, places, texts = [np.zeros(0, np.uint64)], [np.zeros((0, 3), np.int64)], []
             for i, off, data in slices(b.column("t")):
                 w, raw = Words(off, data), data.tobytes()
                 roll = None
-                out = {c: [] for c in names}
                 for r in range(len(off) - 1):
                     base = int(w.ptr[r])
                     for s in spans[i + r].as_py():
                         if s["large"]:
                             roll = roll or Rolling(w.hashes())
                             starts = np.arange(base + s["first"], base + s["last"] + 1)
-                            own = [(int(h), int(p)) for h, p in zip(roll.of(starts, window), starts)]
+                            hashes.append(roll.of(starts, window))
+                            places.append(np.stack((np.full(len(starts), ids[i + r]), np.full(len(starts), rks[i + r]), starts - base), axis=1))
+                            texts += [raw[x:y] for x, y in zip(w.start[starts].tolist(), w.end[starts + window - 1].tolist())]
                         else:
-                            own = [(s["key"], base + s["first"])]
-                        for h, p in own:
-                            end = p + window if s["large"] else base + s["last"] + window
-                            out["g"].append(h % groups)
-                            out["id"].append(ids[i + r])
-                            out["rk"].append(rks[i + r])
-                            out["first"].append(p - base)
-                            out["piece"].append(raw[w.start[p] : w.end[end - 1]])
-                yield pa.RecordBatch.from_arrays([pa.array(out["g"], pa.int32()), *(pa.array(out[c], pa.int64()) for c in names[1:4]), pa.array(out["piece"], pa.binary())], names)
+                            p = base + s["first"]
+                            row = (s["key"] % groups, ids[i + r], rks[i + r], s["first"], False, raw[w.start[p] : w.end[base + s["last"] + window - 1]])
+                            for c, v in zip(names, row):
+                                out[c].append(v)
+            h, at = np.concatenate(hashes), np.concatenate(places)
+            turn = np.lexsort((at[:, 2], at[:, 0], h))
+            new = np.ones(len(turn), bool)
+            new[1:] = h[turn[1:]] != h[turn[:-1]]
+            lead = turn[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(turn) else turn
+            gone = (at[turn, 0] != at[lead, 0]) | (at[turn, 2] != at[lead, 2])
+            for t, g, x in zip(turn.tolist(), (h[turn] % np.uint64(groups)).tolist(), gone.tolist()):
+                for c, v in zip(names, (g, *at[t].tolist(), True, None if x else texts[t])):
+                    out[c].append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(out["g"], pa.int32()), *(pa.array(out[c], pa.int64()) for c in names[1:4]), pa.array(out["large"], pa.bool_()), pa.array(out["piece"], pa.binary())], names)
 
     def grow(tab: pa.Table) -> pa.Table:
-        """The group's tree; returns the ranges of its removed windows."""
+        """The group's tree; returns the ranges of its repeats, without those at their earliest places."""
+        tab = tab.combine_chunks()
         ids, rks, at = (tab.column(c).to_numpy() for c in ("id", "rk", "first"))
-        col = tab.column("piece").combine_chunks()
-        off, data = flat(col if isinstance(col, pa.Array) else pa.concat_arrays(col.chunks))
+        large, told = tab.column("large").to_numpy(zero_copy_only=False), tab.column("piece").is_null().to_numpy()
+        off, data = flat(tab.column("piece"))
         w = Words(off, data)
         _, number = np.unique(w.hashes(), return_inverse=True)
-        many = np.diff(w.ptr) - window + 1
-        row = np.repeat(np.arange(len(many)), many)
-        place = np.arange(many.sum()) - (np.cumsum(many) - many)[row]
-        suffix = number[(w.ptr[:-1][row] + place)[:, None] + np.arange(window)]
-        gone = deep_leaves(suffix, dense_rank(ids[row], at[row] + place))
-        r, p = row[gone], at[row[gone]] + place[gone]
-        return pa.table({"id": ids[r], "rk": rks[r], "from": p, "to": p + window})
-
-    tree = with_text.mapInArrow(deal, "g int, id long, rk long, first long, piece binary").groupBy("g").applyInArrow(grow, "id long, rk long, from long, to long")
+        gone = [np.flatnonzero(told)]
+        depth = [np.full(len(gone[0]), window)]
+        start = [at[gone[0]]]
+        whole = np.flatnonzero(large & ~told)
+        if len(whole):
+            out = whole[deep_leaves(number[w.ptr[whole][:, None] + np.arange(window)], dense_rank(ids[whole], at[whole]))]
+            gone.append(out)
+            start.append(at[out])
+            depth.append(np.full(len(out), window))
+        small = np.flatnonzero(~large)
+        if len(small):
+            many = np.diff(w.ptr)[small]
+            row = np.repeat(small, many)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+            turn, common = suffix_array(number[w.ptr[row] + place], np.repeat(many, many) - place)
+            order = dense_rank(ids[row], at[row] + place)
+            one = np.unique(order, return_index=True)[1]  # a place that comes in several rows is no earlier one for itself
+            if len(one) < len(order):
+                keep = np.isin(turn, one)
+                cut = np.flatnonzero(keep)
+                common = np.minimum.reduceat(np.append(common, 0), np.concatenate(([0], cut + 1)))[: len(cut)]
+                turn = turn[cut]
+            p, d = maximal_repeats(turn, common, order, window)
+            if len(one) < len(order):  # the other rows of such a place lose its window
+                far = np.zeros(order.max() + 1, np.int64)
+                far[order[p]] = d
+                other = np.setdiff1d(np.flatnonzero(far[order] > 0), p)
+                fits = other[(np.repeat(many, many) - place)[other] >= window]
+                p, d = np.concatenate((p, fits)), np.concatenate((d, np.full(len(fits), window)))
+            gone.append(row[p])
+            start.append(at[row[p]] + place[p])
+            depth.append(d)
+        r, p = np.concatenate(gone), np.concatenate(start)
+        return pa.table({"id": ids[r], "rk": rks[r], "from": p, "to": p + np.concatenate(depth)})
+
+    tree = with_text.mapInArrow(deal, "g int, id long, rk long, first long, large boolean, piece binary").groupBy("g").applyInArrow(grow, "id long, rk long, from long, to long")
     return work.table(later.unionByName(tree), "spans")
 
 
