@@ -84,6 +84,25 @@ def test_suffix_tree(spark, docs):
         assert got == want
 
 
+def test_suffix_tree_with_overlapping_pieces(spark):
+    """Passages of many lengths in ever other surroundings, so that a document's pieces share words."""
+    from tidemark.llm.suffix_tree import remove_repeats
+
+    r = random.Random(41)
+    passages = [prose(r.randint(20, 140), random.Random(k)).split() for k in range(12)]
+    rows = []
+    for i in range(120):
+        words = prose(r.randint(0, 30), r).split()
+        for p in r.sample(passages, 2):
+            a = r.randrange(max(1, len(p) - 25))
+            words += p[a : a + r.randint(20, 140)] + prose(r.randint(0, 12), r).split()
+        rows.append((i, " ".join(words)))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    for split in (64, 3):
+        got = {x["doc_id"]: tuple(x)[1:] for x in remove_repeats(d, Workspace(spark, "t"), split=split).collect()}
+        assert got == B.earlier_words(rows)
+
+
 def test_suffix_array_and_maximal_repeats():
     from tidemark.llm.suffix_tree import maximal_repeats, suffix_array
 
@@ -127,7 +146,7 @@ def test_katz(spark, docs):
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
     want = dict(B.Katz(ROWS).scores())
     for order in (2, 3):
-        got = {r["doc_id"]: tuple(r)[1:] for r in score(docs, ~held, Workspace(spark, "t"), order=order).collect()}
+        got = {r["doc_id"]: tuple(r)[1:] for r in score(docs, ~held, Workspace(spark, "t"), order=order, least_groups=8).collect()}
         assert set(got) == set(want)
         for i, g in got.items():
             assert g[:3] == want[i][:3] and g[3] == pytest.approx(want[i][3], rel=1e-9)
@@ -141,7 +160,7 @@ def test_katz_longer_contexts_and_singletons(spark, docs, monkeypatch):
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
     for order, least in ((3, 1), (3, 2), (2, 1)):
         want = B.katz_scores(ROWS, order, least)
-        got = {r["doc_id"]: r["score"] for r in katz.score(docs, ~held, Workspace(spark, "t"), order=order, least=least).collect()}
+        got = {r["doc_id"]: r["score"] for r in katz.score(docs, ~held, Workspace(spark, "t"), order=order, least=least, least_groups=8).collect()}
         assert got == pytest.approx(want, rel=1e-9)
     want = B.katz_scores(ROWS, 3, 1)
     monkeypatch.setattr(queries, "table", lambda *_: docs)

@@ -220,15 +220,15 @@ class Known:
 REPLY = "kind string, ord int, g int, bucket int, counts binary, owned binary, shared binary"
 
 
-def score(docs: DataFrame, trained: Column, work: Workspace, order: int = 2, least: int = 2, text: str = "text", keep: list[str] | None = None, group_mb: float = 4.0) -> DataFrame:
+def score(docs: DataFrame, trained: Column, work: Workspace, order: int = 2, least: int = 2, text: str = "text", keep: list[str] | None = None, group_mb: float = 4.0, least_groups: int = 96) -> DataFrame:
     """Train on the rows where `trained` is true and score all rows: columns keep, n_tokens, n_known, train_tokens, base_score, score.
 
     base_score is the sum over tokens of log10((c + 0.5) / (N + 0.5 (V + 1))): c the token's training count, N all training
     tokens, V the distinct ones.
     """
     keep = keep or ["doc_id"]
-    groups = parts_for(docs.select(text), group_mb)
-    buckets = max(96, groups // 4)
+    groups = parts_for(docs.select(text), group_mb, least_groups)
+    buckets = max(least_groups, groups // 4)
     src = docs.select(*[docs[c].alias(f"k{i}") for i, c in enumerate(keep)], docs[text].alias("t"), F.coalesce(trained, F.lit(False)).alias("train"))
     src = src.withColumn("g", F.pmod(F.xxhash64("k0", "t"), F.lit(groups)).cast("int"))
     kinds = {f"k{i}": docs.schema[c].dataType.simpleString() for i, c in enumerate(keep)}

@@ -177,21 +177,19 @@ def repeated_spans(docs: DataFrame, work: Workspace, window: int = WINDOW, gram:
             many = np.diff(w.ptr)[small]
             row = np.repeat(small, many)
             place = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
-            turn, common = suffix_array(number[w.ptr[row] + place], np.repeat(many, many) - place)
+            left = np.repeat(many, many) - place
+            turn, common = suffix_array(number[w.ptr[row] + place], left)
             order = dense_rank(ids[row], at[row] + place)
-            one = np.unique(order, return_index=True)[1]  # a place that comes in several rows is no earlier one for itself
-            if len(one) < len(order):
-                keep = np.isin(turn, one)
-                cut = np.flatnonzero(keep)
-                common = np.minimum.reduceat(np.append(common, 0), np.concatenate(([0], cut + 1)))[: len(cut)]
-                turn = turn[cut]
-            p, d = maximal_repeats(turn, common, order, window)
-            if len(one) < len(order):  # the other rows of such a place lose its window
-                far = np.zeros(order.max() + 1, np.int64)
-                far[order[p]] = d
-                other = np.setdiff1d(np.flatnonzero(far[order] > 0), p)
-                fits = other[(np.repeat(many, many) - place)[other] >= window]
-                p, d = np.concatenate((p, fits)), np.concatenate((d, np.full(len(fits), window)))
+            leaf = np.flatnonzero(left >= window)  # shorter suffixes are windows of no piece
+            one = leaf[np.unique(order[leaf], return_index=True)[1]]  # a place that comes in several rows is no earlier one for itself
+            cut = np.flatnonzero(np.isin(turn, one))
+            common = np.minimum.reduceat(np.append(common, 0), np.concatenate(([0], cut + 1)))[: len(cut)]
+            p, d = maximal_repeats(turn[cut], common, order, window)
+            if len(one) < len(leaf):  # the other rows of such a place lose its window
+                out = np.zeros(order.max() + 1, bool)
+                out[order[p]] = True
+                other = np.setdiff1d(leaf[out[order[leaf]]], p)
+                p, d = np.concatenate((p, other)), np.concatenate((d, np.full(len(other), window)))
             gone.append(row[p])
             start.append(at[row[p]] + place[p])
             depth.append(d)
