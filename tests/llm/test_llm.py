@@ -443,6 +443,43 @@ def test_embeddings(spark):
     assert near_links(d.limit(0), Workspace(spark, "t")).count() == 0
 
 
+def test_embeddings_recall_at_the_limit(spark):
+    """10,000 separate pairs just above the limit, and none of 2,000 just below it."""
+    from tidemark.llm.embedding_dedup import near_links
+
+    rng, dim = np.random.default_rng(8), 48
+    cosines = np.concatenate((rng.uniform(0.951, 0.955, 10000), rng.uniform(0.945, 0.949, 2000)))
+    a, b = rng.normal(size=(2, len(cosines), dim))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    b -= (a * b).sum(axis=1)[:, None] * a
+    b = cosines[:, None] * a + np.sqrt(1 - cosines**2)[:, None] * b / np.linalg.norm(b, axis=1)[:, None]
+    rows = [(2 * i + k, v) for i in range(len(cosines)) for k, v in enumerate((a[i].tolist(), b[i].tolist()))]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r for r in near_links(d, Workspace(spark, "t")).collect()}
+    assert sum(got[2 * i + 1]["component_id"] == 2 * i and got[2 * i]["n_links"] == 1 for i in range(10000)) >= 9700
+    assert all(got[i]["n_links"] == 0 for i in range(20000, 24000))
+
+
+def test_embeddings_huge_cluster(spark):
+    """One cluster of unequal vectors, cut into ranges and dealt out: every link once; repeated ids, clashing columns, the limit itself."""
+    from tidemark.llm.embedding_dedup import near_links
+
+    rng = np.random.default_rng(5)
+    c = rng.normal(size=24)
+    rows = [(i, (c + rng.normal(size=24) * 0.08).tolist(), i, "z") for i in range(1500)]
+    rows += [(5000, [3.0, 4.0, 0.0], 0, "z"), (5001, [3.0, 4.0, 0.0], 0, "z"), (5001, [0.0, 0.0, 1.0], 1, "z"), (5002, [5.0, 0.0], 1, "z"), (5003, [4.75, (25 - 4.75**2) ** 0.5 * 0.999], 1, "z")]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>, part int, bin string")
+    want, links = B.cosine([r[:2] for r in rows[:1500]])
+    for block in (400, 60):
+        got = [r for r in near_links(d, Workspace(spark, "t"), block=block).collect()]
+        assert len(got) == len(rows)
+        found = sum(r["n_links"] for r in got if r["vec_id"] < 5000) / 2
+        assert 0.995 * len(links) <= found <= len(links)
+        assert all(r["component_id"] == 0 and r["n_links"] <= want[r["vec_id"]][0] for r in got if r["vec_id"] < 5000)
+        assert sorted((r["vec_id"], r["n_links"]) for r in got if 5000 <= r["vec_id"] < 5002) == [(5000, 1), (5001, 0), (5001, 1)]
+        assert {r["n_links"] for r in got if r["vec_id"] in (5002, 5003)} == {1}
+
+
 def test_tokens_equal_the_library(spark, docs):
     import public_tokenizers
     import sentencepiece

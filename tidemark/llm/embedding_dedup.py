@@ -1,15 +1,19 @@
 """Near-duplicate embeddings by collision-counting projections.
 
-Each vector is projected on many random lines. Tables of a few lines each cut the sorted projections into shifted windows; vectors
-in the same windows of a table meet in a block. There, window collisions centred on the one vector are counted for each pair
-over all lines, and pairs whose count passes a level set for the asked recall are verified by cosine in double precision. A
-pair belongs to the first table in which it meets, so that it is counted once; a block gives link counts and a spanning
-star for each cluster, never all pairs. Blocks above BLOCK rows are dealt out as pairs of parts.
-
-Identical vectors are joined to one class first. Vectors that are null, zero, empty or hold null or non-finite components
-link with nothing (component: their own id); so do vectors of different lengths. A null id links with nothing. No pair below
-the limit is linked; the number of tables is set so that a pair at the limit meets with probability `recall` (measured
-recall against brute force: see tests).
+Each vector is projected on many random lines, in tables of a few lines each. In a table the last line's projections are sorted,
+within a cell of the lines before it, and each vector looks at the window centred on its own projection: the vectors in there are
+its candidates. Window collisions centred on the one vector are counted for each candidate pair over all lines of all tables,
+and pairs whose count passes a level set for the asked recall are verified by cosine in double precision. A pair belongs to the
+first table in which it meets, so that it is counted once; a block gives link counts and a spanning star for each cluster,
+never all pairs.
+
+A cell with more than BLOCK rows is cut into ranges of its sorted line (at quantiles), and only ranges that are within a window of
+each other meet; so a cell's work follows the vectors in reach, and no task holds more than two ranges.
+
+Identical vectors are joined to one class first; a vector id that occurs twice is two rows with links of their own text. Vectors
+that are null, zero, empty or hold null or non-finite components link with nothing (component: their own id); so do vectors of
+different lengths. A null id links with nothing. No pair below the limit is linked; the number of tables is set so that a pair
+at the limit meets with probability `recall` (measured recall against brute force: see tests).
 """
 
 from __future__ import annotations
@@ -26,6 +30,8 @@ from tidemark.llm.common import Workspace, connected_components
 WIDTH = 1.0  # of a window, in units of a projection's spread
 NEAR = 0.45  # half width of the window centred on a vector
 BLOCK = 400
+RANGES = 256  # most ranges of a cell by value
+SLACK = 1e-9  # for rounding: the window itself is checked pair by pair
 
 
 def chance(limit: float) -> tuple[float, float]:
@@ -40,7 +46,7 @@ def plan(n: int, limit: float, recall: float) -> tuple[int, int, int]:
     """Lines for each table, tables, and the least count of collisions; for n vectors."""
     same, near = chance(limit)
     lines = max(1, round(math.log(max(n, 2) / 1500) / math.log(3)))
-    tables = max(2, math.ceil(math.log((1 - recall) / 2) / math.log(1 - same**lines)))
+    tables = max(2, math.ceil(math.log((1 - recall) / 2) / math.log(1 - same ** (lines - 1) * near)))
     m = lines * tables
     least, tail = m, near**m
     while least > 0 and tail < 1 - (1 - recall) / 2:
@@ -49,6 +55,15 @@ def plan(n: int, limit: float, recall: float) -> tuple[int, int, int]:
     return lines, tables, least
 
 
+def window_pairs(at: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (row of left, row of right) whose projections `at` are within NEAR: right is sorted, each left row has one window."""
+    right = right[np.argsort(at[right], kind="stable")]
+    low = np.searchsorted(at[right], at[left] - NEAR - SLACK, "left")
+    many = np.searchsorted(at[right], at[left] + NEAR + SLACK, "right") - low
+    place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    return np.repeat(left, many), right[np.repeat(low, many) + place]
+
+
 def block_links(tab: pa.Table, lines: int, least: int, limit: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(id, links, root) of the rows of a block that have links."""
     turn = np.argsort(tab.column("id").to_numpy(), kind="stable")
@@ -56,25 +71,28 @@ def block_links(tab: pa.Table, lines: int, least: int, limit: float) -> tuple[np
     ids, n = tab.column("id").to_numpy(), tab.num_rows
     part, i, j, t = tab.column("part").to_numpy(), tab.column("i")[0].as_py(), tab.column("j")[0].as_py(), tab.column("t")[0].as_py()
     stack = lambda c, kind: np.frombuffer(b"".join(tab.column(c).to_pylist()), kind).reshape(n, -1)
-    y, cell, x = stack("y", "<f4"), stack("cell", "<i4"), stack("x", "<f8")
-    a, b = np.flatnonzero(part == i), np.flatnonzero(part == j)
-    hits = np.zeros((len(a), len(b)), np.int16)
-    for k in range(y.shape[1]):
-        hits += np.abs(y[a, k][:, None] - y[b, k][None, :]) <= NEAR
-    p, q = np.nonzero(hits >= least)
-    p, q = a[p], b[q]
-    if i == j:
-        up = p < q
-        p, q = p[up], q[up]
+    y, cell, x = stack("y", "<f8"), stack("cell", "<i4"), stack("x", "<f8")
     norm = np.sqrt((x * x).sum(axis=1))
-    ok = np.zeros(len(p), bool)
-    for s in range(0, len(p), 1 << 16):
-        u, v = p[s : s + (1 << 16)], q[s : s + (1 << 16)]
-        here = (x[u] * x[v]).sum(axis=1) / (norm[u] * norm[v]) >= limit
+    left, right, kept = np.flatnonzero(part == i), np.flatnonzero(part == j), []
+    for s in range(0, len(left), 64):  # bounds the pairs held at once
+        p, q = window_pairs(y[:, (t + 1) * lines - 1], left[s : s + 64], right)
+        if i == j:
+            p, q = p[p < q], q[p < q]
+        near = np.abs(y[p, (t + 1) * lines - 1] - y[q, (t + 1) * lines - 1]) <= NEAR
+        p, q = p[near], q[near]
+        hits = np.zeros(len(p), np.int16)
+        for k in range(y.shape[1]):
+            hits += np.abs(y[p, k] - y[q, k]) <= NEAR
+        p, q = p[hits >= least], q[hits >= least]
+        ok = np.zeros(len(p), bool)
+        for c in range(0, len(p), 1 << 13):
+            u, v = p[c : c + (1 << 13)], q[c : c + (1 << 13)]
+            ok[c : c + (1 << 13)] = (x[u] * x[v]).sum(axis=1) / (norm[u] * norm[v]) >= limit
         for before in range(t):  # it was met in a table before
-            here &= (cell[u, before * lines : (before + 1) * lines] != cell[v, before * lines : (before + 1) * lines]).any(axis=1)
-        ok[s : s + (1 << 16)] = here
-    p, q = p[ok], q[ok]
+            last = (before + 1) * lines - 1
+            ok &= (cell[p, before * lines : last] != cell[q, before * lines : last]).any(axis=1) | (np.abs(y[p, last] - y[q, last]) > NEAR)
+        kept.append((p[ok], q[ok]))
+    p, q = (np.concatenate(z) if kept else np.zeros(0, np.int64) for z in (zip(*kept) if kept else ((), ())))
     many = tab.column("copies").to_numpy()
     links = np.bincount(p, many[q], n) + np.bincount(q, many[p], n)
     root = np.arange(n)
@@ -103,7 +121,7 @@ def near_links(vectors: DataFrame, work: Workspace, limit: float = 0.95, recall:
     def project(batches):
         by_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for b in batches:
-            out = {c: [] for c in ("id", "copies", "t", "bin", "y", "cell", "x")}
+            out = {c: [] for c in ("id", "copies", "t", "bin", "v", "y", "cell", "x")}
             vecs, ids, copies = b.column("e").to_pylist(), b.column("rep").to_pylist(), b.column("copies").to_pylist()
             for v, i, c in zip(vecs, ids, copies):
                 if len(v) not in by_size:
@@ -116,15 +134,24 @@ def near_links(vectors: DataFrame, work: Workspace, limit: float = 0.95, recall:
                 y = (x / np.sqrt((x * x).sum())) @ lines_of
                 cell = np.floor((y + shift) / WIDTH).astype("<i4")
                 for t in range(tables):
-                    for k, w in zip(out, (i, c, t, f"{len(v)}:" + ",".join(map(str, cell[t * lines : (t + 1) * lines])), y.astype("<f4").tobytes(), cell.tobytes(), x.tobytes())):
+                    last = (t + 1) * lines - 1
+                    for k, w in zip(out, (i, c, t, f"{len(v)}:" + ",".join(map(str, cell[t * lines : last])), float(y[last]), y.astype("<f8").tobytes(), cell.tobytes(), x.tobytes())):
                         out[k].append(w)
-            yield pa.RecordBatch.from_arrays([pa.array(out["id"], pa.int64()), pa.array(out["copies"], pa.int64()), pa.array(out["t"], pa.int32()), pa.array(out["bin"], pa.string()), *(pa.array(out[k], pa.binary()) for k in ("y", "cell", "x"))], list(out))
-
-    spread = classes.mapInArrow(project, "id long, copies long, t int, bin string, y binary, cell binary, x binary")
-    large = spread.groupBy("t", "bin").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block).withColumn("parts", F.ceil(F.col("n") / block).cast("int")).drop("n")
-    dealt = spread.join(large, ["t", "bin"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    dealt = dealt.withColumn("o", F.explode(F.expr("sequence(0, parts - 1)"))).withColumn("i", F.least("part", "o")).withColumn("j", F.greatest("part", "o"))
+            yield pa.RecordBatch.from_arrays([pa.array(out["id"], pa.int64()), pa.array(out["copies"], pa.int64()), pa.array(out["t"], pa.int32()), pa.array(out["bin"], pa.string()), pa.array(out["v"], pa.float64()), *(pa.array(out[k], pa.binary()) for k in ("y", "cell", "x"))], list(out))
+
+    # The sorted line of a large cell is cut at quantiles; a row goes to the ranges that its own window can touch. Where the
+    # quantiles' number is not enough, a range is dealt out further by id.
+    kind = "id long, copies long, t int, bin string, v double, y binary, cell binary, x binary"
+    places = work.table(classes.mapInArrow(project, kind).select("t", "bin", "v"), "places", release=False)
+    sizes = places.groupBy("t", "bin").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
+    large = places.join(sizes, ["t", "bin"]).groupBy("t", "bin", "n").agg(F.percentile_approx("v", [q / RANGES for q in range(1, RANGES)], 16 * RANGES).alias("q"))
+    step = F.greatest(F.lit(1), F.floor(F.lit(RANGES * block) / F.col("n")).cast("int"))
+    large = large.withColumn("step", step).select("t", "bin", F.expr("array_distinct(filter(q, (c, k) -> (k + 1) % step = 0))").alias("cuts"), F.ceil(F.col("n") / (RANGES * block)).cast("int").alias("salts"))
+    dealt = classes.mapInArrow(project, kind).join(large, ["t", "bin"], "left")
+    for c, ahead in (("first", -NEAR - SLACK), ("part", 0.0), ("last", NEAR + SLACK)):  # how many cuts are below
+        dealt = dealt.withColumn(c, F.coalesce(F.size(F.filter("cuts", lambda x: x < F.col("v") + ahead)), F.lit(0)))  # noqa: B023
+    dealt = dealt.withColumn("salts", F.coalesce("salts", F.lit(1))).withColumn("part", (F.col("part") * F.col("salts") + F.pmod(F.xxhash64("id"), F.col("salts"))).cast("int"))
+    dealt = dealt.withColumn("o", F.explode(F.expr("sequence(first * salts, last * salts + salts - 1)"))).withColumn("i", F.least("part", "o")).withColumn("j", F.greatest("part", "o"))
     dealt = dealt.select("id", "copies", "t", "bin", "part", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), "y", "cell", "x")
 
     def links(tab: pa.Table) -> pa.Table:
