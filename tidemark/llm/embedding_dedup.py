@@ -22,6 +22,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -73,17 +74,21 @@ def block_links(tab: pa.Table, lines: int, least: int, limit: float) -> tuple[np
     stack = lambda c, kind: np.frombuffer(b"".join(tab.column(c).to_pylist()), kind).reshape(n, -1)
     y, cell, x = stack("y", "<f8"), stack("cell", "<i4"), stack("x", "<f8")
     norm = np.sqrt((x * x).sum(axis=1))
+    by_line = np.ascontiguousarray(y.T)
+    sorted_line = by_line[(t + 1) * lines - 1]
     left, right, kept = np.flatnonzero(part == i), np.flatnonzero(part == j), []
     for s in range(0, len(left), 64):  # bounds the pairs held at once
-        p, q = window_pairs(y[:, (t + 1) * lines - 1], left[s : s + 64], right)
+        p, q = window_pairs(sorted_line, left[s : s + 64], right)
         if i == j:
             p, q = p[p < q], q[p < q]
-        near = np.abs(y[p, (t + 1) * lines - 1] - y[q, (t + 1) * lines - 1]) <= NEAR
+        near = np.abs(sorted_line[p] - sorted_line[q]) <= NEAR
         p, q = p[near], q[near]
         hits = np.zeros(len(p), np.int16)
-        for k in range(y.shape[1]):
-            hits += np.abs(y[p, k] - y[q, k]) <= NEAR
-        p, q = p[hits >= least], q[hits >= least]
+        for k in range(len(by_line)):
+            hits += np.abs(by_line[k][p] - by_line[k][q]) <= NEAR
+            if k % 4 == 3 or k == len(by_line) - 1:  # who can still reach the least count
+                open_ = hits >= least - (len(by_line) - 1 - k)
+                p, q, hits = p[open_], q[open_], hits[open_]
         ok = np.zeros(len(p), bool)
         for c in range(0, len(p), 1 << 13):
             u, v = p[c : c + (1 << 13)], q[c : c + (1 << 13)]
@@ -119,25 +124,30 @@ def near_links(vectors: DataFrame, work: Workspace, limit: float = 0.95, recall:
     m = lines * tables
 
     def project(batches):
+        """A row for each vector and table; vectors of a batch and of one length are projected together."""
         by_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        ends = np.arange(1, tables + 1) * lines - 1
         for b in batches:
-            out = {c: [] for c in ("id", "copies", "t", "bin", "v", "y", "cell", "x")}
-            vecs, ids, copies = b.column("e").to_pylist(), b.column("rep").to_pylist(), b.column("copies").to_pylist()
-            for v, i, c in zip(vecs, ids, copies):
-                if len(v) not in by_size:
-                    rng = np.random.Generator(np.random.PCG64(977 + len(v)))
-                    by_size[len(v)] = rng.standard_normal((len(v), m)), rng.random(m) * WIDTH
-                lines_of, shift = by_size[len(v)]
-                x = np.array(v, "<f8")
-                big = np.abs(x).max()
-                x = x / big  # against overflow; the cosine stays
-                y = (x / np.sqrt((x * x).sum())) @ lines_of
+            col = b.column("e")
+            sizes = pa.compute.list_value_length(col).to_numpy()
+            start = np.cumsum(sizes) - sizes
+            data = col.flatten().to_numpy()
+            for size in np.unique(sizes).tolist():
+                if size not in by_size:
+                    rng = np.random.Generator(np.random.PCG64(977 + size))
+                    by_size[size] = rng.standard_normal((size, m)), rng.random(m) * WIDTH
+                lines_of, shift = by_size[size]
+                row = np.flatnonzero(sizes == size)
+                x = data[start[row][:, None] + np.arange(size)]
+                x = x / np.abs(x).max(axis=1)[:, None]  # against overflow; the cosine stays
+                y = (x / np.sqrt((x * x).sum(axis=1))[:, None]) @ lines_of
                 cell = np.floor((y + shift) / WIDTH).astype("<i4")
-                for t in range(tables):
-                    last = (t + 1) * lines - 1
-                    for k, w in zip(out, (i, c, t, f"{len(v)}:" + ",".join(map(str, cell[t * lines : last])), float(y[last]), y.astype("<f8").tobytes(), cell.tobytes(), x.tobytes())):
-                        out[k].append(w)
-            yield pa.RecordBatch.from_arrays([pa.array(out["id"], pa.int64()), pa.array(out["copies"], pa.int64()), pa.array(out["t"], pa.int32()), pa.array(out["bin"], pa.string()), pa.array(out["v"], pa.float64()), *(pa.array(out[k], pa.binary()) for k in ("y", "cell", "x"))], list(out))
+                bins = [f"{size}:" + ",".join(map(str, c[e - lines + 1 : e])) for c in cell.tolist() for e in ends.tolist()]
+                many = [tables] * len(row)
+                each = lambda v: pa.array([z.tobytes() for z in v], pa.binary()).take(at)  # noqa: E731, B023
+                at = pa.array(np.repeat(np.arange(len(row)), many))
+                ids, copies = (b.column(c).take(pa.array(row)).take(at) for c in ("rep", "copies"))
+                yield pa.RecordBatch.from_arrays([ids, copies, pa.array(np.tile(np.arange(tables, dtype=np.int32), len(row))), pa.array(bins, pa.string()), pa.array(y[:, ends].ravel()), each(y), each(cell), each(x)], ["id", "copies", "t", "bin", "v", "y", "cell", "x"])
 
     # The sorted line of a large cell is cut at quantiles; a row goes to the ranges that its own window can touch. Where the
     # quantiles' number is not enough, a range is dealt out further by id.
