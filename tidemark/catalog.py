@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tidemark.suites import QUERIES, SQL, basics, summaries, temporal, trailing
+from tidemark.suites import QUERIES, SQL, basics, forecasts, summaries, temporal, trailing
 
-SUITES = (temporal, trailing, summaries, basics)
+SUITES = (temporal, trailing, summaries, basics, forecasts)
 
 
 def queries() -> dict[str, Callable]:
