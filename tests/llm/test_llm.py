@@ -500,6 +500,22 @@ def test_tokens_equal_the_library(spark, docs):
         assert said.decode() == s.decode(s.encode(t)) == m.decode(np.frombuffer(ids, "<u4"))
 
 
+def test_shared_folder():
+    """On a cluster without a shared folder nothing may fall back to a machine's own."""
+    from types import SimpleNamespace as N
+
+    from tidemark.llm.common import shared_dir
+
+    def session(master, at):
+        return N(conf=N(get=lambda k, d=None: at), sparkContext=N(master=master, getConf=lambda: N(get=lambda k: None)))
+
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        assert shared_dir(session(master, "hdfs:///work/")) == "hdfs:///work"
+        with pytest.raises(ValueError):
+            shared_dir(session(master, None))
+    assert shared_dir(session("local[2]", None))
+
+
 def test_components(spark):
     r = random.Random(4)
     pairs = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 460)] + [(500, 500)]

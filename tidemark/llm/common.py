@@ -17,9 +17,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; one of our own only where that is unset (local tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset, one of our own in local mode; an error on a cluster."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = os.environ.get("TIDEMARK_TEST_DIR")
         if not at:
             at = os.environ["TIDEMARK_TEST_DIR"] = tempfile.mkdtemp(prefix="tidemark-")
