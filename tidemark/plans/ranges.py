@@ -175,3 +175,17 @@ def position_today(df: DataFrame, by: list[str], day: str, value: str, as_of: st
     low, high = array_quantile(F.col("__past"), 0.25), array_quantile(F.col("__past"), 0.75)
     kind = F.when(F.col(value) < low, "lower").when(F.col(value) > high, "higher").otherwise("usual")
     return d.withColumn("percentile", F.when(F.col("__m") > 0, share)).withColumn("category", F.when(F.col("__m") >= least, kind)).drop("__past", "__m")
+
+
+def band_position(df: DataFrame, by: list[str], day: str, value: str, days: int = 90, least: int = 60, near: float = 2.0) -> DataFrame:
+    """For each key its last value among those of its last `days` days: rounded percentile, the lowest, the distance from it in percent.
+
+    One row for each key and day is expected; rows without a value are left out, and so are keys with fewer than `least` days.
+    """
+    d = df.where(F.col(value).isNotNull())
+    w = Window.partitionBy(*by)
+    d = d.withColumn("__end", F.max(day).over(w)).where(F.datediff("__end", day) <= days).withColumn("__now", F.max_by(value, day).over(w))
+    share = F.avg((F.col(value) <= F.col("__now")).cast("double")) * 100
+    g = d.groupBy(*by).agg(F.count(F.lit(1)).alias("n_days"), F.first("__now").alias("current"), F.min(value).alias("low"), F.floor(share + 0.5).alias("percentile"))
+    distance = (F.col("current") - F.col("low")) / F.col("low") * 100
+    return g.where(F.col("n_days") >= least).withColumn("distance_pct", distance).withColumn("near_support", distance <= near)

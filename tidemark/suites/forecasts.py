@@ -118,3 +118,10 @@ select k, v, n_history, case when m > 0 then round(100.0 * le / m, 6) end as per
 def markup_today(spark, sf_dir):
     x = R.position_today(daily(spark, sf_dir), ["k"], "d", "v", "1997-06-02")
     return x.select("k", "v", "n_history", r(F.col("percentile")).alias("percentile"), "category")
+
+
+@query(f"""with {DAILY}, w as (select *, arg_max(v, d) over (partition by k) as now from (select *, max(d) over (partition by k) as e from daily) where d >= e - interval 90 day)
+select k, count(*) as n_days, any_value(now) as current, min(v) as low, floor(avg((v <= now)::int) * 100 + 0.5)::bigint as percentile, round((any_value(now) - min(v)) / min(v) * 100, 6) as distance_pct, (any_value(now) - min(v)) / min(v) * 100 <= 2 as near_support from w group by 1 having count(*) >= 60""")
+def band_position_90d(spark, sf_dir):
+    x = R.band_position(daily(spark, sf_dir), ["k"], "d", "v")
+    return x.select("k", "n_days", "current", "low", "percentile", r(F.col("distance_pct")).alias("distance_pct"), "near_support")
