@@ -140,6 +140,20 @@ def test_jaccard(spark, docs):
         assert got == B.jaccard(ROWS, width, percent)
 
 
+def test_jaccard_of_repeated_ids(spark):
+    """An id with two texts is two rows; a link through either counts, whatever the order of the rows."""
+    from tidemark.llm.ngram_join import jaccard_components
+
+    a, b = prose(80), prose(80)
+    near = " ".join(b.split()[:-1])
+    for x, y, z in ((1, 2, 3), (5, 1, 2), (2, 7, 1)):
+        rows = [(x, a), (x, b), (y, near), (z, prose(40)), (x, a), (z, None)]
+        d = spark.createDataFrame(rows, "doc_id long, text string")
+        got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_components(d, Workspace(spark, "t"), 3, 90).collect())
+        want = [(x, 78, x), (x, 78, x), (x, 78, min(x, y)), (y, 77, min(x, y)), (z, 38, z), (z, 0, z)]
+        assert sorted((i, n, c) for i, n, c in got) == sorted(want)
+
+
 def test_katz(spark, docs):
     from tidemark.llm.katz import score
 
@@ -524,6 +538,16 @@ def test_components(spark):
     assert all(want[i] == c for i, c in got.items())
 
 
+def test_components_of_long_chains_and_stars(spark):
+    """The two least ids at the ends of a chain, a star, and a star on a chain's end."""
+    chain = [1, *range(10, 1008), 2]
+    pairs = list(zip(chain, chain[1:])) + [(5000, 5000 + k) for k in range(1, 800)] + [(7000 - k, 7000) for k in range(1, 400)] + [(5000, 6650)]
+    got = {x["id"]: x["component"] for x in connected_components(spark.createDataFrame(pairs, "a long, b long"), Workspace(spark, "t")).collect()}
+    assert got == B.components({x for p in pairs for x in p}, pairs)
+    none = connected_components(spark.createDataFrame([(3, 3), (None, 4)], "a long, b long"), Workspace(spark, "t"))
+    assert none.count() == 0
+
+
 def test_packing():
     from tidemark.llm.hashing import pack_counts, pack_sorted, unpack_counts, unpack_sorted
 

@@ -100,24 +100,27 @@ def to_batch(cols: dict, names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in (cols[n] for n in names)], names)
 
 
-def connected_components(edges: DataFrame, work: Workspace, most_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, work: Workspace) -> DataFrame:
     """Smallest vertex reachable from each vertex of an undirected edge list (a, b), as (id, component).
 
-    Each round takes the least label among neighbours and then that label's own label, so that paths halve. Labels are aggregated
-    before they are shuffled; each round is a written table. Vertices without edges do not appear. Self loops and repeated
-    edges do no harm; rows with a null end are left out.
+    Large stars and small stars in turn: every vertex hands the least vertex of its neighbourhood first to its larger, then to its
+    smaller neighbours, until each component is one star. The rounds follow the logarithm of the longest path and have no cap.
+    Least neighbours are written before they are joined, so that Spark may split the rows of a vertex with very many edges.
+    Vertices without edges do not appear. Self loops and repeated edges do no harm; rows with a null end are left out.
     """
-    e = edges.where("a is not null and b is not null and a <> b").select("a", "b")
-    both = work.table(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    label = work.table(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels", release=False)
-    for _ in range(most_rounds):
-        near = both.join(label.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
-        low = label.join(near, "id", "left").select("id", F.col("component").alias("was"), F.least("component", "near").alias("c"))
-        jump = label.select(F.col("id").alias("c"), F.col("component").alias("c2"))
-        new = low.join(jump, "c", "left").select("id", "was", F.least("c", "c2").alias("component"))
-        done = work.table(new, "round", release=False)
-        changed = done.where("component <> was").limit(1).count()
-        label = done.select("id", "component")
-        if not changed:
-            return label
-    raise RuntimeError("components did not settle")
+    e = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    now = work.table(e.distinct(), "edges")
+    while True:
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = work.table(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "least", release=False)
+        large = work.table(both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large", release=False)
+        least = work.table(large.groupBy("a").agg(F.min("b").alias("m")), "least", release=False)
+        own = least.select("a", F.col("m").alias("b"))
+        down = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = work.table(own.unionByName(down).distinct(), "small", release=False)
+        work.drop(now, low, large, least)
+        now = small
+        heads = now.select(F.col("b").alias("a")).distinct()
+        if not now.join(heads, "a", "left_semi").limit(1).count() and not now.groupBy("a").count().where("count > 1").limit(1).count():
+            break
+    return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(heads.select(F.col("a").alias("id"), F.col("a").alias("component")))

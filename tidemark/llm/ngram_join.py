@@ -12,7 +12,9 @@ pair of different components that could link is judged, while a large group of n
 
 The limit is `percent` in whole numbers: 100 * intersection >= percent * union. Null and empty texts have no shingles and link
 with nothing; texts with fewer words than a shingle are one shingle. Equal sets link. Rows with a null id come back as their own
-component, null.
+component, null. Each row is judged by its own text: an id that occurs with two texts is two rows of two sets, each linked as its text
+is, and the component is the least id among the rows of its group. Texts are read in slices of bytes, a very long one alone; its
+whole set is used. Columns other than the id and the text are not read, so they may have any name. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -77,10 +79,10 @@ def column_classes(docs: DataFrame, text: str, width: int) -> np.ndarray:
 
 
 def incidence(docs: DataFrame, width: int, percent: int, classes: np.ndarray, doc_id: str, text: str) -> DataFrame:
-    """(id, n, s1, s2, b0..b3, first): set size, signature, parity sketch and the columns of the prefix part."""
+    """(id, h, n, s1, s2, b0..b3, first): hash of the text, set size, signature, parity sketch and the columns of the prefix part."""
 
     def run(batches):
-        names = ["id", "n", "s1", "s2", "b0", "b1", "b2", "b3", "first"]
+        names = ["id", "h", "n", "s1", "s2", "b0", "b1", "b2", "b3", "first"]
         for b in batches:
             for i, rows, h, ptr in shingle_slices(b.column("t"), width):
                 num = np.zeros((rows, 7), np.uint64)
@@ -101,9 +103,9 @@ def incidence(docs: DataFrame, width: int, percent: int, classes: np.ndarray, do
                         firsts.append(np.zeros(0, np.int64))
                 lens = np.concatenate(([0], np.cumsum([len(f) for f in firsts])))
                 lists = pa.ListArray.from_arrays(pa.array(lens.astype(np.int32)), pa.array(np.concatenate(firsts)))
-                yield pa.RecordBatch.from_arrays([b.column("id").slice(i, rows), *(pa.array(signed(np.ascontiguousarray(num[:, k]))) for k in range(7)), lists], names)
+                yield pa.RecordBatch.from_arrays([b.column("id").slice(i, rows), b.column("h").slice(i, rows), *(pa.array(signed(np.ascontiguousarray(num[:, k]))) for k in range(7)), lists], names)
 
-    return docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t")).mapInArrow(run, "id long, n long, s1 long, s2 long, b0 long, b1 long, b2 long, b3 long, first array<long>")
+    return docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t")).withColumn("h", F.xxhash64("t")).mapInArrow(run, "id long, h long, n long, s1 long, s2 long, b0 long, b1 long, b2 long, b3 long, first array<long>")
 
 
 def enough(overlap: str = "overlap") -> Column:
@@ -123,21 +125,21 @@ def jaccard_components(docs: DataFrame, work: Workspace, width: int = 3, percent
     classes = column_classes(docs, text, width)
     sets = work.table(incidence(docs, width, percent, classes, doc_id, text), "sets")
     info = [f"b{k}" for k in range(4)]
-    rows = sets.where("n > 0 and id is not null").groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), *[F.first(c).alias(c) for c in info])
-    rows = work.table(rows, "rows")
+    first_row = F.min(F.struct("id", "h"))  # whose text stands for the set
+    rows = sets.where("n > 0 and id is not null").groupBy("n", "s1", "s2").agg(first_row.alias("m"), *[F.first(c).alias(c) for c in (*info, "first")])
+    rows = work.table(rows.select(F.monotonically_increasing_id().alias("rep"), "m.id", "m.h", "n", "s1", "s2", *info, "first"), "rows")
     light = rows.select("rep", "n", *info)
-    cols = sets.where("n > 0 and id is not null").select("id", "n", "first").join(rows.select(F.col("rep").alias("id")), "id", "left_semi")
-    cols = cols.select(F.col("id").alias("rep"), "n", F.explode("first").alias("col"))
+    cols = rows.select("rep", "n", F.explode("first").alias("col"))
     shared = cols.groupBy("col").agg(F.min(F.struct("rep", "n")).alias("lo"), F.max("rep").alias("hi")).where("lo.rep < hi")
     shared = work.table(shared.select("col", F.col("lo.rep").alias("lo"), F.col("lo.n").alias("lo_n")), "shared")
     hits = work.table(cols.join(shared, "col"), "hits")
     work.drop(shared)
-    texts_of = docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("t"))
+    texts_of = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t")).withColumn("h", F.xxhash64("t"))
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         pairs = work.table(pairs.select("a", "b"), f"pairs_{name}")
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-        texts = work.table(texts_of.join(ids, "rep", "left_semi").groupBy("rep").agg(F.first("t").alias("t")), f"texts_{name}")
+        ids = rows.select("rep", "id", "h").join(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "rep", "left_semi")
+        texts = work.table(texts_of.join(ids, ["id", "h"]).groupBy("rep").agg(F.first("t").alias("t")), f"texts_{name}")
         left, right = texts.select(F.col("rep").alias("a"), F.col("t").alias("ta")), texts.select(F.col("rep").alias("b"), F.col("t").alias("tb"))
         both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
 
@@ -172,7 +174,9 @@ def jaccard_components(docs: DataFrame, work: Workspace, width: int = 3, percent
     all_links = links.unionByName(more)
     comp = connected_components(all_links, work)
     degree = all_links.unionByName(all_links.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("rep")).agg(F.count(F.lit(1)).alias("links"))
-    final = rows.select("n", "s1", "s2", "rep").join(comp.withColumnRenamed("id", "rep"), "rep", "left").join(degree, "rep", "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component"), "links")
+    group = rows.select("n", "s1", "s2", "rep", "id").join(comp.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    named = work.table(group.groupBy("component").agg(F.min("id").alias("least_id")), "named", release=False)
+    final = group.join(named, "component").join(degree, "rep", "left").select("n", "s1", "s2", F.col("least_id").alias("component"), "links")
     out = sets.select("id", "n", "s1", "s2").join(final, ["n", "s1", "s2"], "left")
     linked = F.col("id").isNotNull() & (F.col("n") > 0)
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(linked, F.coalesce("component", "id")).otherwise(F.col("id")).alias("component_id"), F.when(linked, F.coalesce("links", F.lit(0))).otherwise(0).cast("long").alias("links"))
