@@ -100,6 +100,33 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_links(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), Workspace(spark, "embeddings"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.common import Workspace
+    from tidemark.llm.whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), Workspace(spark, "whitening"), keep=["vec_id"])
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tidemark.llm.common import Workspace
+    from tidemark.llm.token_counts import token_counts
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts(docs, Workspace(spark, "counts"), public_tokenizers.path("word_bpe_49k.json"), keep=["doc_id"])
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tidemark.llm.common import Workspace
+    from tidemark.llm.token_alignment import align
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return align(docs, Workspace(spark, "alignment"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_array": op1_suffix_array,
@@ -112,6 +139,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language": op8_language,
         "op9_sentencepiece": op9_sentencepiece,
         "op10_embeddings": op10_embeddings,
+        "op11_whitening": op11_whitening,
+        "op12_token_counts": op12_token_counts,
+        "op13_alignment": op13_alignment,
     }
 
 
