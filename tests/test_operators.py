@@ -413,3 +413,89 @@ def test_store_keeps_columns_and_survives_a_crash(spark, tmp_path):
     (tmp_path / "s").rename(tmp_path / "s.old")  # as a crash between the two moves leaves it
     stores.recover(spark, at)
     assert spark.read.parquet(at).count() == 3 and [p.name for p in tmp_path.iterdir()] == ["s"]
+
+
+def crash_points(spark, base, old, new):
+    """The folders that a replace broken off at each of its steps leaves, and the rows that then count."""
+    for name, aside, inside, marked, rows in (("written", None, old, False, old), ("aside", old, None, False, old), ("moved", old, new, True, new), ("deleted", None, new, True, new)):
+        at = base / name / "s"
+        new.write.parquet(str(at) + ".next-1")
+        if aside is not None:
+            aside.write.parquet(str(at) + ".old")
+        if inside is not None:
+            inside.write.parquet(str(at))
+            if marked:
+                (at / stores.MARK).touch()
+        yield name, str(at), {r["k"] for r in rows.collect()}
+
+
+def test_store_keeps_its_rows_at_every_crash_point(spark, tmp_path):
+    old, new, one = (spark.createDataFrame([(k, 1.0) for k in ks], "k int, v double") for ks in ((1, 2, 3, 4, 5), (1, 2, 3, 4, 5, 6), (9,)))
+    keys = lambda at: {r["k"] for r in spark.read.parquet(at).collect()}
+    for name, at, rows in crash_points(spark, tmp_path / "append", old, new):
+        stores.append_new(spark, one, at, ["k"])
+        assert keys(at) == rows | {9}, name
+        stores.replace(stores.opened(spark, at, old.schema).where("k <> 1"), at)
+        assert keys(at) == rows - {1} | {9}, name
+    for name, at, rows in crash_points(spark, tmp_path / "upgrade", old, new):
+        stores.replace(stores.upgraded(readers.parquet_or_empty(spark, at, old.schema), one, ["k"], "v"), at)
+        assert keys(at) == rows | {9}, name
+    src = str(tmp_path / "src")
+    one.write.parquet(src)
+    for name, at, rows in crash_points(spark, tmp_path / "stream", old, new):
+        q = ST.upsert_batches(spark.readStream.schema("k int, v double").parquet(src), at, ["k"], "v", str(tmp_path / f"c-{name}")).start()
+        q.awaitTermination()
+        assert keys(at) == rows | {9}, name
+
+
+def test_a_store_begun_anew_is_never_deleted(spark, tmp_path):
+    at = str(tmp_path / "s")
+    for path, n in ((at, 1), (at + ".old", 5)):
+        spark.range(n).write.parquet(path)
+    for use in (lambda: stores.recover(spark, at), lambda: stores.replace(spark.range(2), at), lambda: stores.append_new(spark, spark.range(2), at, ["id"])):
+        with pytest.raises(OSError):
+            use()
+    assert spark.read.parquet(at).count() == 1 and spark.read.parquet(at + ".old").count() == 5
+
+
+def test_forward_window_needs_consecutive_days_and_a_row_after_it(spark):
+    import datetime as dt
+
+    from tidemark.operators import series
+
+    def plain(days, most=3):
+        import numpy as np
+
+        out = {}
+        for i, t in enumerate(days):
+            end, j, ok = t + dt.timedelta(7), i + 1, True
+            near = lambda a, b: np.busday_count(a, b) <= most
+            while j < len(days) and days[j] <= end:
+                ok &= bool(near(days[j - 1], days[j]))
+                j += 1
+            out[t] = j - i - 1 if ok and j < len(days) and near(days[j - 1], days[j]) and j > i + 1 else None
+        return out
+
+    first = dt.date(2024, 1, 1)
+    cases = [[0, 1, 7], [0, 1, 8], [0, 1, 2, 3, 4, 7, 8, 9], [0, 3, 4, 7, 10, 11, 12, 20, 21, 22, 24, 28, 29, 30, 33]]
+    for case in cases:
+        days = [first + dt.timedelta(k) for k in case]
+        d = spark.createDataFrame([(1, t, float(k)) for k, t in enumerate(days)], "k int, d date, v double")
+        assert {r["d"]: r["path_n"] for r in series.forward_window(d, ["k"], "d", "v").collect()} == plain(days)
+
+
+def test_demotion_windows_and_still_losses(spark):
+    from tidemark.functions.stats import student_upper
+    from tidemark.plans import demotion
+
+    rows = [(1, i, 0) for i in range(30)] + [(1, 30 + i, None if i % 2 else 1) for i in range(60)]
+    d = spark.createDataFrame(rows, "k int, i int, hit int")
+    last = {r["i"]: r for r in demotion.rate_breach(d, ["k"], "i", "hit", 60, 0.55).collect()}
+    assert len(last) == 90 and last[89]["breach_p"] == pytest.approx(1.0) and not last[89]["breach"] and last[40]["breach"]
+    for level, breach, p in ((5.0, True, 0.0), (-5.0, False, 1.0), (0.0, False, 1.0)):
+        x = spark.createDataFrame([(1, i, level) for i in range(35)], "k int, i int, z double")
+        got = {r["i"]: (r["stat"], r["p_worse"], r["breach"]) for r in demotion.error_breach(x, ["k"], "i", "z").collect()}
+        assert got[34] == (None, p, breach) and got[28] == (None, None, False)
+    known = {(2.131846786326649, 4): 0.05, (1.9431802805153022, 6): 0.05, (2.015048372669157, 5): 0.05, (6.313751514675037, 1): 0.05, (0.0, 3): 0.5, (-2.3533634348018264, 3): 0.95}
+    for (t, n), p in known.items():
+        assert spark.range(1).select(student_upper(F.lit(t), n)).first()[0] == pytest.approx(p, abs=1e-9)

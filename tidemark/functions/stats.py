@@ -36,6 +36,24 @@ def normal_cdf(x: Column) -> Column:
     return 0.5 * (1 + erf(x / math.sqrt(2)))
 
 
+def student_upper(t: Column, df: int) -> Column:
+    """P(T > t) of Student's t with a whole number of degrees of freedom, by its finite sum; exact but for rounding."""
+    cos2 = df / (t * t + df)
+    if df % 2 == 0:
+        term = total = F.lit(1.0)
+        for k in range(2, df, 2):
+            term = term * cos2 * ((k - 1) / k)
+            total = total + term
+        inner = t / F.sqrt(t * t + df) * total
+    else:
+        term = total = F.lit(1.0 if df > 1 else 0.0)
+        for k in range(3, df - 1, 2):
+            term = term * cos2 * ((k - 1) / k)
+            total = total + term
+        inner = (F.atan(t / math.sqrt(df)) + t / F.sqrt(t * t + df) * F.sqrt(cos2) * total) * (2 / math.pi)
+    return (1 - inner) / 2
+
+
 def normal_quantile(p: float) -> float:
     """Inverse of the normal distribution function, by bisection."""
     lo, hi = -40.0, 40.0

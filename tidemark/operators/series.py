@@ -22,13 +22,26 @@ def latest_run(df: DataFrame, by: list[str], day: str, most_gap: int) -> DataFra
     return d.withColumn("__last", F.max("segment").over(Window.partitionBy(*by))).where("segment = __last").drop("segment", "__last")
 
 
-def forward_window(df: DataFrame, by: list[str], day: str, value: str, days: int = 7) -> DataFrame:
-    """Least and greatest value of the next 1 to `days` days; null unless a row at or past the window's end proves it complete."""
+def weekday_number(day: str) -> Column:
+    """Weekdays before a day, counted from a Monday: the difference of two is the number of weekdays from one to before the other."""
+    n = F.datediff(day, F.lit("1969-12-29").cast("date"))
+    return F.floor(n / 7) * 5 + F.least(F.pmod(n, F.lit(7)), F.lit(5))
+
+
+def forward_window(df: DataFrame, by: list[str], day: str, value: str, days: int = 7, most_weekdays: int = 3) -> DataFrame:
+    """Least and greatest value and number of rows of the next 1 to `days` days, null unless that window is complete.
+
+    Complete: from the row on, no step is longer than `most_weekdays` weekdays, up to and including the first row after the window, which proves that
+    none is missing; and the window holds a row.
+    """
     n = F.datediff(day, F.lit("1970-01-01").cast("date"))
-    ahead = Window.partitionBy(*by).orderBy(n).rangeBetween(1, days)
-    newest = F.max(day).over(Window.partitionBy(*by))
-    whole = F.datediff(newest, day) >= days
-    return df.withColumns({"path_min": F.when(whole, F.min(value).over(ahead)), "path_max": F.when(whole, F.max(value).over(ahead)), "path_n": F.when(whole, F.count(value).over(ahead))})
+    w = Window.partitionBy(*by).orderBy(n)
+    d = df.withColumn("__wd", weekday_number(day))
+    d = d.withColumn("__run", F.sum(F.coalesce(F.col("__wd") - F.lag("__wd").over(w) > most_weekdays, F.lit(False)).cast("int")).over(w))
+    ahead = w.rangeBetween(1, days)
+    whole = (F.datediff(F.max(day).over(Window.partitionBy(*by, "__run")), day) > days) & (F.count(F.lit(1)).over(ahead) > 0)
+    d = d.withColumns({"path_min": F.when(whole, F.min(value).over(ahead)), "path_max": F.when(whole, F.max(value).over(ahead)), "path_n": F.when(whole, F.count(value).over(ahead))})
+    return d.drop("__wd", "__run")
 
 
 def collapsed(df: DataFrame, by: list[str], order: str, up: str, n: int, edge: float) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.stats import student_upper
 from tidemark.plans.gates import sticky
 
 FEWEST = 30  # fixed value: a rule is silent on fewer folds
@@ -23,15 +24,22 @@ def binomial_lower(k: Column, n: Column, p: float) -> Column:
 
 
 def rate_breach(df: DataFrame, by: list[str], order: str, hit: str, window: int, floor: float, alpha: float = 0.05, name: str = "breach") -> DataFrame:
-    """Whether the hits of the last `window` rows with one are too few for a true rate of `floor` (exact, one-sided)."""
+    """Whether the hits of the last `window` rows are too few for a true rate of `floor` (exact, one-sided).
+
+    A row with a null hit (nothing moved) takes a place in the window and counts as no trial.
+    """
     w = Window.partitionBy(*by).orderBy(order).rowsBetween(1 - window, 0)
-    d = df.where(F.col(hit).isNotNull()).withColumn("__n", F.count(hit).over(w)).withColumn("__k", F.sum(F.col(hit).cast("int")).over(w))
+    d = df.withColumn("__n", F.count(hit).over(w)).withColumn("__k", F.sum(F.col(hit).cast("int")).over(w))
     d = d.withColumn(f"{name}_p", F.when(F.col("__n") >= FEWEST, binomial_lower(F.col("__k"), F.col("__n"), floor)))
     return d.withColumn(name, F.coalesce(F.col(f"{name}_p") < alpha, F.lit(False))).drop("__n", "__k")
 
 
 def worse_statistic(df: DataFrame, by: list[str], order: str, difference: str, window: int, lags: int) -> DataFrame:
-    """Mean of the last `window` loss differences over its long-run standard error (Bartlett weights), from window sums of lag products."""
+    """Mean of the last `window` loss differences over its long-run standard error (Bartlett weights), from window sums of lag products.
+
+    stat: null on fewer than FEWEST rows or without variance; p_worse: one-sided p of a mean above zero, Student's t with `lags` degrees of
+    freedom; without variance 0 for a mean above zero, else 1. mean_difference: the mean.
+    """
     w = Window.partitionBy(*by).orderBy(order)
     d = df.where(F.col(difference).isNotNull()).withColumn("__i", F.row_number().over(w))
     last, x = w.rowsBetween(1 - window, 0), F.col(difference)
@@ -46,15 +54,18 @@ def worse_statistic(df: DataFrame, by: list[str], order: str, difference: str, w
     for k in range(1, lags + 1):
         pairs = F.greatest(n - k, F.lit(0))
         var = var + 2 * (1 - k / (lags + 1)) * (F.col(f"__s{k}") - m * (F.col(f"__a{k}") + F.col(f"__z{k}")) + pairs * m * m) / n
-    stat = F.when((n >= FEWEST) & (var > 0), m / F.sqrt(F.when(var > 0, var) / n))
+    still = var <= 1e-12 * F.col("__s0") / n  # all differences alike, but for rounding
+    stat = F.when((n >= FEWEST) & ~still, m / F.sqrt(F.when(var > 0, var) / n))
+    d = d.withColumns({"stat": stat, "mean_difference": m, "__still": still})
+    p = F.when(F.col("__still"), F.when(F.col("mean_difference") > 0, 0.0).otherwise(1.0)).otherwise(student_upper(F.col("stat"), lags))
     gone = [c for k in range(1, lags + 1) for c in (f"__s{k}", f"__a{k}", f"__z{k}")]
-    return d.withColumn("stat", stat).drop("__i", "__n", "__m", "__s0", "__p", "__a", "__z", *gone)
+    return d.withColumn("p_worse", F.when(n >= FEWEST, p)).drop("__still", "__i", "__n", "__m", "__s0", "__p", "__a", "__z", *gone)
 
 
-def error_breach(df: DataFrame, by: list[str], order: str, difference: str, window: int = 40, lags: int = 4, critical: float = 2.131846786326649) -> DataFrame:
-    """Whether the model's loss is above holding's; critical: Student's t with `lags` degrees of freedom, 5 % one-sided."""
+def error_breach(df: DataFrame, by: list[str], order: str, difference: str, window: int = 40, lags: int = 4, alpha: float = 0.05) -> DataFrame:
+    """Whether the model's loss is above holding's, one-sided at alpha."""
     d = worse_statistic(df, by, order, difference, window, lags)
-    return d.withColumn("breach", F.coalesce(F.col("stat") > critical, F.lit(False)))
+    return d.withColumn("breach", F.coalesce((F.col("mean_difference") > 0) & (F.col("p_worse") < alpha), F.lit(False)))
 
 
 def demoted(df: DataFrame, by: list[str], order: str, breach: str = "breach", persist: int = 3) -> DataFrame:

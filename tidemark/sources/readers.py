@@ -23,6 +23,9 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 def parquet_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """The table, or an empty one of the schema where the path does not exist."""
+    from tidemark.sources.stores import recover
+
+    recover(spark, path)
     return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
 
 

@@ -10,6 +10,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def one_per_key(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -64,35 +65,57 @@ def may_publish(stored: DataFrame, new: DataFrame, order: list[str]) -> DataFram
     return new.crossJoin(F.broadcast(last)).where(F.col("__last").isNull() | (F.struct(*order) > F.col("__last"))).drop("__last")
 
 
+MARK = "_REPLACES_OLD"  # lies in a state that was moved in, until the one before it is deleted
+
+
 def replace(df: DataFrame, path: str) -> None:
     """Write beside the target, move the old state aside, move the new one in and only then delete the old one.
 
-    The state is never lost: a crash between the two moves leaves the old state aside, and `recover` (called first here and
-    by readers that open a store) moves it back.
+    The new state carries a mark before it is moved in, so whoever opens the store after a crash (`recover`, which every reader and writer
+    here calls first) can tell a finished move from a store that somebody else began anew while the state lay aside. One writer at a time; a
+    move must be atomic, as it is in a file system.
     """
     spark = df.sparkSession
     recover(spark, path)
     at = path.rstrip("/")
     tmp, aside = f"{at}.next-{uuid.uuid4().hex[:8]}", f"{at}.old"
     df.write.parquet(tmp)
-    fs, (target, source, old) = _files(spark, at, tmp, aside)
+    fs, (target, source, old, mark, placed) = _files(spark, at, tmp, aside, f"{tmp}/{MARK}", f"{at}/{MARK}")
+    fs.create(mark).close()
     if fs.exists(target) and not fs.rename(target, old):
         raise OSError(f"{at} could not be moved aside")
     if not fs.rename(source, target):
         fs.rename(old, target)
         raise OSError(f"{tmp} could not be moved to {at}")
     fs.delete(old, True)
+    fs.delete(placed, False)
 
 
 def recover(spark: SparkSession, path: str) -> None:
-    """Undo or finish a `replace` that was broken off."""
+    """Undo or finish a `replace` that was broken off. Nothing is deleted unless a newer, whole state is in place.
+
+    A store without the mark beside a state that lies aside was begun by a writer that did not recover: both are left as they are and an error names them.
+    """
     at = path.rstrip("/")
-    fs, (target, old) = _files(spark, at, f"{at}.old")
-    if fs.exists(old):
-        if fs.exists(target):
-            fs.delete(old, True)
-        else:
-            fs.rename(old, target)
+    fs, (target, old, placed, whole) = _files(spark, at, f"{at}.old", f"{at}/{MARK}", f"{at}/_SUCCESS")
+    if not fs.exists(old):
+        return
+    if not fs.exists(target):
+        if not fs.rename(old, target):
+            raise OSError(f"{at}.old could not be moved back")
+    elif fs.exists(placed) and fs.exists(whole):
+        fs.delete(old, True)
+        fs.delete(placed, False)
+    else:
+        raise OSError(f"{at} was begun anew while its state lay in {at}.old; merge them by hand")
+
+
+def opened(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The store's rows after `recover`; none where there is no store yet."""
+    from tidemark.sources.readers import parquet_or_empty
+
+    recover(spark, path)
+    return parquet_or_empty(spark, path, schema)
 
 
 def _files(spark: SparkSession, *paths: str):
@@ -103,10 +126,7 @@ def _files(spark: SparkSession, *paths: str):
 
 def append_new(spark: SparkSession, new: DataFrame, path: str, keys: list[str]) -> None:
     """Append rows whose key is not stored yet: a second run adds nothing."""
-    from tidemark.sources.readers import parquet_or_empty
-
-    stored = parquet_or_empty(spark, path, new.schema)
-    new_rows(stored, new, keys).write.mode("append").parquet(path)
+    new_rows(opened(spark, path, new.schema), new, keys).write.mode("append").parquet(path)
 
 
 def append_json(df: DataFrame, path: str) -> None:

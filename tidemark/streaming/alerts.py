@@ -20,12 +20,10 @@ def append_once(stream: DataFrame, keys: list[str], event_time: str, late: str =
 
 def upsert_batches(stream: DataFrame, path: str, keys: list[str], better: str, checkpoint: str):
     """Keeps one best row a key at `path`: late and same-day upgrades are merged batch by batch."""
-    from tidemark.sources.readers import parquet_or_empty
-    from tidemark.sources.stores import replace, upgraded
+    from tidemark.sources.stores import opened, replace, upgraded
 
     def merge(batch: DataFrame, _: int) -> None:
-        stored = parquet_or_empty(batch.sparkSession, path, batch.schema)
-        replace(upgraded(stored, batch, keys, better), path)
+        replace(upgraded(opened(batch.sparkSession, path, batch.schema), batch, keys, better), path)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 

@@ -107,7 +107,7 @@ def most_recent_run(spark, sf_dir):
     return L.latest_run(daily(spark, sf_dir), ["k"], "d", 2).select("k", "d", "v")
 
 
-@query(f"with {DAILY}, x as (select *, max(d) over (partition by k) as newest, datediff('day', date '1970-01-01', d) as i from daily) select k, d, case when datediff('day', d, newest) >= 7 then min(v) over w end as path_min, case when datediff('day', d, newest) >= 7 then max(v) over w end as path_max, case when datediff('day', d, newest) >= 7 then count(v) over w end as path_n from x window w as (partition by k order by i range between 1 following and 7 following)")
+@query(f"with {DAILY}, a as (select *, datediff('day', date '1970-01-01', d) as i, datediff('day', date '1969-12-29', d) as m from daily), b as (select *, (m // 7) * 5 + least(m % 7, 5) as wd from a), c as (select *, sum(coalesce(wd - prev > 3, false)::int) over (partition by k order by i) as run from (select *, lag(wd) over (partition by k order by i) as prev from b)), x as (select *, max(d) over (partition by k, run) as newest from c), y as (select k, d, newest, min(v) over w as lo, max(v) over w as hi, count(v) over w as n from x window w as (partition by k order by i range between 1 following and 7 following)) select k, d, case when ok then lo end as path_min, case when ok then hi end as path_max, case when ok then n end as path_n from (select *, datediff('day', d, newest) > 7 and n > 0 as ok from y)")
 def forward_week(spark, sf_dir):
     return L.forward_window(daily(spark, sf_dir), ["k"], "d", "v").select("k", "d", "path_min", "path_max", "path_n")
 
@@ -173,23 +173,24 @@ def decision_scores(spark, sf_dir):
 LOWER = "list_sum(list_transform(range(0, k2::bigint + 1), lambda j: exp(lgamma(n2 + 1) - lgamma(j + 1) - lgamma(n2 - j + 1) + j * ln(0.55) + (n2 - j) * ln(0.45))))"
 
 
-@query(f"""with {DAILY}, f as (select k, d, v as a, lead(v) over ({BY}) as b, n from daily), h as (select k, d, ((n > 1) = (b > a))::int as hit from f where b <> a),
-w as (select k, d, count(hit) over x as n2, sum(hit) over x as k2 from h window x as ({BY} rows between 59 preceding and current row)), p as (select k, d, case when n2 >= 30 then least(1.0, {LOWER}) end as p from w),
+@query(f"""with {DAILY}, f as (select k, d, v as a, lead(v) over ({BY}) as b, n from daily), h as (select k, d, case when b <> a then ((n > 1) = (b > a))::int end as hit from f),
+w as (select k, d, count(hit) over x as n2, coalesce(sum(hit) over x, 0) as k2 from h window x as ({BY} rows between 59 preceding and current row)), p as (select k, d, case when n2 >= 30 then least(1.0, {LOWER}) end as p from w),
 t as (select *, coalesce(p < 0.05, false) as breach from p), c as (select *, count(*) over x = 3 and min(breach::int) over x = 1 as t from t window x as ({BY} rows between 2 preceding and current row))
 select k, d, round(p, 7) as breach_p, breach, bool_or(t) over ({BY} rows between unbounded preceding and current row) as demoted from c""")
 def direction_demotion(spark, sf_dir):
     w = Window.partitionBy("k").orderBy("d")
-    f = daily(spark, sf_dir).withColumn("b", F.lead("v").over(w)).where(F.col("b") != F.col("v"))
-    f = f.withColumn("hit", ((F.col("n") > 1) == (F.col("b") > F.col("v"))).cast("int"))
+    f = daily(spark, sf_dir).withColumn("b", F.lead("v").over(w))
+    f = f.withColumn("hit", F.when(F.col("b") != F.col("v"), ((F.col("n") > 1) == (F.col("b") > F.col("v"))).cast("int")))
     d = D.demoted(D.rate_breach(f, ["k"], "d", "hit", 60, 0.55), ["k"], "d")
     return d.select("k", "d", r("breach_p", 7).alias("breach_p"), "breach", "demoted")
 
 
 @query(f"""with {DAILY}, x as (select k, d, (abs(v - 230000) - abs(v - 250000)) / 1000 as z, row_number() over ({BY}) as i from daily), w as (select a.k, a.d, count(*) as n, list(b.z order by b.i) as l from x a join x b on a.k = b.k and b.i <= a.i and b.i > a.i - 40 group by 1, 2),
 c as (select k, d, n, list_avg(l) as m, list_transform(l, lambda e: e - list_avg(l)) as c from w),
-v as (select k, d, n, m, (list_sum(list_transform(c, lambda e: e * e)) + 2 * coalesce(list_sum(list_transform(range(1, 5), lambda g: (1 - g / 5.0) * coalesce(list_sum(list_transform(range(g + 1, n + 1), lambda j: c[j] * c[j - g])), 0))), 0)) / n as var from c)
-select k, d, case when n >= 30 and var > 0 then round(m / sqrt(case when var > 0 then var end / n), 6) end as stat from v""")
+v as (select k, d, n, m, (list_sum(list_transform(c, lambda e: e * e)) + 2 * coalesce(list_sum(list_transform(range(1, 5), lambda g: (1 - g / 5.0) * coalesce(list_sum(list_transform(range(g + 1, n + 1), lambda j: c[j] * c[j - g])), 0))), 0)) / n as var from c),
+s as (select k, d, m, case when n >= 30 and var > 0 then m / sqrt(case when var > 0 then var end / n) end as stat from v), p as (select *, (1 - stat / sqrt(stat * stat + 4) * (1 + 2 / (stat * stat + 4))) / 2 as p from s)
+select k, d, round(stat, 6) as stat, round(p, 7) as p_worse, coalesce(m > 0 and p < 0.05, false) as breach from p""")
 def error_demotion_statistic(spark, sf_dir):
     v = F.col("v")
     x = daily(spark, sf_dir).withColumn("z", (F.abs(v - 230000) - F.abs(v - 250000)) / 1000)
-    return D.error_breach(x, ["k"], "d", "z").select("k", "d", r("stat").alias("stat"))
+    return D.error_breach(x, ["k"], "d", "z").select("k", "d", r("stat").alias("stat"), r("p_worse", 7).alias("p_worse"), "breach")

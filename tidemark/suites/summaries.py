@@ -255,13 +255,6 @@ def pit_new_rows(spark, sf_dir):
     return K.new_rows(o.where("o_orderkey % 2 = 0"), new, ["o_custkey"])
 
 
-@query("with u as (select c_custkey as k, c_acctbal as v, 1 as o from customer where c_custkey % 2 = 0 union all select c_custkey, c_acctbal * 2, 2 from customer where c_custkey % 3 = 0) select k, round(arg_max(v, o), 2) as v from u group by 1")
-def union_newest_wins(spark, sf_dir):
-    """Ids that 2 or 3 divides only; union_newest_wins_all has all."""
-    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"))
-    return K.newest_wins(c.where("k % 2 = 0"), c.where("k % 3 = 0").withColumn("v", F.col("v") * 2), ["k"]).select("k", r("v", 2).alias("v"))
-
-
 @query("with u as (select c_custkey as k, c_acctbal as v, 1 as o from customer where c_custkey % 2 = 0 union all select c_custkey, c_acctbal * 2, 2 from customer where c_custkey % 2 <> 0 or c_custkey % 3 = 0) select k, round(arg_max(v, o), 2) as v from u group by 1")
 def union_newest_wins_all(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"))

@@ -151,14 +151,6 @@ def bounded_gap_pairs(spark, sf_dir):
     return R.pairs_within(daily(spark, sf_dir), ["k"], "d", "v", 2)
 
 
-@query(f"with {DAILY}, x as (select k, date_trunc('month', d)::date as m, dayofmonth(d) as x, v as y from daily where d < date '1993-01-01'), s as (select a.k, a.m, quantile_cont((b.y - a.y) / (b.x - a.x), 0.5) as slope from x a join x b on a.k = b.k and a.m = b.m and b.x > a.x group by 1, 2) select x.k, x.m, round(any_value(s.slope), 4) as slope, round(quantile_cont(x.y - s.slope * x.x, 0.5), 4) as intercept, count(*) as n from x join s on x.k = s.k and x.m = s.m group by 1, 2")
-def theil_sen_monthly(spark, sf_dir):
-    """Months before 1993 only; theil_sen_every_month has all."""
-    d = daily(spark, sf_dir).where("d < date'1993-01-01'").select("k", F.trunc("d", "month").alias("m"), F.dayofmonth("d").alias("x"), F.col("v").alias("y"))
-    t = R.theil_sen(d, ["k", "m"], "x", "y")
-    return t.select("k", "m", F.round("slope", 4).alias("slope"), F.round("intercept", 4).alias("intercept"), "n")
-
-
 @query(f"with {DAILY}, x as (select k, date_trunc('month', d)::date as m, dayofmonth(d) as x, v as y from daily), s as (select a.k, a.m, quantile_cont((b.y - a.y) / (b.x - a.x), 0.5) as slope from x a join x b on a.k = b.k and a.m = b.m and b.x > a.x group by 1, 2) select x.k, x.m, round(any_value(s.slope) + 3e-7, 4) as slope, round(quantile_cont(x.y - s.slope * x.x, 0.5) + 3e-7, 4) as intercept, count(*) as n from x join s on x.k = s.k and x.m = s.m group by 1, 2")
 def theil_sen_every_month(spark, sf_dir):
     d = daily(spark, sf_dir).select("k", F.trunc("d", "month").alias("m"), F.dayofmonth("d").alias("x"), F.col("v").alias("y"))

@@ -78,16 +78,6 @@ def ewma_shifted(spark, sf_dir):
     return W.ewma(daily(spark, sf_dir), ["k"], "d", "v", 10, "ewma").select("k", "d", r("ewma", 3).alias("ewma"))
 
 
-@query(f"with {DAILY}, x as (select *, case when abs(ln(v / lag(v) over ({BY}))) > 0.6 then ln(v / lag(v) over ({BY})) else 0 end as j from daily) select k, d, round(ln(v * exp(coalesce(sum(j) over ({BY} rows between 1 following and unbounded following), 0))), 8) as adjusted from x where d >= date '1998-01-01'")
-def back_adjusted(spark, sf_dir):
-    """Days from 1998 on only; back_adjusted_history has all."""
-    w = Window.partitionBy("k").orderBy("d")
-    d = daily(spark, sf_dir)
-    d = d.withColumn("jump", F.coalesce(F.abs(F.ln(F.col("v") / F.lag("v").over(w))) > 0.6, F.lit(False))).where("d >= date'1998-01-01'")
-    # the ratio at the first kept row does not matter: only later jumps scale a row
-    return W.back_adjust(d, ["k"], "d", "v", F.col("jump")).select("k", "d", r(F.ln("adjusted"), 8).alias("adjusted"))
-
-
 @query(f"with {DAILY}, x as (select *, case when abs(ln(v / lag(v) over ({BY}))) > 0.6 then ln(v / lag(v) over ({BY})) else 0 end as j from daily) select k, d, round(ln(v * exp(coalesce(sum(j) over ({BY} rows between 1 following and unbounded following), 0))), 8) as adjusted from x")
 def back_adjusted_history(spark, sf_dir):
     w = Window.partitionBy("k").orderBy("d")
