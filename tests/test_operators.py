@@ -463,7 +463,7 @@ def test_forward_window_needs_consecutive_days_and_a_row_after_it(spark):
 
     from tidemark.operators import series
 
-    def plain(days, most=3):
+    def plain(days, most=2):
         import numpy as np
 
         out = {}

@@ -28,7 +28,7 @@ def weekday_number(day: str) -> Column:
     return F.floor(n / 7) * 5 + F.least(F.pmod(n, F.lit(7)), F.lit(5))
 
 
-def forward_window(df: DataFrame, by: list[str], day: str, value: str, days: int = 7, most_weekdays: int = 3) -> DataFrame:
+def forward_window(df: DataFrame, by: list[str], day: str, value: str, days: int = 7, most_weekdays: int = 2) -> DataFrame:
     """Least and greatest value and number of rows of the next 1 to `days` days, null unless that window is complete.
 
     Complete: from the row on, no step is longer than `most_weekdays` weekdays, up to and including the first row after the window, which proves that

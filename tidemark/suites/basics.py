@@ -107,7 +107,7 @@ def most_recent_run(spark, sf_dir):
     return L.latest_run(daily(spark, sf_dir), ["k"], "d", 2).select("k", "d", "v")
 
 
-@query(f"with {DAILY}, a as (select *, datediff('day', date '1970-01-01', d) as i, datediff('day', date '1969-12-29', d) as m from daily), b as (select *, (m // 7) * 5 + least(m % 7, 5) as wd from a), c as (select *, sum(coalesce(wd - prev > 3, false)::int) over (partition by k order by i) as run from (select *, lag(wd) over (partition by k order by i) as prev from b)), x as (select *, max(d) over (partition by k, run) as newest from c), y as (select k, d, newest, min(v) over w as lo, max(v) over w as hi, count(v) over w as n from x window w as (partition by k order by i range between 1 following and 7 following)) select k, d, case when ok then lo end as path_min, case when ok then hi end as path_max, case when ok then n end as path_n from (select *, datediff('day', d, newest) > 7 and n > 0 as ok from y)")
+@query(f"with {DAILY}, a as (select *, datediff('day', date '1970-01-01', d) as i, datediff('day', date '1969-12-29', d) as m from daily), b as (select *, (m // 7) * 5 + least(m % 7, 5) as wd from a), c as (select *, sum(coalesce(wd - prev > 2, false)::int) over (partition by k order by i) as run from (select *, lag(wd) over (partition by k order by i) as prev from b)), x as (select *, max(d) over (partition by k, run) as newest from c), y as (select k, d, newest, min(v) over w as lo, max(v) over w as hi, count(v) over w as n from x window w as (partition by k order by i range between 1 following and 7 following)) select k, d, case when ok then lo end as path_min, case when ok then hi end as path_max, case when ok then n end as path_n from (select *, datediff('day', d, newest) > 7 and n > 0 as ok from y)")
 def forward_week(spark, sf_dir):
     return L.forward_window(daily(spark, sf_dir), ["k"], "d", "v").select("k", "d", "path_min", "path_max", "path_n")
 
@@ -189,8 +189,8 @@ def direction_demotion(spark, sf_dir):
 c as (select k, d, n, list_avg(l) as m, list_transform(l, lambda e: e - list_avg(l)) as c from w),
 v as (select k, d, n, m, (list_sum(list_transform(c, lambda e: e * e)) + 2 * coalesce(list_sum(list_transform(range(1, 5), lambda g: (1 - g / 5.0) * coalesce(list_sum(list_transform(range(g + 1, n + 1), lambda j: c[j] * c[j - g])), 0))), 0)) / n as var from c),
 s as (select k, d, m, case when n >= 30 and var > 0 then m / sqrt(case when var > 0 then var end / n) end as stat from v), p as (select *, (1 - stat / sqrt(stat * stat + 4) * (1 + 2 / (stat * stat + 4))) / 2 as p from s)
-select k, d, round(stat, 6) as stat, round(p, 7) as p_worse, coalesce(m > 0 and p < 0.05, false) as breach from p""")
+select k, d, round(stat, 6) as stat, round(p, 6) as p_worse, coalesce(m > 0 and p < 0.05, false) as breach from p""")
 def error_demotion_statistic(spark, sf_dir):
     v = F.col("v")
     x = daily(spark, sf_dir).withColumn("z", (F.abs(v - 230000) - F.abs(v - 250000)) / 1000)
-    return D.error_breach(x, ["k"], "d", "z").select("k", "d", r("stat").alias("stat"), r("p_worse", 7).alias("p_worse"), "breach")
+    return D.error_breach(x, ["k"], "d", "z").select("k", "d", r("stat").alias("stat"), r("p_worse", 6).alias("p_worse"), "breach")
