@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,12 +14,13 @@ FEWEST = 30  # fixed value: a rule is silent on fewer folds
 
 
 def binomial_lower(k: Column, n: Column, p: float) -> Column:
-    """P(X <= k) of a binomial count, term by term; n in the hundreds at most (a trailing window). 1 for no trials."""
-    start = F.struct(F.pow(F.lit(1 - p), n).alias("term"), F.pow(F.lit(1 - p), n).alias("sum"))
+    """P(X <= k) of a binomial count, term by term; terms are kept as logarithms, so that many trials do not underflow. 1 for no trials."""
+    first = n * math.log(1 - p)
+    start = F.struct(first.alias("log"), F.exp(first).alias("sum"))
 
     def step(a, j):
-        term = a["term"] * (n - j) / (j + 1) * (p / (1 - p))
-        return F.struct(term.alias("term"), (a["sum"] + term).alias("sum"))
+        log = a["log"] + F.ln((n - j) / (j + 1)) + math.log(p / (1 - p))
+        return F.struct(log.alias("log"), (a["sum"] + F.exp(log)).alias("sum"))
 
     steps = F.when(k > 0, F.sequence(F.lit(0), (k - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
     return F.when(n > 0, F.least(F.lit(1.0), F.aggregate(steps, start, step)["sum"])).otherwise(1.0)

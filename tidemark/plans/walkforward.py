@@ -21,17 +21,21 @@ def matured(by: list[str], decision: str, extra: list[str] | None = None) -> Win
     return Window.partitionBy(*by).orderBy(decision, *(extra or [])).rowsBetween(Window.unboundedPreceding, -1)
 
 
-def matured_sums(df: DataFrame, by: list[str], decision: str, label_day: str, sums: dict[str, Column], strict: bool = True) -> DataFrame:
+def matured_sums(df: DataFrame, by: list[str], decision: str, label_day: str, sums: dict[str, Column], strict: bool = True, latest: dict[str, Column] | None = None) -> DataFrame:
     """For each row the sums over all rows whose label_day is before (not strict: not after) its decision day.
 
+    latest: values of the one of these rows with the latest decision.
+
     Labels and decisions are two events in one timeline; a running sum over it needs one sort for each key, no pairing.
     """
-    names = df.columns
-    ev = df.select(*by, F.col(decision).alias("__at"), F.lit(1 if not strict else 0).alias("__turn"), F.struct(*names).alias("__row"), *[F.lit(None).cast("double").alias(f"__{k}") for k in sums])
-    out = df.where(F.col(label_day).isNotNull()).select(*by, F.col(label_day).alias("__at"), F.lit(0 if not strict else 1).alias("__turn"), F.lit(None).cast(ev.schema["__row"].dataType).alias("__row"), *[c.cast("double").alias(f"__{k}") for k, c in sums.items()])
+    names, latest = df.columns, latest or {}
+    newest = {k: F.struct(F.col(decision).alias("at"), c.cast("double").alias("v")) for k, c in latest.items()}
+    kinds = {k: df.select(c.alias("c")).schema["c"].dataType for k, c in newest.items()}
+    ev = df.select(*by, F.col(decision).alias("__at"), F.lit(1 if not strict else 0).alias("__turn"), F.struct(*names).alias("__row"), *[F.lit(None).cast("double").alias(f"__{k}") for k in sums], *[F.lit(None).cast(kinds[k]).alias(f"__{k}") for k in latest])
+    out = df.where(F.col(label_day).isNotNull()).select(*by, F.col(label_day).alias("__at"), F.lit(0 if not strict else 1).alias("__turn"), F.lit(None).cast(ev.schema["__row"].dataType).alias("__row"), *[c.cast("double").alias(f"__{k}") for k, c in sums.items()], *[c.alias(f"__{k}") for k, c in newest.items()])
     w = Window.partitionBy(*by).orderBy("__at", "__turn").rowsBetween(Window.unboundedPreceding, 0)
-    d = ev.unionByName(out).select("*", *[F.coalesce(F.sum(f"__{k}").over(w), F.lit(0.0)).alias(k) for k in sums])
-    return d.where("__row is not null").select("__row.*", *sums)
+    d = ev.unionByName(out).select("*", *[F.coalesce(F.sum(f"__{k}").over(w), F.lit(0.0)).alias(k) for k in sums], *[F.max(f"__{k}").over(w)["v"].alias(k) for k in latest])
+    return d.where("__row is not null").select("__row.*", *sums, *latest)
 
 
 def slope_forecast(df: DataFrame, by: list[str], decision: str, label_day: str, x: str, y: str, least: int = 30) -> DataFrame:
