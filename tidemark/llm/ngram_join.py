@@ -127,7 +127,8 @@ def jaccard_components(docs: DataFrame, work: Workspace, width: int = 3, percent
     info = [f"b{k}" for k in range(4)]
     first_row = F.min(F.struct("id", "h"))  # whose text stands for the set
     rows = sets.where("n > 0 and id is not null").groupBy("n", "s1", "s2").agg(first_row.alias("m"), *[F.first(c).alias(c) for c in (*info, "first")])
-    rows = work.table(rows.select(F.monotonically_increasing_id().alias("rep"), "m.id", "m.h", "n", "s1", "s2", *info, "first"), "rows")
+    # Numbered in the order of ids: near copies have later ids than their source as a rule, and a column's least row should be the source.
+    rows = work.table(rows.select("m.id", "m.h", "n", "s1", "s2", *info, "first").orderBy("id", "h").withColumn("rep", F.monotonically_increasing_id()), "rows")
     light = rows.select("rep", "n", *info)
     cols = rows.select("rep", "n", F.explode("first").alias("col"))
     shared = cols.groupBy("col").agg(F.min(F.struct("rep", "n")).alias("lo"), F.max("rep").alias("hi")).where("lo.rep < hi")
