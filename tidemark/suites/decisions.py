@@ -46,12 +46,12 @@ star as (select n, s from nt where j = 30)"""
 LONG_RUN = "(list_inner_product(c, c) + 2 * (" + " + ".join(f"case when n > {g} then {1 - g / 5} * list_inner_product(c[{g + 1}:], c[1:n - {g}]) else 0 end" for g in range(1, 5)) + ")) / n"
 
 
-@query(f"""with recursive {DAILY}, x as (select k, d, (0.95 * abs(v - 200000) - abs(v - 230000)) / 1000 as e from daily), l as (select k, d, row_number() over w as n, list(e) over w as l from x window w as ({BY})),
+@query(f"""with recursive {DAILY}, x as (select k, d, (0.95 * abs(v - 200000) - abs(v - 230000)) / 997 as e from daily), l as (select k, d, row_number() over w as n, list(e) over w as l from x window w as ({BY})),
 c as (select k, d, n, list_avg(l) as m, list_transform(l, lambda z: z - list_avg(l)) as c from l where n >= 2), v as (select k, d, n, m, greatest({LONG_RUN}, list_inner_product(c, c) / n, 0) * 1.5 as v from c), {STAR.format(src='v')}
 select k, d, n, round(m, 6) as mean, round(case when v > 0 then m - sqrt(v) * s / n end, 6) as lower from (select k, d, n, m, v from v union all select k, d, n, l[1], null from l where n = 1) left join star using (n)""")
 def anytime_bounds(spark, sf_dir):
     v = F.col("v")
-    x = daily(spark, sf_dir).withColumn("e", (0.95 * F.abs(v - 200000) - F.abs(v - 230000)) / 1000)
+    x = daily(spark, sf_dir).withColumn("e", (0.95 * F.abs(v - 200000) - F.abs(v - 230000)) / 997)
     d = P.anytime_lower(x, ["k"], "d", "e", 0.05 / 3, 4, 0.3, 20, 1.5)
     return d.select("k", "d", F.col("n").cast("long").alias("n"), r("mean").alias("mean"), r("lower").alias("lower"))
 
