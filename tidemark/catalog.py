@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tidemark.suites import QUERIES, SQL, basics, decisions, forecasts, summaries, temporal, trailing
+from tidemark.suites import QUERIES, SQL, basics, calibrations, decisions, forecasts, summaries, temporal, trailing
 
-SUITES = (temporal, trailing, summaries, basics, forecasts, decisions)
+SUITES = (temporal, trailing, summaries, basics, forecasts, decisions, calibrations)
 
 
 def queries() -> dict[str, Callable]:
