@@ -183,23 +183,6 @@ def christoffersen(df: DataFrame, by: list[str], order: str, miss: str) -> DataF
     return out.withColumn("lr_independence", F.coalesce(lr, F.lit(0.0)))
 
 
-def bootstrap_mean(df: DataFrame, by: list[str], order: str, value: str, block: int, draws: int, seed: int = 7) -> DataFrame:
-    """Moving-block bootstrap of the mean: draws, 2.5 and 97.5 % points; block starts come from a hash of (seed, draw, block)."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values(order)[value].to_numpy(float)
-        n = len(x)
-        b = max(1, min(block, n))
-        rng = np.random.default_rng(seed)
-        start = rng.integers(0, n - b + 1, (draws, -(-n // b)))
-        idx = (start[:, :, None] + np.arange(b)).reshape(draws, -1)[:, :n]
-        m = x[idx].mean(axis=1)
-        return pd.DataFrame([[*(pdf[c].iloc[0] for c in by), n, x.mean(), float(np.quantile(m, 0.025)), float(np.quantile(m, 0.975))]], columns=[*by, "n", "mean", "lower", "upper"])
-
-    kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in by)
-    return df.where(F.col(value).isNotNull()).groupBy(*by).applyInPandas(run, f"{kinds}, n long, mean double, lower double, upper double")
-
-
 def permutation_p(a, b, draws: int = 2000, seed: int = 7) -> float:
     """Two-sided p-value of the difference of means under shuffled labels."""
     rng, x, n = np.random.default_rng(seed), np.concatenate((a, b)).astype(float), len(a)

@@ -402,8 +402,3 @@ def sessions(spark, sf_dir):
 def cooldown_alerts(spark, sf_dir):
     e = table(spark, sf_dir, "events").where("event_type in ('error', 'purchase')")
     return ST.cooldown_batch(e, "user_id", "ts", "event_type", ST.Cooldown(quiet=(22, 7)))
-
-
-@query()
-def bootstrap_interval(spark, sf_dir):
-    return T.bootstrap_mean(daily(spark, sf_dir), ["k"], "d", "v", 10, 200)
