@@ -11,6 +11,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import hot
+
+#: Schedules up to this many steps are one array in each task; longer ones are joined by pieces of time.
+MOST_STEPS = 1000
+
 
 def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_ts: str, right_ts: str, columns: list[str], direction: str = "backward", allow_exact: bool = True, tolerance: str | None = None, prefix: str = "", tolerance_keeps_row: bool = True) -> DataFrame:
     """left with `columns` of the right row that is in force (backward: latest not after; forward: first not before).
@@ -52,10 +57,14 @@ def known_before(left: DataFrame, right: DataFrame, by: list[str], left_ts: str,
 def step_schedule(left: DataFrame, steps: DataFrame, left_ts: str, effective: str, value: str, default, by: list[str] | None = None) -> DataFrame:
     """The step in force at each row; `default` before the first one.
 
-    The schedule is a dimension of a few rows, so it becomes one sorted array that is looked up in each row: no sort of the left side.
+    A schedule of up to MOST_STEPS rows, which is counted first, becomes one sorted array that is looked up in each row: no sort of the left side.
     """
     if by:
         return asof_join(left, steps, by, left_ts, effective, [value]).withColumn(value, F.coalesce(value, F.lit(default))).drop(effective)
+    if steps.limit(MOST_STEPS + 1).count() > MOST_STEPS:
+        one = lambda d: d.withColumn("__one", F.lit(1))
+        got = hot.asof_backward(one(left), one(steps.select(effective, value)), ["__one"], left_ts, effective, [value])
+        return got.withColumn(value, F.coalesce(value, F.lit(default))).drop("__one", effective)
     rows = steps.select(effective, value).groupBy().agg(F.sort_array(F.collect_list(F.struct(effective, value))).alias("__steps"))
     past = F.filter("__steps", lambda s: s[effective] <= F.col(left_ts))
     return left.crossJoin(F.broadcast(rows)).withColumn(value, F.coalesce(F.try_element_at(past, F.lit(-1))[value], F.lit(default))).drop("__steps")

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.operators import hot as H
 from tidemark.operators import joins as J
 from tidemark.operators import windows as W
 from tidemark.plans import freshness as S
@@ -142,3 +143,21 @@ def long_history_proxy(spark, sf_dir):
     steps = spark.createDataFrame(STEPS, "effective string, pct double").withColumn("effective", F.col("effective").cast("date"))
     d = P.long_history(drivers(spark, sf_dir), sides(spark, sf_dir, "reading"), steps, ["k"], "d", "future", "reference", "fx", "reading", SCALE)
     return d.select("k", "d", "duty_pct", "is_oos", "roll_adjusted", *[r(c).alias(c) for c in ("raw_pre_duty", "raw_with_duty", "proxy")])
+
+
+@query("""with e as (select event_id, event_type, ts, value, 'all' as k from events), p as (select ts as bought_at, max(event_id) as purchase_id from e where event_type = 'purchase' group by 1)
+select e.event_id, p.purchase_id, epoch_us(e.ts) - epoch_us(p.bought_at) as micros_since from e asof left join p on e.ts >= p.bought_at where event_type <> 'purchase'""")
+def asof_one_hot_key(spark, sf_dir):
+    """The latest purchase of anyone before each other event: one key with all rows, cut into pieces of time."""
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), F.lit("all").alias("k"))
+    p = e.where("event_type = 'purchase'").groupBy("k", F.col("ts").alias("bought_at")).agg(F.max("event_id").alias("purchase_id"))
+    d = H.asof_backward(e.where("event_type <> 'purchase'"), p, ["k"], "ts", "bought_at", ["purchase_id"], rows=1000)
+    return d.select("event_id", "purchase_id", (F.unix_micros("ts") - F.unix_micros("bought_at")).alias("micros_since"))
+
+
+@query("""with e as (select ts, max(event_id) as event_id, max(case when event_type = 'error' then value end) as v from events group by 1)
+select event_id, round(last_value(v ignore nulls) over (order by ts rows between unbounded preceding and current row), 6) as v_filled from e""")
+def fill_one_hot_key(spark, sf_dir):
+    """The value of the latest error at each moment, filled forward over one key with all rows."""
+    e = table(spark, sf_dir, "events").groupBy(F.col("ts").cast("timestamp").alias("ts")).agg(F.max("event_id").alias("event_id"), F.max(F.when(F.col("event_type") == "error", F.col("value"))).alias("v"))
+    return H.fill_forward(e.withColumn("k", F.lit("all")), ["k"], "ts", ["v"], rows=1000).select("event_id", r("v_filled").alias("v_filled"))
