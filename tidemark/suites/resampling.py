@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import hac as H
 from tidemark.functions import resample as B
 from tidemark.sources.readers import table
 from tidemark.suites import DAILY, daily, query
@@ -77,3 +78,35 @@ def customer_cluster_bootstrap(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("k"), "o_custkey", (F.col("o_totalprice") / 1000).alias("v"))
     d = B.spread(B.cluster_draws(o, ["k"], "o_custkey", "v", 100, 11), ["k"])
     return d.select("k", "n_draws", *[r(c).alias(c) for c in ("mean_of_draws", "lower", "upper")])
+
+
+LAGGED = " + ".join(f"2 * {1 - j / 6!r} * e * coalesce(lag(e, {j}) over ({BY}), 0)" for j in range(1, 6))
+
+
+@query(f"""with {DAILY}, x as (select k, d, ln(v) - lag(ln(v)) over ({BY}) as x from daily), e as (select *, x - avg(x) over (partition by k) as e from x where x is not null), p as (select *, e * e + {LAGGED} as p from e),
+g as (select k, count(*) as n, avg(x) as m, greatest(sum(p) / count(*), 1e-12) as v, avg(e * e) as g from p group by 1)
+select k, n, round(m, 8) as mean, round(sqrt(v / n), 8) as hac_se, round(m - 1.959963984540054 * sqrt(v / n), 8) as lower, round(m + 1.959963984540054 * sqrt(v / n), 8) as upper, round(n * g / v, 4) as effective_n from g""")
+def mean_return_hac(spark, sf_dir):
+    w = Window.partitionBy("k").orderBy("d")
+    d = H.hac_mean(daily(spark, sf_dir).withColumn("x", F.ln("v") - F.lag(F.ln("v")).over(w)), ["k"], "d", "x", 5)
+    return d.select("k", "n", *[r(c, 8).alias(c) for c in ("mean", "hac_se", "lower", "upper")], r("effective_n", 4).alias("effective_n"))
+
+
+def score_sql(a: str, b: str) -> str:
+    return f"{a} * {b} + " + " + ".join(f"{1 - j / 4!r} * ({a} * coalesce(lag({b}, {j}) over ({BY}), 0) + coalesce(lag({a}, {j}) over ({BY}), 0) * {b})" for j in range(1, 4))
+
+
+@query(f"""with {DAILY}, z as (select k, d, ln(v) - lag(ln(v)) over ({BY}) as y, (extract(isodow from d) >= 6)::int::double as p, n::double as q from daily), c as (select *, p - avg(p) over (partition by k) as a, q - avg(q) over (partition by k) as b, y - avg(y) over (partition by k) as u from z where y is not null),
+s as (select k, count(*) as m, sum(a * a) as aa, sum(a * b) as ab, sum(b * b) as bb, sum(a * u) as au, sum(b * u) as bu from c group by 1),
+f as (select *, (bb * au - ab * bu) / (aa * bb - ab * ab) as ba, (aa * bu - ab * au) / (aa * bb - ab * ab) as bq from s), e as (select c.k, d, a * (u - ba * a - bq * b) as ga, b * (u - ba * a - bq * b) as gb from c join f using (k)),
+t as (select k, {score_sql('ga', 'ga')} as saa, {score_sql('ga', 'gb')} as sab, {score_sql('gb', 'gb')} as sbb from e), o as (select k, sum(saa) as x, sum(sab) as y, sum(sbb) as z from t group by 1),
+i as (select *, bb / (aa * bb - ab * ab) as iaa, -ab / (aa * bb - ab * ab) as iab, aa / (aa * bb - ab * ab) as ibb from f join o using (k)),
+v as (select *, (iaa * (x * iaa + y * iab) + iab * (y * iaa + z * iab)) * m / (m - 3.0) as caa, (iaa * (x * iab + y * ibb) + iab * (y * iab + z * ibb)) * m / (m - 3.0) as cab, (iab * (x * iab + y * ibb) + ibb * (y * iab + z * ibb)) * m / (m - 3.0) as cbb from i),
+w as (select *, (cbb * ba * ba - 2 * cab * ba * bq + caa * bq * bq) / (caa * cbb - cab * cab) as wald from v)
+select k, m as n, round(ba, 6) as weekend, round(bq, 6) as orders, round(sqrt(caa), 6) as se_weekend, round(sqrt(cbb), 6) as se_orders, round(wald, 5) as wald, round(exp(-wald / 2), 6) as p_value from w""")
+def weekend_wald_test(spark, sf_dir):
+    """Do the weekend and the number of orders move a day's return: both coefficients zero, errors over three lags."""
+    w = Window.partitionBy("k").orderBy("d")
+    z = daily(spark, sf_dir).select("k", "d", (F.ln("v") - F.lag(F.ln("v")).over(w)).alias("y"), (F.weekday("d") >= 5).cast("double").alias("p"), F.col("n").cast("double").alias("q"))
+    d = H.hac_regression(z, ["k"], "d", ["p", "q"], "y", 3)
+    return d.select("k", "n", r(F.col("beta")[1]).alias("weekend"), r(F.col("beta")[2]).alias("orders"), r(F.col("se")[1]).alias("se_weekend"), r(F.col("se")[2]).alias("se_orders"), r("wald", 5).alias("wald"), r("p_value").alias("p_value"))
