@@ -9,6 +9,7 @@ from tidemark.plans import evaluation as E
 from tidemark.plans import promotion as P
 from tidemark.sources.readers import table
 from tidemark.streaming import delivery as D
+from tidemark.streaming import late as L
 from tidemark.suites import DAILY, daily, query
 
 BY = "partition by k order by d"
@@ -118,3 +119,14 @@ def embargoed_scores(spark, sf_dir):
     s = E.fold_scores(folds(spark, sf_dir), ["k"], "y")
     whole = ["n_folds", "n_skipped", "n_discordant"]
     return s.select("k", *whole, *[r(c, 5 if c == "persistence_log_loss" else 6).alias(c) for c in s.columns if c not in ("k", *whole)])
+
+
+@query("""with e as (select user_id, event_id, ts, cast(ts as date) as day from events), p as (select user_id, day, lag(day) over (partition by user_id order by day) as d from (select distinct user_id, day from e)),
+a as (select user_id, d, ts, event_id from e join p using (user_id, day) where d is not null)
+select user_id, d as decided, arg_min(event_id, (ts, event_id)) as event_id, epoch_us(min(ts)) as arrived, cast(min(ts) as date) - d > 3 as late from a group by 1, 2""")
+def late_records(spark, sf_dir):
+    """Each active day of a user is decided by the first event of the next one; after more than three days the record is late."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), F.to_date("ts").alias("day"))
+    days = e.select("user_id", "day").distinct().withColumn("decided", F.lag("day").over(Window.partitionBy("user_id").orderBy("day")))
+    a = e.join(days.where("decided is not null"), ["user_id", "day"]).drop("day")
+    return L.first_records(a, ["user_id"], "decided", "ts").select("user_id", "decided", "event_id", F.unix_micros("ts").alias("arrived"), "late")
