@@ -313,6 +313,10 @@ def test_quote_source(spark):
     d = spark.read.format("quotes").option("fetch", "tests.quote_fixture:fetch").option("tickers", "AA,BAD,C").option("wait", "0").load()
     got = sorted((r["ticker"], r["day"].day, r["value"]) for r in d.collect())
     assert [g[:2] for g in got] == [("AA", 1), ("AA", 2), ("AA", 3), ("C", 1), ("C", 2), ("C", 3)] and got[0][2] == 2.0 and got[1][2] is None
+    strict = spark.read.format("quotes").option("fetch", "tests.quote_fixture:fetch").option("wait", "0").option("failed", "error")
+    assert strict.option("tickers", "AA,C").load().count() == 6
+    with pytest.raises(Exception, match="no answer"):
+        strict.option("tickers", "AA,BAD").load().collect()
 
 
 def test_folds(spark):
