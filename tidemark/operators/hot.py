@@ -87,3 +87,24 @@ def asof_backward(left: DataFrame, right: DataFrame, by: list[str], left_ts: str
     out = d.withColumn("__here", here).where("row is not null").join(F.broadcast(carry), _same(by) & (F.col("piece") == F.col("__piece")), "left")
     got = F.when(F.col("ts").isNotNull(), F.coalesce("__here", "__carry"))
     return out.withColumn("__got", got).select(*[F.col("row")[c].alias(c) for c in names], *[F.col("__got")[c].alias(c) for c in kept])
+
+
+def states_before(df: DataFrame, by: list[str], order: list[str], last: dict[str, Column] | None = None, top: dict[str, Column] | None = None, rows: int = ROWS, most: int = MOST_PIECES) -> DataFrame:
+    """df with running states of the rows before each one in its key: `last` the last value that is not null, `top` the highest.
+
+    `order` begins with a number or time, by which large keys are cut; rows that agree in all of it are in no stated order. A null there comes first.
+    """
+    last, top = last or {}, top or {}
+    d = df.withColumns({f"__v_{n}": c for n, c in {**last, **top}.items()})
+    d = pieces(d, by, order[0], rows, most)
+    w = Window.partitionBy(*by, "piece").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    keys, at = [f"__by_{c}" for c in by], F.struct(*order)
+    one = d.groupBy(*[F.col(c).alias(k) for c, k in zip(by, keys)], F.col("piece").alias("__piece")).agg(
+        F.count(F.lit(1)).alias("__rows"), *[F.max_by(f"__v_{n}", F.when(F.col(f"__v_{n}").isNotNull(), at)).alias(f"__c_{n}") for n in last], *[F.max(f"__v_{n}").alias(f"__c_{n}") for n in top])
+    before = Window.partitionBy(*keys).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
+    carried = one.withColumns({f"__c_{n}": F.last(f"__c_{n}", ignorenulls=True).over(before) for n in last} | {f"__c_{n}": F.max(f"__c_{n}").over(before) for n in top})
+    carried = carried.where("__piece > 0").drop("__rows")
+    here = {f"__h_{n}": F.last(f"__v_{n}", ignorenulls=True).over(w) for n in last} | {f"__h_{n}": F.max(f"__v_{n}").over(w) for n in top}
+    out = d.withColumns(here).join(F.broadcast(carried), _same(by) & (F.col("piece") == F.col("__piece")), "left")
+    out = out.withColumns({n: F.coalesce(f"__h_{n}", f"__c_{n}") for n in last} | {n: F.greatest(f"__h_{n}", f"__c_{n}") for n in top})
+    return out.select(*df.columns, *last, *top)
