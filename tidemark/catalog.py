@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tidemark.suites import QUERIES, SQL, basics, calibrations, decisions, forecasts, resampling, summaries, temporal, trailing
+from tidemark.suites import QUERIES, SQL, basics, calibrations, decisions, forecasts, resampling, sources, summaries, temporal, trailing
 
-SUITES = (temporal, trailing, summaries, basics, forecasts, decisions, calibrations, resampling)
+SUITES = (temporal, trailing, summaries, basics, forecasts, decisions, calibrations, resampling, sources)
 
 
 def queries() -> dict[str, Callable]:

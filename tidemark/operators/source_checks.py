@@ -216,7 +216,7 @@ def fixes(df: DataFrame, now: Column, by: list[str], position: str, day: str, fe
     limits = {**morning, **evening}
     x = {c: number(df, c) for c in limits}
     ok = {c: good(x[c], r) for c, r in limits.items()}
-    date = F.try_to_date(F.col(day).cast("string"), F.lit("yyyy-MM-dd")) if hasattr(F, "try_to_date") else F.to_date(instant(df, day))
+    date = F.try_to_date(F.col(day).cast("string"), "yyyy-MM-dd")
     here = F.to_date(F.from_utc_timestamp(now, zone))
     d = df.withColumns({"__d": date, "__ref": F.coalesce(ok[base[1]], ok[base[0]]), "__raw": F.coalesce(x[base[1]], x[base[0]])})
     newest = F.max(position).over(Window.partitionBy(*by)) == F.col(position)
