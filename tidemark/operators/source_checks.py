@@ -402,9 +402,14 @@ def two_seeds(a: DataFrame, b: DataFrame, day: str, left: str, right: str, limit
 
 
 def reports(found: list[DataFrame], sources: list[str]) -> DataFrame:
-    """One row for each source: status (worst severity, ok without findings) and how many of each severity."""
-    d = together(found)
-    names = d.sparkSession.createDataFrame([(s,) for s in sources], "source string")
-    g = d.groupBy("source").agg(F.max("severity").alias("w"), *[F.count(F.when(F.col("severity") == i, 1)).alias(f"n_{s}") for i, s in enumerate(SEVERITY)])
-    status = reduce(lambda c, i: c.when(F.col("w") == i, SEVERITY[i]), range(1, 3), F.when(F.col("w") == 0, SEVERITY[0])).otherwise("ok")
-    return F.broadcast(names).join(g, "source", "left").select("source", status.alias("status"), *[F.coalesce(f"n_{s}", F.lit(0)).alias(f"n_{s}") for s in SEVERITY])
+    """One row for each source: status (worst severity, ok without findings) and how many of each severity.
+
+    Each evaluator is its own job, so no plan holds all of them; what comes back of one is a row for each source.
+    """
+    counts = [F.count(F.when(F.col("severity") == i, 1)).alias(f"n_{s}") for i, s in enumerate(SEVERITY)]
+    total = {s: [0] * len(SEVERITY) for s in sources}
+    for d in found:
+        for source, *n in d.groupBy("source").agg(*counts).collect():
+            total[source] = [a + b for a, b in zip(total.get(source, [0] * len(n)), n)]
+    rows = [(s, next((w for w, k in zip(reversed(SEVERITY), reversed(n)) if k), "ok"), *n) for s, n in total.items()]
+    return found[0].sparkSession.createDataFrame(rows, "source string, status string, " + ", ".join(f"n_{s} long" for s in SEVERITY))
