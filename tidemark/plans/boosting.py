@@ -7,6 +7,7 @@ rows. Each level of a round's trees is one aggregation by (fold, level, node, fe
 from __future__ import annotations
 
 import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -22,6 +23,13 @@ def shared_folder(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(place or tempfile.mkdtemp())
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df as a written table in that folder: computed once, and safe from lost executors."""
+    place = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/boosting-{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place)
+
+
 def folds(df: DataFrame, decision: str, known: str, starts: list, name: str = "fold") -> DataFrame:
     """Walk-forward folds beginning at `starts` (ascending): a row is scored in the fold its decision falls in, and trains every fold that begins after its outcome was known.
 
@@ -63,7 +71,7 @@ def quantiles(df: DataFrame, by: list[str], features: list[str], label: str, lev
         return rows.where("__use and __bins is not null").groupBy(*keys).agg(pick.alias("__step"))
 
     start = leaf_values(d, key, F.col(label).cast("double"))
-    d = d.join(F.broadcast(start), key, "left").withColumnRenamed("__step", "estimate").checkpoint()
+    d = cut(d.join(F.broadcast(start), key, "left").withColumnRenamed("__step", "estimate"))
     for _ in range(rounds):
         d = d.withColumns({"__node": F.lit(0), "__g": F.col("level") - (F.col(label) < F.col("estimate")).cast("double")})
         for _ in range(depth):
@@ -77,5 +85,5 @@ def quantiles(df: DataFrame, by: list[str], features: list[str], label: str, lev
             right = F.coalesce((F.element_at("__bins", F.col("__s")["__pos"] + 1) > F.col("__s")["__cut"]).cast("int"), F.lit(0))
             d = d.join(F.broadcast(best), [*key, "__node"], "left").withColumn("__node", F.col("__node") * 2 + right).drop("__s")
         steps = leaf_values(d, [*key, "__node"], F.col(label) - F.col("estimate"))
-        d = d.join(F.broadcast(steps), [*key, "__node"], "left").withColumn("estimate", F.col("estimate") + rate * F.coalesce("__step", F.lit(0.0))).drop("__step", "__node", "__g").checkpoint()
+        d = cut(d.join(F.broadcast(steps), [*key, "__node"], "left").withColumn("estimate", F.col("estimate") + rate * F.coalesce("__step", F.lit(0.0))).drop("__step", "__node", "__g"))
     return d.where(~F.col(train)).select(*[c for c in df.columns if c != train], "level", "estimate")

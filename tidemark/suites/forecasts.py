@@ -125,3 +125,17 @@ select k, count(*) as n_days, any_value(now) as current, min(v) as low, floor(av
 def band_position_90d(spark, sf_dir):
     x = R.band_position(daily(spark, sf_dir), ["k"], "d", "v")
     return x.select("k", "n_days", "current", "low", "percentile", r(F.col("distance_pct")).alias("distance_pct"), "near_support")
+
+
+@query()
+def boosted_range(spark, sf_dir):
+    """Quantiles of the log return over five rows by boosted trees, walk-forward in three folds (no SQL: iterative; tests hold the trees against a plain version)."""
+    from tidemark.plans import boosting
+
+    w = Window.partitionBy("k").orderBy("d")
+    x = F.ln("v")
+    d = daily(spark, sf_dir).withColumns({"r1": x - F.lag(x).over(w), "actual": F.lead(x, 5).over(w) - x, "known": F.lead("d", 5).over(w)})
+    d = d.withColumns({"vol5": F.stddev_samp("r1").over(w.rowsBetween(-4, 0)), "vol20": F.stddev_samp("r1").over(w.rowsBetween(-19, 0)), "away": x - F.avg(x).over(w.rowsBetween(-19, 0))})
+    parts = boosting.folds(d, "d", "known", ["1998-01-01", "1999-07-01", "2001-01-01"])
+    out = boosting.quantiles(parts, ["fold"], ["r1", "vol5", "vol20", "away"], "actual", (0.1, 0.9), rounds=5, rate=0.2)
+    return out.select("k", "d", "fold", "level", F.round("actual", 6).alias("actual"), F.round("estimate", 6).alias("estimate"))
