@@ -71,7 +71,7 @@ v as (select {KEYS}, n, m, greatest({LONG_RUN}, list_inner_product(c, c) / n, 0)
 lo as (select {KEYS}, case when v > 0 then m - sqrt(v) * s / v.n end as lower from v left join star on v.n = star.n),
 o as (select g.*, lower, n >= 20 and lower is not null as looks, case when cn > 0 then list_sum(list_transform(range(0, ck::bigint + 1), lambda j: exp(lgamma(cn + 1) - lgamma(j + 1) - lgamma(cn - j + 1) + j * ln(0.8) + (cn - j) * ln(0.2)))) end as cp from g left join lo using (k, name)),
 pr as (select *, name <> 'hold' and since < 180 and looks and lower > 0 and coalesce(cp >= 0.05, false) and coalesce(db >= da, false) as ok from o)
-select k, name, n, first_day, last_day, round(mc, 4) as mae_champion, round(mb, 4) as mae_challenger, round(1 - mb / mc, 6) as gain, round(case when looks then 0.05 + lower / mc end, 6) as lower_bound, coalesce(looks and lower > 0, false) as clears, cn as coverage_n, round(least(cp, 1.0), 6) as coverage_p_below, round(da, 6) as direction_champion, round(db, 6) as direction_challenger, since as days_since_registration, greatest(180 - since, 0) as horizon_left, since >= 180 as retired, coalesce(ok, false) as promotable, coalesce(name = first_value(case when ok then name end) over (partition by k order by coalesce(ok, false) desc, mb, name), false) as promoted from pr""")
+select k, name, n, first_day, last_day, round(mc, 4) as mae_champion, round(mb, 4) as mae_challenger, round(case when n >= 2 then case when mc > 0 then 1 - mb / mc else 0 end end, 6) as gain, round(case when looks then 0.05 + lower / mc end, 6) as lower_bound, coalesce(looks and lower > 0, false) as clears, cn as coverage_n, round(case when cp is not null then least(cp, 1.0) end, 6) as coverage_p_below, round(da, 6) as direction_champion, round(db, 6) as direction_challenger, since as days_since_registration, greatest(180 - since, 0) as horizon_left, since >= 180 as retired, coalesce(ok, false) as promotable, coalesce(name = first_value(case when ok then name end) over (partition by k order by coalesce(ok, false) desc, mb, name), false) as promoted from pr""")
 def challenger_comparison(spark, sf_dir):
     past = lambda n: F.avg("v").over(by_day().rowsBetween(1 - n, 0))
     a = daily(spark, sf_dir).withColumns({"v1": F.lead("v").over(by_day()), "m5": past(5), "m40": past(40), "i": F.row_number().over(by_day())}).where("v1 is not null")
