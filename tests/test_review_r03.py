@@ -33,3 +33,12 @@ def test_comparison_of_one_common_day_and_of_none(spark, tmp_path):
     got = {(r["k"], r["name"]): r for r in same(spark, path, "challenger_comparison")}
     assert got["none", "hold"].coverage_n == 0 and got["none", "hold"].coverage_p_below is None
     assert got["one", "hold"].n == 1 and got["one", "hold"].gain is None and got["many", "hold"].gain is not None
+
+
+def test_errors_that_are_all_alike(spark, tmp_path):
+    nearly = [300000.0] * 45 + [249990.0] + [300000.0] * 4  # a small step beside large values: sums must be centred
+    path = orders(spark, tmp_path, {"worse": [300000.0] * 50, "better": [200000.0] * 50, "nearly": nearly})
+    got = {(r["k"], r["d"]): r for r in same(spark, path, "error_demotion_statistic")}
+    last = (D0 + dt.timedelta(days=49)).date()
+    assert got["worse", last].stat is None and got["worse", last].p_worse == 0 and got["worse", last].breach
+    assert got["better", last].p_worse == 1 and not got["better", last].breach and got["nearly", last].stat is not None

@@ -38,31 +38,26 @@ def rate_breach(df: DataFrame, by: list[str], order: str, hit: str, window: int,
 
 
 def worse_statistic(df: DataFrame, by: list[str], order: str, difference: str, window: int, lags: int) -> DataFrame:
-    """Mean of the last `window` loss differences over its long-run standard error (Bartlett weights), from window sums of lag products.
+    """Mean of the last `window` loss differences over its long-run standard error (Bartlett weights), centred before multiplying.
 
     stat: null on fewer than FEWEST rows or without variance; p_worse: one-sided p of a mean above zero, Student's t with `lags` degrees of
-    freedom; without variance 0 for a mean above zero, else 1. mean_difference: the mean.
+    freedom; without variance (at most 1e-12 of the mean square) 0 for a mean above zero, else 1. mean_difference: the mean.
     """
-    w = Window.partitionBy(*by).orderBy(order)
-    d = df.where(F.col(difference).isNotNull()).withColumn("__i", F.row_number().over(w))
-    last, x = w.rowsBetween(1 - window, 0), F.col(difference)
-    d = d.withColumns({"__n": F.count(difference).over(last), "__m": F.avg(difference).over(last), "__s0": F.sum(x * x).over(last)})
-    for k in range(1, lags + 1):
-        inside = w.rowsBetween(1 + k - window, 0)  # both ends of the product lie in the window
-        past = F.lag(difference, k).over(w)
-        d = d.withColumn("__p", x * past).withColumn("__a", F.when(F.col("__i") > k, x)).withColumn("__z", past)
-        d = d.withColumns({f"__s{k}": F.coalesce(F.sum("__p").over(inside), F.lit(0.0)), f"__a{k}": F.coalesce(F.sum("__a").over(inside), F.lit(0.0)), f"__z{k}": F.coalesce(F.sum("__z").over(inside), F.lit(0.0))})
-    n, m = F.col("__n"), F.col("__m")
-    var = F.col("__s0") / n - m * m
+    last = Window.partitionBy(*by).orderBy(order).rowsBetween(1 - window, 0)
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    d = df.where(F.col(difference).isNotNull()).withColumn("__l", F.collect_list(F.col(difference).cast("double")).over(last))
+    d = d.withColumn("__n", F.size("__l")).withColumn("mean_difference", total(F.col("__l")) / F.col("__n"))
+    d = d.withColumn("__c", F.transform("__l", lambda x: x - F.col("mean_difference")))
+    n, m, c = F.col("__n"), F.col("mean_difference"), F.col("__c")
+    var = total(F.zip_with(c, c, lambda a, b: a * b))
     for k in range(1, lags + 1):
         pairs = F.greatest(n - k, F.lit(0))
-        var = var + 2 * (1 - k / (lags + 1)) * (F.col(f"__s{k}") - m * (F.col(f"__a{k}") + F.col(f"__z{k}")) + pairs * m * m) / n
-    still = var <= 1e-12 * F.col("__s0") / n  # all differences alike, but for rounding
-    stat = F.when((n >= FEWEST) & ~still, m / F.sqrt(F.when(var > 0, var) / n))
-    d = d.withColumns({"stat": stat, "mean_difference": m, "__still": still})
-    p = F.when(F.col("__still"), F.when(F.col("mean_difference") > 0, 0.0).otherwise(1.0)).otherwise(student_upper(F.col("stat"), lags))
-    gone = [c for k in range(1, lags + 1) for c in (f"__s{k}", f"__a{k}", f"__z{k}")]
-    return d.withColumn("p_worse", F.when(n >= FEWEST, p)).drop("__still", "__i", "__n", "__m", "__s0", "__p", "__a", "__z", *gone)
+        var = var + 2 * (1 - k / (lags + 1)) * total(F.zip_with(F.slice(c, F.lit(k + 1), pairs), F.slice(c, F.lit(1), pairs), lambda a, b: a * b))
+    d = d.withColumn("__v", var / n)
+    still = F.col("__v") <= 1e-12 * total(F.zip_with("__l", "__l", lambda a, b: a * b)) / n  # all differences alike, but for rounding
+    d = d.withColumn("__still", still).withColumn("stat", F.when((n >= FEWEST) & ~F.col("__still"), m / F.sqrt(F.when(F.col("__v") > 0, F.col("__v")) / n)))
+    p = F.when(F.col("__still"), F.when(m > 0, 0.0).otherwise(1.0)).otherwise(student_upper(F.col("stat"), lags))
+    return d.withColumn("p_worse", F.when(n >= FEWEST, p)).drop("__still", "__l", "__n", "__c", "__v")
 
 
 def error_breach(df: DataFrame, by: list[str], order: str, difference: str, window: int = 40, lags: int = 4, alpha: float = 0.05) -> DataFrame:

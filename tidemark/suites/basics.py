@@ -186,9 +186,10 @@ def direction_demotion(spark, sf_dir):
 
 
 @query(f"""with {DAILY}, x as (select k, d, (abs(v - 230000) - abs(v - 250000)) / 1000 as z, row_number() over ({BY}) as i from daily), w as (select a.k, a.d, count(*) as n, list(b.z order by b.i) as l from x a join x b on a.k = b.k and b.i <= a.i and b.i > a.i - 40 group by 1, 2),
-c as (select k, d, n, list_avg(l) as m, list_transform(l, lambda e: e - list_avg(l)) as c from w),
-v as (select k, d, n, m, (list_sum(list_transform(c, lambda e: e * e)) + 2 * coalesce(list_sum(list_transform(range(1, 5), lambda g: (1 - g / 5.0) * coalesce(list_sum(list_transform(range(g + 1, n + 1), lambda j: c[j] * c[j - g])), 0))), 0)) / n as var from c),
-s as (select k, d, m, case when n >= 30 and var > 0 then m / sqrt(case when var > 0 then var end / n) end as stat from v), p as (select *, (1 - stat / sqrt(stat * stat + 4) * (1 + 2 / (stat * stat + 4))) / 2 as p from s)
+c as (select k, d, n, list_avg(l) as m, list_inner_product(l, l) / n as sq, list_transform(l, lambda e: e - list_avg(l)) as c from w),
+v as (select k, d, n, m, sq, (list_sum(list_transform(c, lambda e: e * e)) + 2 * coalesce(list_sum(list_transform(range(1, 5), lambda g: (1 - g / 5.0) * coalesce(list_sum(list_transform(range(g + 1, n + 1), lambda j: c[j] * c[j - g])), 0))), 0)) / n as var from c),
+t as (select v.*, n >= 30 and var <= 1e-12 * sq as still from v), s as (select k, d, m, still, case when n >= 30 and not still then m / sqrt(case when var > 0 then var end / n) end as stat from t),
+p as (select *, case when still then case when m > 0 then 0.0 else 1.0 end else (1 - stat / sqrt(stat * stat + 4) * (1 + 2 / (stat * stat + 4))) / 2 end as p from s)
 select k, d, round(stat, 6) as stat, round(p, 6) as p_worse, coalesce(m > 0 and p < 0.05, false) as breach from p""")
 def error_demotion_statistic(spark, sf_dir):
     v = F.col("v")
