@@ -42,3 +42,9 @@ def test_errors_that_are_all_alike(spark, tmp_path):
     last = (D0 + dt.timedelta(days=49)).date()
     assert got["worse", last].stat is None and got["worse", last].p_worse == 0 and got["worse", last].breach
     assert got["better", last].p_worse == 1 and not got["better", last].breach and got["nearly", last].stat is not None
+
+
+def test_a_signal_that_never_fires(spark, tmp_path):
+    path = orders(spark, tmp_path, {"falling": [300000 * 0.99**j for j in range(40)], "both": [200000 + 1000 * (j * j % 23) for j in range(90)]})
+    got = {(r["k"], r["z_threshold"], r["horizon"]): r for r in Q["signal_cells"](spark, path).collect()}
+    assert got["falling", 1.5, 1].b is None and got["falling", 1.5, 1].n > 30 and got["both", 0.5, 1].b is not None

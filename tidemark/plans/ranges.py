@@ -151,15 +151,17 @@ def hac_slope(df: DataFrame, by: list[str], order: str, x: str, y: str, lags: in
     d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, order, F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"))
     for c, e in (("__n", F.count(F.lit(1))), ("__sx", F.sum("__x")), ("__sy", F.sum("__y")), ("__sxx", F.sum(F.col("__x") * F.col("__x"))), ("__sxy", F.sum(F.col("__x") * F.col("__y")))):
         d = d.withColumn(c, e.over(key))
-    d = d.withColumn("__det", F.col("__n") * F.col("__sxx") - F.col("__sx") * F.col("__sx"))
-    d = d.withColumn("b", F.when((F.col("__det") > 0) & (F.col("__n") >= 5), (F.col("__n") * F.col("__sxy") - F.col("__sx") * F.col("__sy")) / F.col("__det"))).withColumn("a", (F.col("__sy") - F.col("b") * F.col("__sx")) / F.col("__n"))
+    det = F.col("__n") * F.col("__sxx") - F.col("__sx") * F.col("__sx")
+    d = d.withColumn("__det", F.when(det > 0, det))  # null where x does not vary
+    d = d.withColumn("b", F.when(F.col("__det").isNotNull() & (F.col("__n") >= 5), (F.col("__n") * F.col("__sxy") - F.col("__sx") * F.col("__sy")) / F.col("__det"))).withColumn("a", (F.col("__sy") - F.col("b") * F.col("__sx")) / F.col("__n"))
     # A row's weight in b's error: b - true b is the sum of g.
     d = d.withColumn("__u", F.col("__y") - F.col("a") - F.col("b") * F.col("__x")).withColumn("__g", (F.col("__n") * F.col("__x") - F.col("__sx")) / F.col("__det") * F.col("__u"))
     total = F.col("__g") * F.col("__g")
     for j in range(1, lags + 1):
         total = total + 2 * (1 - j / (lags + 1)) * F.col("__g") * F.coalesce(F.lag("__g", j).over(w), F.lit(0.0))
     g = d.withColumn("__t", total).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum("__x").alias("__k"), F.first("a").alias("a"), F.first("b").alias("b"), F.sum("__t").alias("__v"), F.sum(F.col("__u") * F.col("__u")).alias("__uu"), F.first("__det").alias("__det"))
-    g = g.withColumn("se_b", F.sqrt(F.greatest(F.col("__v") * F.col("n") / (F.col("n") - 2), F.lit(0.0)))).withColumn("se_plain", F.sqrt(F.col("__uu") / (F.col("n") - 2) * F.col("n") / F.col("__det")))
+    left = F.when(F.col("n") > 2, F.col("n") - 2)
+    g = g.withColumn("se_b", F.sqrt(F.greatest(F.col("__v") * F.col("n") / left, F.lit(0.0)))).withColumn("se_plain", F.sqrt(F.col("__uu") / left * F.col("n") / F.col("__det")))
     g = g.withColumn("t", F.when(F.col("se_b") > 0, F.col("b") / F.col("se_b"))).withColumn("effective_n", F.when(F.col("se_b") > 0, F.col("__k") * F.pow(F.col("se_plain") / F.col("se_b"), 2)))
     return g.select(*by, "n", "a", "b", "se_b", "se_plain", "t", "effective_n")
 
