@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DIGITS = 12
+DIGITS, PART = 12, 65_536  # PART: blocks of a draw that one row stands for until draws have been spread
 
 
 def drawn(seed: int, parts: list[Column], most: Column) -> Column:
@@ -21,8 +21,11 @@ def drawn(seed: int, parts: list[Column], most: Column) -> Column:
 
 def _spread_draws(keys: DataFrame, by: list[str], draws: int, blocks: Column, most: Column, seed: int) -> DataFrame:
     """keys with one row for each draw and block: draw, block_no, start."""
-    d = keys.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).repartition(*by, "draw")
-    d = d.withColumn("block_no", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    d = keys.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    d = d.withColumn("__from", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1, F.lit(PART).cast("long"))))
+    # A stated number of tasks: without it, the few rows before the second explode would be put into one.
+    d = d.repartition(int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by, "draw", "__from")
+    d = d.withColumn("block_no", F.explode(F.sequence("__from", F.least(F.col("__from") + PART, blocks) - 1))).drop("__from")
     return d.withColumn("start", drawn(seed, [*[F.col(c) for c in by], F.col("draw"), F.col("block_no")], most))
 
 
@@ -48,7 +51,7 @@ def block_draws(df: DataFrame, by: list[str], order: str, value: str, block: int
     for c in by:
         on = on & F.col(c).eqNullSafe(F.col(f"__{c}"))
     piece = F.when(F.col("block_no") == F.col("blocks") - 1, F.col("part")).otherwise(F.col("whole"))
-    return g.join(sums, on).groupBy(*by, "draw").agg((F.sum(piece) / F.first("n")).alias("draw_mean"))
+    return g.join(sums.hint("shuffle_hash"), on).groupBy(*by, "draw").agg((F.sum(piece) / F.first("n")).alias("draw_mean"))
 
 
 def cluster_draws(df: DataFrame, by: list[str], cluster: str, value: str, draws: int, seed: int = 7) -> DataFrame:
@@ -62,7 +65,7 @@ def cluster_draws(df: DataFrame, by: list[str], cluster: str, value: str, draws:
     on = F.col("start") == F.col("__i")
     for c in by:
         on = on & F.col(c).eqNullSafe(F.col(f"__{c}"))
-    return g.join(s, on).groupBy(*by, "draw").agg((F.sum("s") / F.sum("size")).alias("draw_mean"))
+    return g.join(s.hint("shuffle_hash"), on).groupBy(*by, "draw").agg((F.sum("s") / F.sum("size")).alias("draw_mean"))
 
 
 def _joined(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
