@@ -10,8 +10,11 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ROWS = 500_000
 MOST_PIECES = 20_000
@@ -33,7 +36,8 @@ def pieces(df: DataFrame, by: list[str], ts: str, rows: int = ROWS, most: int =
     if total <= rows:
         return df.withColumn(name, F.lit(0))
     hot = counts.where(F.col("__n") > rows).select(*[F.col(c).alias(f"__by_{c}") for c in by], F.ceil(F.col("__n") / rows).cast("int").alias("__k"))
-    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    kind = df.schema[ts].dataType
+    at = F.col(ts).cast("double" if isinstance(kind, T.FractionalType) else "long") if isinstance(kind, T.NumericType) else F.unix_micros(F.col(ts).cast("timestamp"))
     times = df.where(F.col(ts).isNotNull()).withColumn("__at", at).join(F.broadcast(hot), _same(by))
     # A fine grid of quantiles serves keys of any number of pieces: a key takes every (GRID / k)-th of them.
     widest = hot.agg(F.max("__k")).first()[0]
@@ -42,9 +46,22 @@ def pieces(df: DataFrame, by: list[str], ts: str, rows: int = ROWS, most: int =
     grid = [i / widest for i in range(1, widest)]
     cuts = times.groupBy(*[f"__by_{c}" for c in by]).agg(F.max("__k").alias("__k"), F.percentile_approx("__at", F.array(*[F.lit(g) for g in grid]), F.lit(max(1000, 20 * widest))).alias("__g"))
     own = F.transform(F.sequence(F.lit(1), F.col("__k") - 1), lambda i: F.element_at("__g", F.greatest(F.lit(1), F.least(F.size("__g"), F.round(i * widest / F.col("__k")).cast("int")))))
-    cuts = cuts.select(*[f"__by_{c}" for c in by], F.array_distinct(F.array_sort(own)).alias("__cuts"))
-    d = df.withColumn("__at", at).join(F.broadcast(cuts), _same(by), "left")
-    return d.withColumn(name, F.greatest(F.lit(0), F.coalesce(F.size(F.filter("__cuts", lambda c: c < F.col("__at"))), F.lit(0)))).drop("__at", "__cuts", *[f"__by_{c}" for c in by])
+    # The splitters, at most `most` numbers, are fixed here; a row finds its place among them by halving, not by a pass over them.
+    found = cuts.select(*[f"__by_{c}" for c in by], F.array_distinct(F.array_sort(own)).alias("__cuts")).collect()
+    lists = [np.array(row["__cuts"]) for row in found]
+    fields = [T.StructField(f"__by_{c}", df.schema[c].dataType) for c in by] + [T.StructField("__key", T.IntegerType())]
+    numbered = df.sparkSession.createDataFrame([(*row[:-1], i) for i, row in enumerate(found)], T.StructType(fields))
+
+    @F.pandas_udf("int")
+    def place(key: pd.Series, x: pd.Series) -> pd.Series:
+        out = np.zeros(len(key), np.int32)
+        for i in np.unique(key[key >= 0]):
+            out[key == i] = np.searchsorted(lists[i], x[key == i].to_numpy(), "left")
+        return pd.Series(out)
+
+    d = df.withColumn("__at", at).join(F.broadcast(numbered), _same(by), "left")
+    got = place(F.coalesce("__key", F.lit(-1)), F.coalesce("__at", F.lit(0).cast(times.schema["__at"].dataType)))
+    return d.withColumn(name, F.when(F.col("__at").isNotNull(), got).otherwise(0)).drop("__at", "__key", *[f"__by_{c}" for c in by])
 
 
 def _carried(d: DataFrame, by: list[str], value: str, at: list[str]) -> DataFrame:
