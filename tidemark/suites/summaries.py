@@ -158,8 +158,14 @@ def last_known_values(spark, sf_dir):
 @query("with x as (select n.n_nationkey, c.c_custkey, s.s_suppkey, case when c.c_acctbal < 0 then null else c.c_acctbal end as b from nation n left join customer c on c_nationkey = n_nationkey left join supplier s on s_nationkey = n_nationkey) select cast((c_custkey is null)::int + (s_suppkey is null)::int + (b is null)::int as int) as n_null, count(*) as n from x group by 1")
 def null_counting(spark, sf_dir):
     n, c, s = (table(spark, sf_dir, t) for t in ("nation", "customer", "supplier"))
-    j = n.join(c, n["n_nationkey"] == c["c_nationkey"], "left").join(s, n["n_nationkey"] == s["s_nationkey"], "left").withColumn("b", F.when(~(F.col("c_acctbal") < 0), F.col("c_acctbal")))
-    return j.groupBy(A.null_counts(j, ["c_custkey", "s_suppkey", "b"]).alias("n_null")).agg(F.count(F.lit(1)).alias("n"))
+    # Rows of a nation that agree in what is null count as one with their number, so a nation's customers never meet its suppliers one by one.
+    known = lambda x: F.when(x.isNotNull(), F.lit(1))
+    c = c.groupBy("c_nationkey", known(F.col("c_custkey")).alias("c_custkey"), known(F.when(~(F.col("c_acctbal") < 0), F.col("c_acctbal"))).alias("b")).agg(F.count(F.lit(1)).alias("nc"))
+    s = s.groupBy("s_nationkey", known(F.col("s_suppkey")).alias("s_suppkey")).agg(F.count(F.lit(1)).alias("ns"))
+    n = n.groupBy("n_nationkey").agg(F.count(F.lit(1)).alias("nn"))
+    j = n.join(c, n["n_nationkey"] == c["c_nationkey"], "left").join(s, n["n_nationkey"] == s["s_nationkey"], "left")
+    number = F.col("nn") * F.coalesce("nc", F.lit(1)) * F.coalesce("ns", F.lit(1))
+    return j.groupBy(A.null_counts(j, ["c_custkey", "s_suppkey", "b"]).alias("n_null")).agg(F.sum(number).alias("n"))
 
 
 @query("with w as (select user_id, date_trunc('week', ts)::date as week, count(*) as n from events group by 1, 2), x as (select *, row_number() over (partition by user_id order by n desc, week) as r from w) select user_id, week, n, cast(r as int) as place from x where r <= 2")
