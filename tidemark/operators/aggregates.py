@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.stats import wilson
+from tidemark.operators import hot
 
 
 def last_per_group(df: DataFrame, by: list[str], order: list[str], columns: list[str]) -> DataFrame:
@@ -140,15 +141,25 @@ def monthly_sample(df: DataFrame, day: str, value: str) -> DataFrame:
     return ends.select(F.explode(F.expr("sequence(a, b, interval 1 month)")).alias("month")).join(m, "month", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
-def spearman(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
-    """Pearson correlation of average-tie ranks."""
+def average_ranks(df: DataFrame, by: list[str], c: str, name: str) -> DataFrame:
+    """For each key (as __by_...) and value (as __value) the average rank of its rows: equal rows are counted first, and a key's values are cut into pieces."""
+    d = hot.pieces(df.groupBy(*by, c).agg(F.count(F.lit(1)).alias("__n")), by, c, name="__piece")
+    keys = [F.col(k).alias(f"__by_{k}") for k in by]
+    ahead = lambda n, w: F.coalesce(F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    total = d.groupBy(*keys, F.col("__piece").alias("__at")).agg(F.sum("__n").alias("__all"))
+    total = total.select(*[f"__by_{k}" for k in by], "__at", ahead("__all", Window.partitionBy(*[f"__by_{k}" for k in by]).orderBy("__at")).alias("__carry"))
+    d = d.withColumn("__here", ahead("__n", Window.partitionBy(*by, "__piece").orderBy(c)))
+    same = [F.col(k).eqNullSafe(F.col(f"__by_{k}")) for k in by]
+    d = d.join(F.broadcast(total), [*same, F.col("__piece") == F.col("__at")])
+    return d.select(*[f"__by_{k}" for k in by], F.col(c).alias("__value"), (F.col("__carry") + F.col("__here") + (F.col("__n") + 1) / 2).alias(name))
 
-    def rank(c):
-        w = Window.partitionBy(*by).orderBy(c)
-        same = Window.partitionBy(*by, c)
-        return F.rank().over(w) + (F.count(F.lit(1)).over(same) - 1) / 2
 
-    d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("__x", rank(x)).withColumn("__y", rank(y))
+def spearman(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
+    """Pearson correlation of average-tie ranks; no task sorts or holds the rows of a key."""
+    d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, x, y)
+    for c, name in ((x, "__x"), (y, "__y")):
+        ranks = average_ranks(d.select(*by, c), by, c, name)
+        d = d.join(ranks, [*[F.col(k).eqNullSafe(F.col(f"__by_{k}")) for k in by], F.col(c) == F.col("__value")]).drop("__value", *[f"__by_{k}" for k in by])
     return d.groupBy(*by).agg(F.corr("__x", "__y").alias("spearman"), F.corr(x, y).alias("pearson"), F.count(F.lit(1)).alias("n"))
 
 
