@@ -67,8 +67,9 @@ def stale_rules(age: Column, warn: float, block: float) -> list:
 
 
 def source_spread(df: DataFrame, moment: list[str], value: str, most: float) -> DataFrame:
-    """Moments at which sources differ by more than `most` of their mean."""
-    d = df.groupBy(*moment).agg(F.count(value).alias("n"), ((F.max(value) - F.min(value)) / F.avg(value)).alias("spread"))
+    """Moments at which sources differ by more than `most` of their mean, to nine decimals: sums of doubles have no order. A mean of zero has no spread."""
+    mean = F.avg(value)
+    d = df.groupBy(*moment).agg(F.count(value).alias("n"), F.round((F.max(value) - F.min(value)) / F.when(mean != 0, mean), 9).alias("spread"))
     return d.where((F.col("n") > 1) & (F.col("spread") > most))
 
 

@@ -222,10 +222,10 @@ def exclusion_reasons(spark, sf_dir):
     return d.groupBy("excl_reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("select cast(ts as date) as d, user_id, count(value) as n, round((max(value) - min(value)) / avg(value), 5) as spread from events group by 1, 2 having count(value) > 1 and (max(value) - min(value)) / avg(value) > 1.0")
+@query("select cast(ts as date) as d, user_id, count(value) as n, round(round((max(value) - min(value)) / nullif(avg(value), 0), 9) * 100000) / 100000 as spread from events group by 1, 2 having count(value) > 1 and round((max(value) - min(value)) / nullif(avg(value), 0), 9) > 1.0")
 def cross_source_spread(spark, sf_dir):
     d = Q.source_spread(table(spark, sf_dir, "events").withColumn("d", F.to_date("ts")), ["d", "user_id"], "value", 1.0)
-    return d.select("d", "user_id", "n", r("spread", 5).alias("spread"))
+    return d.select("d", "user_id", "n", (F.round(F.col("spread") * 100000) / 100000).alias("spread"))
 
 
 @query("with x as (select l_orderkey as k, l_suppkey as t, count(*) as n, sum((l_discount <= 0)::int) as b from lineitem group by 1, 2) select k, cast(sum(n) as bigint) as n, cast(sum((n > 1)::int) as bigint) as repeated_times, cast(sum(b) as bigint) as bad_values, min(t) as first_ts, max(t) as last_ts from x group by 1")
