@@ -514,6 +514,28 @@ def test_tokens_equal_the_library(spark, docs):
         assert said.decode() == s.decode(s.encode(t)) == m.decode(np.frombuffer(ids, "<u4"))
 
 
+def test_pieces_that_may_meet(monkeypatch):
+    """The edges of two pieces tell what merging both anew tells, encoding merges nothing anew, and 150,000 parts are remembered."""
+    import public_tokenizers
+
+    from tidemark.llm.piece_tokens import PieceModel
+
+    m, r = PieceModel(public_tokenizers.path("piece_bpe_32k.model")), random.Random(4)
+    pieces = list(m.whole)
+    for k in range(20000):
+        both = r.choice(pieces) + r.choice(pieces)
+        cut = r.randrange(1, len(both))
+        a, b = (both[:cut], both[cut:]) if k % 2 else (r.choice(pieces), r.choice(pieces))
+        if a in m.whole and b in m.whole:
+            assert m.apart(a, b) == (m.merge(a + b) == [a, b])
+    merged, encoded, merge, part = [], [], m.merge, m.encode_part
+    monkeypatch.setattr(m, "merge", lambda t: merged.append(t) or merge(t))
+    monkeypatch.setattr(m, "encode_part", lambda t: encoded.append(t) or part(t))
+    text = " ".join(f"w{k}" for k in range(150000))
+    assert m.encode(text) == m.encode(text)
+    assert not merged and len(encoded) == 150000
+
+
 def test_shared_folder():
     """On a cluster without a shared folder nothing may fall back to a machine's own."""
     from types import SimpleNamespace as N

@@ -2,8 +2,8 @@
 
 A text is cut where no piece can cross (before a run of word-boundary marks that follows another character, and around characters that no piece holds).
 Each part is encoded exactly by backtracking: the longest pieces that an Aho-Corasick automaton finds are taken in turn; a
-piece may follow another only if merging the two texts anew gives back just these two pieces; where no piece fits, the place
-is marked in a bitfield of failed positions and the piece before gives way to a shorter one. Parts that were met before come
+piece may follow another only if merging the two texts anew gives back just these two pieces, which the edges that meet tell; where no
+piece fits, the place is remembered as failed and the piece before gives way to a shorter one. Parts that were met before come
 from a bounded cache, so the work follows the number of distinct parts.
 
 Nulls and empty texts give begin and end ids only. Texts are never cut short. Only `id` and `text` columns are read; others may
@@ -13,6 +13,7 @@ have any name.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 
 import ahocorasick
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import bound_batches
 
 MARK = "▁"  # the library's sign for a space
-CACHE, PAIRS = 100_000, 200_000  # parts and pairs of pieces remembered by a worker
+CACHE, PAIRS = 400_000, 600_000  # parts and pairs of pieces remembered by a worker
 
 
 class PieceModel:
@@ -50,6 +51,8 @@ class PieceModel:
         self.chars = {c for p in self.rank for c in p}
         self.whole: dict[str, bool] = {}
         self.pair: dict[str, dict[str, bool]] = {}
+        self.left: dict[str, list[tuple[str, float]] | None] = {}
+        self.right: dict[str, list[tuple[str, float]] | None] = {}
         self.learnt = 0
         self.automaton = ahocorasick.Automaton()
         for p in self.rank:
@@ -81,13 +84,51 @@ class PieceModel:
             s[best[1] : best[1] + 2] = [s[best[1]] + s[best[1] + 1]]
         return s
 
+    def edge(self, p: str, right: bool) -> list[tuple[str, float]] | None:
+        """The pieces at one edge of p while it is merged, each with the score of the merge that ends it; None if scores fall on the way."""
+        s, out, before = list(p), [], -math.inf
+        while len(s) > 1:
+            score, k = min((self.rank[q][0], k) for k in range(len(s) - 1) if (q := s[k] + s[k + 1]) in self.rank)
+            if score < before:
+                return None
+            if k == (len(s) - 2 if right else 0):
+                out.append((s[-1 if right else 0], score))
+            s[k : k + 2] = [s[k] + s[k + 1]]
+            before = score
+        return [*out, (p, math.inf)]
+
+    def apart(self, a: str, b: str) -> bool:
+        """Whether merging two pieces anew leaves them as they are, told from the edges that meet.
+
+        Each side goes its own way until a pair across is the best there is: before the merge that ends one of its two pieces, which
+        goes first where the scores are equal and it lies to the left.
+        """
+        for side, known, right in ((a, self.right, True), (b, self.left, False)):
+            if side not in known:
+                known[side] = self.edge(side, right)
+        x, y = self.right[a], self.left[b]
+        if x is None or y is None:
+            return self.merge(a + b) == [a, b]
+        rank, i, j = self.rank, 0, 0
+        while True:
+            (p, until_p), (q, until_q) = x[i], y[j]
+            across = rank.get(p + q)
+            if across is not None and across[0] < until_p and across[0] <= until_q:
+                return False
+            if until_p <= until_q:
+                if until_p == math.inf:
+                    return True
+                i += 1
+            else:
+                j += 1
+
     def fits(self, a: str, b: str) -> bool:
         """Whether merging the two texts anew leaves them as they are."""
         after = self.pair[a]
         got = after.get(b)
         if got is None:
             self.learnt += 1
-            got = after[b] = self.merge(a + b) == [a, b]
+            got = after[b] = self.apart(a, b)
         return got
 
     def pieces(self, text: str) -> list[str]:
@@ -106,7 +147,7 @@ class PieceModel:
             else:
                 return out
             if not t:
-                return self.go_back(text, out, p)
+                return self.go_back(text, out)
             out.append(t)
             last = t
             at += len(t)
@@ -121,24 +162,30 @@ class PieceModel:
         self.learnt += 1
         return t or ""
 
-    def go_back(self, text: str, out: list[str], token: str) -> list[str]:
-        """Continue from pieces that fit and a next one that does not; a set bit marks a place where no piece fitted."""
-        find, fits, shorter, n = self.automaton.iter_long, self.fits, self.shorter, len(text)
-        failed, at = bytearray((n >> 3) + 1), sum(map(len, out))
+    def go_back(self, text: str, out: list[str]) -> list[str]:
+        """Continue from pieces that fit and after which none does; places where no piece fits are remembered."""
+        find, best, shorter, n = self.automaton.iter_long, self.best, self.shorter, len(text)
+        failed, at = set(), sum(map(len, out))
+        token = None
         while True:
-            end = at + len(token)
-            if not failed[end >> 3] >> (end & 7) & 1 and (not out or fits(out[-1], token)):
+            last = out[-1] if out else ""
+            after = best[last]
+            while token:
+                token = after[token] if token in after else self.longest_fit(last, token)
+                if not token or at + len(token) not in failed:
+                    break
+                token = shorter[token]
+            if token:
                 out.append(token)
-                if end == n:
+                at += len(token)
+                if at == n:
                     return out
-                at, token = end, next(find(text, end))[1]
-                continue
-            token = shorter[token]
-            if token is None:
-                failed[at >> 3] |= 1 << (at & 7)
+                token = next(find(text, at))[1]
+            else:
+                failed.add(at)
                 token = out.pop()
                 at -= len(token)
-                end = at + len(token)
+                token = shorter[token]
 
     def encode_part(self, part: str) -> tuple[bytes, bytes]:
         """Ids (little-endian, 4 bytes each) of a part, and the bytes that these ids decode to."""
