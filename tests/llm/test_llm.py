@@ -154,6 +154,37 @@ def test_jaccard_of_repeated_ids(spark):
         assert sorted((i, n, c) for i, n, c in got) == sorted(want)
 
 
+def test_jaccard_of_many_unlinked_near_copies(spark, monkeypatch):
+    """Near copies of one text, most below the limit: components as by brute force, one row a pair and not one a shared column, in any blocks."""
+    from tidemark.llm import ngram_join as J
+
+    r = random.Random(8)
+    source = [f"w{r.randrange(4000)}" for _ in range(800)]
+    rows = [(k, " ".join(w if r.random() > (k % 3 + 1) / 120 else f"x{r.randrange(10**6)}" for w in source)) for k in range(40)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    asked, products, want = [], J.products, B.jaccard(rows, 5, 80)
+    monkeypatch.setattr(J, "products", lambda *x: asked.append(x) or products(*x))
+    monkeypatch.setattr(J.Workspace, "drop", lambda *x: None)
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in J.jaccard_components(d, Workspace(spark, "t"), 5, 80).collect()}
+    assert got == want and len({c for _, c in want.values()}) > 10
+    made = []
+    for group, tile in ((J.GROUP, J.TILE), (300, 50)):
+        monkeypatch.setattr(J, "GROUP", group)
+        monkeypatch.setattr(J, "TILE", tile)
+        made.append([tuple(x) for x in products(*asked[0]).collect()])
+    sums = []
+    for rows_made in made:
+        sums.append({})
+        for a, b, *_, overlap in rows_made:
+            sums[-1][a, b] = sums[-1].get((a, b), 0) + overlap
+    assert sums[0] == sums[1] and len(sums[0]) > 100
+    at = [x.asDict() for x in asked[0][0].collect()]
+    reps = {x["rep"]: x for x in at}
+    cols = {k: {x["col"] for x in at if x["rep"] == k} for k in reps}
+    apart = {(a, b): len(cols[a] & cols[b]) for a in reps for b in reps if a < b and reps[a]["comp"] != reps[b]["comp"]}
+    assert all(apart[p] == n for p, n in sums[0].items()) and len(made[0]) * 3 < sum(sums[0].values())
+
+
 def test_katz(spark, docs):
     from tidemark.llm.katz import score
 

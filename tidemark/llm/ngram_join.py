@@ -7,7 +7,7 @@ column; overlap counts are added up per pair. Pairs whose overlap count, sizes o
 symmetric difference) rule the limit out are discarded, the rest is verified by the exact sets.
 
 Components need no more links than connect them: a first product pairs each row of a column with the column's least row
-only. Then columns that still hold several components are multiplied in full between components. So every
+only. Then columns that still hold several components are multiplied in full between components, those of one least row as one block. So every
 pair of different components that could link is judged, while a large group of near copies costs as much as its rows.
 
 The limit is `percent` in whole numbers: 100 * intersection >= percent * union. Null and empty texts have no shingles and link
@@ -28,6 +28,7 @@ from tidemark.llm.common import Workspace, connected_components
 from tidemark.llm.hashing import LOWER, Rolling, Words, mix, pack_counts, row_runs, signed, slices, unpack_counts
 
 SLOT_BITS, SLOT_BLOCK, EXTRA = 22, 16384, 50
+GROUP, TILE = 50_000, 1 << 20  # entries of a side of a block; products of entries held at once
 
 
 def shingle_slices(text: pa.Array, width: int):
@@ -120,6 +121,67 @@ def possible(percent: int) -> Column:
     return (small * 100 >= large * percent) & (apart * (100 + percent) <= both * (100 - percent))
 
 
+def product(own: np.ndarray, other: np.ndarray, rows: int):
+    """(a, b, count) of the rows that share columns, from (column, row) entries of two sparse matrices, the other sorted by column; a tile at a time."""
+    begin, end = np.searchsorted(other[:, 0], own[:, 0]), np.searchsorted(other[:, 0], own[:, 0], "right")
+    turn = np.argsort(own[:, 1], kind="stable")
+    row, begin, n = own[turn, 1], begin[turn], (end - begin)[turn]
+    work = np.cumsum(n)
+    starts = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1]))) if len(row) else np.zeros(0, np.int64)
+    i = 0
+    while i < len(starts):
+        done = work[starts[i] - 1] if starts[i] else 0
+        ends = np.append(starts[i + 1 :], len(row))
+        k = max(1, int(np.searchsorted(work[ends - 1], done + TILE, "right")))
+        part = slice(starts[i], ends[k - 1])
+        entry = np.repeat(begin[part] - (work[part] - n[part] - done), n[part]) + np.arange(n[part].sum())
+        key, count = np.unique(np.repeat(row[part], n[part]) * rows + other[entry, 1], return_counts=True)
+        yield key // rows, key % rows, count
+        i += k
+
+
+def products(at: DataFrame, percent: int) -> DataFrame:
+    """(a, b, a_n, b_n, overlap) of the pairs between components that could link; overlap: columns of one least row that both have.
+
+    at: (col, lo, rep, n, comp, most, b0..b3), lo being the column's least row and most its largest component. Columns with the same
+    least row are multiplied as one block, so near copies, which share many columns, are one row and not one a column. A block
+    is cut by rows into groups of about GROUP entries a side; entries of a column's largest component are only on the other side.
+    """
+    info = ["n", *[f"b{k}" for k in range(4)]]
+    sizes = at.groupBy("lo").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("parts"), F.greatest(F.lit(1), F.ceil(F.sum((F.col("comp") != F.col("most")).cast("long")) / GROUP)).cast("int").alias("own_parts"))
+    sized = at.join(sizes, "lo")
+    piece = F.xxhash64("rep")
+    names = ["lo", "i", "j", "own", "col", "rep", "comp", (F.col("comp") == F.col("most")).alias("in_most"), *info]
+    left = sized.where("comp <> most").withColumn("own", F.lit(True)).withColumn("i", F.pmod(piece, "own_parts").cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(*names)
+    right = sized.withColumn("own", F.lit(False)).withColumn("j", F.pmod(piece, "parts").cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("own_parts") - 1))).select(*names)
+
+    def multiply(tab: pa.Table) -> pa.Table:
+        v = {c: tab.column(c).to_numpy() for c in ("own", "col", "rep", "comp", "in_most", *info)}
+        reps, first, row = np.unique(v["rep"], return_index=True, return_inverse=True)
+        n, comp = v["n"][first], v["comp"][first]
+        bits = np.stack([v[f"b{k}"][first] for k in range(4)], 1).view(np.uint64)
+        side, entries = v["own"], np.stack((v["col"], row), 1)
+        own, turn = entries[side], np.argsort(v["col"], kind="stable")
+        out = [np.zeros((0, 3), np.int64)]
+        for most in (False, True):  # entries of the largest component meet all others, the others each other once
+            for a, b, count in product(own, entries[turn[(~side & (v["in_most"] == most))[turn]]], len(reps)):
+                small, large = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
+                ok = (comp[a] != comp[b]) & (small * 100 >= large * percent)
+                if not most:
+                    ok &= a < b
+                a, b, count = a[ok], b[ok], count[ok]
+                apart = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64)
+                ok = apart * (100 + percent) <= (n[a] + n[b]) * (100 - percent)
+                out.append(np.stack((np.minimum(a[ok], b[ok]), np.maximum(a[ok], b[ok]), count[ok]), 1))
+        a, b, count = np.concatenate(out).T
+        pair, at_pair = np.unique(a * len(reps) + b, return_inverse=True)
+        a, b = np.divmod(pair, len(reps))
+        small, large = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
+        return pa.table({"a": reps[a], "b": reps[b], "a_n": small, "b_n": large, "overlap": np.bincount(at_pair, count, len(pair)).astype(np.int64)})
+
+    return left.unionByName(right).groupBy("lo", "i", "j").applyInArrow(multiply, "a long, b long, a_n long, b_n long, overlap long")
+
+
 def jaccard_components(docs: DataFrame, work: Workspace, width: int = 3, percent: int = 90, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id and links, the number of verified links kept of its set."""
     classes = column_classes(docs, text, width)
@@ -163,15 +225,10 @@ def jaccard_components(docs: DataFrame, work: Workspace, width: int = 3, percent
     near = star.join(side("a"), "a").join(side("b"), "b").where(possible(percent))
     links = verified(near, "links1")
     comp = connected_components(links, work)
-    at = hits.select("col", "rep").join(comp.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
+    at = hits.select("col", "lo", "rep").join(comp.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
     open_cols = at.groupBy("col", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("col").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("m", "comp"))["comp"].alias("most")).where("comps > 1")
-    at = at.join(open_cols.select("col", "most"), "col").join(light, "rep")
-    at = work.table(at, "open")
-    a = at.where("comp <> most").select("col", "most", F.col("rep").alias("a"), F.col("comp").alias("a_comp"), *[F.col(c).alias(f"a_{c}") for c in ("n", *info)])
-    b = at.select("col", F.col("rep").alias("b"), F.col("comp").alias("b_comp"), *[F.col(c).alias(f"b_{c}") for c in ("n", *info)])
-    cross = (F.col("a_comp") != F.col("b_comp")) & ((F.col("b_comp") == F.col("most")) | (F.col("a") < F.col("b")))
-    rest = a.join(b, (a["col"] == b["col"]) & cross & possible(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("a_n", "b_n").alias("a_n"), F.greatest("a_n", "b_n").alias("b_n"))
-    more = verified(rest.groupBy("a", "b", "a_n", "b_n").agg(F.count(F.lit(1)).alias("overlap")).where(enough()), "links2")
+    at = work.table(at.join(open_cols.select("col", "most"), "col").join(light, "rep"), "open")
+    more = verified(products(at, percent).groupBy("a", "b", "a_n", "b_n").agg(F.sum("overlap").alias("overlap")).where(enough()), "links2")
     all_links = links.unionByName(more)
     comp = connected_components(all_links, work)
     degree = all_links.unionByName(all_links.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("rep")).agg(F.count(F.lit(1)).alias("links"))
