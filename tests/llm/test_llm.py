@@ -666,6 +666,22 @@ def test_pipeline_leaks_by_row(spark, tmp_path):
     assert clean.columns == C.COLUMNS and sorted(x["text"] for x in clean.collect()) == sorted(t for _, t in rows[1:6])
 
 
+def test_latent_space_is_made_where_it_is_reported(spark, tmp_path, monkeypatch):
+    """op3's operator reports the cosine of its hits; the pipeline, which has no use for it, does not make the space and keeps the same rows."""
+    import corpus_pipeline as C
+    from tidemark.llm import decontaminate as D
+
+    d, rows, item, _ = null_and_repeated_ids(spark)
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    judged = D.judge(d, bench, keep=["text"]).collect()
+    assert all((x["cosine"] is not None and x["cosine"] > 0.3) if x["contaminated"] else x["cosine"] is None for x in judged) and any(x["contaminated"] for x in judged)
+    made = []
+    monkeypatch.setattr(D, "latent", lambda *x: made.append(x))
+    assert sorted(x["text"] for x in C.benchmark_leaks(spark, d, str(tmp_path)).collect()) == sorted(x["text"] for x in judged if not x["contaminated"])
+    assert not made
+
+
 def test_pipeline_near_copies_by_row(spark):
     import corpus_pipeline as C
 
