@@ -89,3 +89,16 @@ def test_ranks_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(hot, "pieces", lambda *a, **b: whole(*a, **b, rows=10))
     got = {r.k: r.spearman for r in aggregates.spearman(d, ["k"], "x", "y").collect()}
     assert set(got) == {"a", None} and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_integrity_tasks_follow_the_input(spark, sf_dir, monkeypatch):
+    """Rows are dealt to a number of tasks that grows with the input, in which each moment of a key is whole; the results stay."""
+    from tidemark.operators import quality as Q
+
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    got = []
+    for mb in (1000, 0.001):
+        monkeypatch.setattr(Q, "PIECE_MB", mb)
+        out = Q.integrity(li, ["l_orderkey"], "l_suppkey", "l_discount")
+        got.append((Q.pieces(li), sorted(tuple(x) for x in out.collect()), out._jdf.queryExecution().optimizedPlan().toString()))
+    assert got[1][0] > 4 * got[0][0] and got[0][1] == got[1][1] and "RepartitionByExpression" in got[1][2]

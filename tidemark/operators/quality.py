@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 INFO, WARN, BLOCK = 0, 1, 2
+PIECE_MB = 2  # of the optimizer's estimate, which for parquet is the columns' share of the compressed file
 SEVERITY = ["info", "warn", "block"]
 
 
@@ -96,9 +99,20 @@ def excluded(df: DataFrame, rules: list[tuple[str, Column]]) -> DataFrame:
     return df.withColumn("excl_reason", why)
 
 
+def pieces(df: DataFrame) -> int:
+    """How many pieces of about PIECE_MB the optimizer's estimate of df's size makes; no job is run."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(8, min(1 << 16, math.ceil(size / (PIECE_MB * 1e6))))
+
+
 def integrity(df: DataFrame, by: list[str], ts: str, value: str) -> DataFrame:
-    """Per key: rows, repeated times, out-of-order arrivals cannot be seen in a table; missing and non-positive values."""
-    d = df.groupBy(*by, ts).agg(F.count(F.lit(1)).alias("__n"), F.sum((~(F.col(value) > 0) | F.col(value).isNull()).cast("int")).alias("__b"))
+    """Per key: rows, repeated times, out-of-order arrivals cannot be seen in a table; missing and non-positive values.
+
+    Moments hardly repeat, so rows are dealt by key and moment to a number of tasks that grows with the input before they are added up:
+    a task's groups are those of PIECE_MB of input, whatever its size, and a key with very many rows is spread.
+    """
+    used = df.select(*by, ts, value)
+    d = used.repartition(pieces(used), *by, ts).groupBy(*by, ts).agg(F.count(F.lit(1)).alias("__n"), F.sum((~(F.col(value) > 0) | F.col(value).isNull()).cast("int")).alias("__b"))
     return d.groupBy(*by).agg(F.sum("__n").alias("n"), F.sum((F.col("__n") > 1).cast("int")).alias("repeated_times"), F.sum("__b").alias("bad_values"), F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"))
 
 
