@@ -61,6 +61,21 @@ def test_suffix_merge_other_window_and_texts(spark, docs):
     assert got[0]["id"] == "en" and got[0]["t"] == "z"
 
 
+def test_op1_reports_passages_shorter_than_its_window(spark, tmp_path):
+    """Passages of 51 words below 400 bytes, beside all other rows: the contract's columns as they are, n_repeated by windows of 200 bytes."""
+    from tidemark.llm.queries import SHORTER, op1_suffix_array
+
+    r = random.Random(8)
+    passage = " ".join("".join(r.choice("abcdeghiklmnorstu") for _ in range(r.randint(3, 7))) for _ in range(51))
+    assert SHORTER[0] < len(passage) < 400
+    rows = ROWS + [(500 + i, prose(60, r) + " " + passage + " " + prose(60, r)) for i in range(3)] + [(510, passage), (511, prose(200, r) + passage[:190])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x["doc_id"]: tuple(x)[1:] for x in op1_suffix_array(spark, str(tmp_path)).collect()}
+    short = B.suffix_bytes(rows, SHORTER[0])
+    assert got == {i: (*w, short[i][1]) for i, w in B.suffix_bytes(rows).items()}
+    assert all(got[i][1] == 0 and got[i][4] >= len(passage) for i in (500, 501, 502, 510)) and got[511][1] == got[511][4] == 0
+
+
 def test_loser_tree_merges_and_knows_prefixes():
     from tidemark.llm.suffix_merge import LoserTree, front_code, shared_prefix
 

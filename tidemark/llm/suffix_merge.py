@@ -106,6 +106,22 @@ class LoserTree:
                 n >>= 1
 
 
+def spread(col: pa.ListArray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Of a column of lists of structs: where each row's entries begin and end, and the fields of all entries; a null is an empty list."""
+    ends = np.concatenate(([0], np.cumsum(col.value_lengths().fill_null(0).to_numpy(), dtype=np.int64)))
+    return ends, [x.to_numpy(zero_copy_only=False) for x in col.flatten().flatten()]
+
+
+def unions(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Maximal runs covered by the ranges, in order."""
+    if not len(lo):
+        return lo, hi
+    order = np.argsort(lo, kind="stable")
+    lo, top = lo[order], np.maximum.accumulate(hi[order])
+    new = np.flatnonzero(np.concatenate(([True], lo[1:] > top[:-1])))
+    return lo[new], top[np.append(new[1:], len(lo)) - 1]
+
+
 def repeated_spans(docs: DataFrame, work: Workspace, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(id, rk, from, to): byte ranges of keyed docs that are covered by repeated windows; they may overlap."""
     found = candidates(docs, work, "bytes", window, gram)
@@ -139,12 +155,14 @@ def repeated_spans(docs: DataFrame, work: Workspace, window: int = WINDOW, gram:
 
         for b in batches:
             off, data = flat(b.column("t"))
-            ids, rks, spans = b.column("id").to_pylist(), b.column("rk").to_pylist(), b.column("spans")
+            ids, rks = b.column("id").to_pylist(), b.column("rk").to_pylist()
+            ends, fields = spread(b.column("spans"))
+            spans = list(zip(*(x.tolist() for x in fields)))
             for r in range(b.num_rows):
                 text = data[off[r] : off[r + 1]].tobytes()
-                for s in spans[r].as_py():
-                    piece = text[s["first"] : s["last"] + window]
-                    held.setdefault(piece, []).append((ids[r], rks[r], s["first"], s["last"], s["several"]))
+                for first, last, several in spans[ends[r] : ends[r + 1]]:
+                    piece = text[first : last + window]
+                    held.setdefault(piece, []).append((ids[r], rks[r], first, last, several))
                     size += len(piece)
                 if size > RUN_BYTES:
                     yield from out()
@@ -242,7 +260,9 @@ def repeated_spans(docs: DataFrame, work: Workspace, window: int = WINDOW, gram:
     marks = work.table(listed.groupBy("bucket").applyInArrow(totals, "g int, bucket int, marks binary"), "marks")
     edge = strings.groupBy("g").cogroup(marks.groupBy("g")).applyInArrow(edges, "id long, rk long, from long, to long")
     whole = merged.where("s is null").select("id", "rk", F.col("first").alias("from"), (F.col("last") + window).alias("to"))
-    return work.table(whole.unionByName(edge), "spans")
+    spans = work.table(whole.unionByName(edge), "spans")
+    work.drop(merged, marks)
+    return spans
 
 
 def union_of(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -256,23 +276,43 @@ def union_of(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def remove_repeats(docs: DataFrame, work: Workspace, window: int = WINDOW, gram: int = GRAM, doc_id: str = "doc_id", text: str = "text", digest: bool = True, carry: list[str] | None = None) -> DataFrame:
-    """Each row's doc_id, columns carried along, n_bytes, n_removed, n_spans and kept_sha256, or with digest False the kept text as `kept` (bytes that are cut within a character are dropped)."""
+def remove_repeats(docs: DataFrame, work: Workspace, window: int = WINDOW, gram: int = GRAM, doc_id: str = "doc_id", text: str = "text", digest: bool = True, carry: list[str] | None = None, shorter: tuple[int, int] | None = None) -> DataFrame:
+    """Each row's doc_id, columns carried along, n_bytes, n_removed, n_spans and kept_sha256, or with digest False the kept text as `kept` (bytes that are cut within a character are dropped).
+
+    shorter: a window below `window` and its gram. n_repeated, the bytes covered by repeated windows of that length, follows then; nothing is
+    removed for it. A repeated long window is made of repeated short ones, so only texts with a range of those that is long enough are searched for long ones.
+    """
     carry = carry or []
     src = keyed(docs, doc_id, text, carry)
     extra = [f"c{i}" for i in range(len(carry))]
-    spans = by_document(repeated_spans(src.select("id", "rk", "t"), work, window, gram), "from", "to")
+    texts = src.select("id", "rk", "t")
+    if shorter:
+        if shorter[0] > window:
+            raise ValueError("shorter must not be above the window")
+        less = repeated_spans(texts, work, *shorter)
+        far = less.groupBy("id", "rk").agg((F.max("to") - F.min("from")).alias("n")).where(F.col("n") >= window)
+        texts = work.table(texts.join(far, ["id", "rk"], "left_semi"), "texts")
+    found = repeated_spans(texts, work, window, gram).withColumn("short", F.lit(False))
+    if shorter:
+        found = found.unionByName(less.withColumn("short", F.lit(True)))
+    spans = by_document(found, "from", "to", "short")
     both = src.join(spans, ["id", "rk"], "left").select("id", *extra, "t", "spans")
 
     def cut(batches):
         for b in batches:
             off, data = flat(b.column("t"))
             size, gone, many, kept = [], [], [], []
-            spans = b.column("spans")
+            ends, (lo, hi, short) = spread(b.column("spans"))
+            base = off[:-1] + np.arange(b.num_rows)  # the rows' places, one apart so that their ranges do not touch
+            shift, short = np.repeat(base, np.diff(ends)), short.astype(bool)
+            lo, hi = lo + shift, hi + shift
+            x, y = unions(lo[short], hi[short])
+            again = np.bincount(np.searchsorted(base, x, "right") - 1, y - x, b.num_rows).astype(np.int64)
+            x, y = unions(lo[~short], hi[~short])
+            cut_at, starts, stops = np.append(np.searchsorted(x, base), len(x)).tolist(), x.tolist(), y.tolist()
             for r in range(b.num_rows):
-                raw, own = data[off[r] : off[r + 1]].tobytes(), []
-                if spans[r].is_valid:
-                    own = union_of([(s["from"], s["to"]) for s in spans[r].as_py()])
+                raw, at = data[off[r] : off[r + 1]].tobytes(), int(base[r])
+                own = [(starts[k] - at, stops[k] - at) for k in range(cut_at[r], cut_at[r + 1])]
                 left, at = [], 0
                 for x, y in own:
                     left.append(raw[at:x])
@@ -283,9 +323,9 @@ def remove_repeats(docs: DataFrame, work: Workspace, window: int = WINDOW, gram:
                 gone.append(len(raw) - len(rest))
                 many.append(len(own))
                 kept.append(hashlib.sha256(rest).hexdigest() if digest else b"".join(x.decode("utf-8", "ignore").encode() for x in left).decode())
-            yield pa.RecordBatch.from_arrays([b.column("id"), *(b.column(c) for c in extra), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(many, pa.int64()), pa.array(kept, pa.string())], ["id", *extra, "n_bytes", "n_removed", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), *(b.column(c) for c in extra), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(many, pa.int64()), pa.array(kept, pa.string()), pa.array(again, pa.int64())], ["id", *extra, "n_bytes", "n_removed", "n_spans", "kept", "n_repeated"])
 
     kinds = "".join(f"{x} {docs.schema[c].dataType.simpleString()}, " for x, c in zip(extra, carry))
-    out = both.mapInArrow(cut, f"id long, {kinds}n_bytes long, n_removed long, n_spans long, kept string")
+    out = both.mapInArrow(cut, f"id long, {kinds}n_bytes long, n_removed long, n_spans long, kept string, n_repeated long")
     real = F.when(F.col("id") != F.lit(-(1 << 63)), F.col("id"))
-    return out.select(real.alias(doc_id), *[F.col(x).alias(c) for x, c in zip(extra, carry)], "n_bytes", "n_removed", "n_spans", F.col("kept").alias("kept_sha256" if digest else "kept"))
+    return out.select(real.alias(doc_id), *[F.col(x).alias(c) for x, c in zip(extra, carry)], "n_bytes", "n_removed", "n_spans", F.col("kept").alias("kept_sha256" if digest else "kept"), *["n_repeated"] * bool(shorter))
