@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import random
+import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -227,6 +229,55 @@ def test_katz_longer_contexts_and_singletons(spark, docs, monkeypatch):
     assert {r["doc_id"]: r["score"] for r in queries.op4_katz(spark, "").collect()} == pytest.approx(want, rel=1e-9)
 
 
+def test_distinct_is_exact_where_leading_bits_agree():
+    from tidemark.llm.hashing import distinct
+
+    r = np.random.default_rng(4)
+    top = np.uint64((1 << 64) - 1)
+    for keys in (
+        np.array([top, 3, 1 << 63, 2, 3, 1, 0, 2, top, 3], np.uint64),  # the small ones differ only below the leading bits
+        r.integers(0, 1 << 64, 3000, np.uint64)[r.integers(0, 3000, 9000)],
+        np.append(r.integers(0, 40, 9000, np.uint64), top),
+        np.full(5, 7, np.uint64),
+        np.array([9], np.uint64),
+        np.zeros(0, np.uint64),
+    ):
+        for want, got in zip(np.unique(keys, return_index=True, return_inverse=True), distinct(keys)):
+            assert want.tolist() == got.tolist()
+
+
+def test_katz_works_out_each_length_once(monkeypatch):
+    from tidemark.llm import katz
+    from tidemark.llm.hashing import pack_counts
+
+    text = pa.array([t for _, t in ROWS], pa.string())
+    train = np.array([zlib.crc32(str(i).encode()) % 5 != 1 for i, _ in ROWS]).astype(float)
+    s, rows, stats = katz.Stream(text), [], {}
+    for k in (1, 2, 3):  # what the totals of one group alone would be
+        _, row, keys, at = s.grams(k)
+        n = np.bincount(at, train[row], len(keys)).astype(np.int64)
+        stats[k] = np.concatenate([np.bincount(n[n <= 6], minlength=7)[1:], [n.sum(), (n > 0).sum()]])
+        rows.append({"ord": k, "bucket": 0, "counts": pack_counts(n), "owned": np.packbits(np.ones(len(n), bool)).tobytes(), "shared": bytes(-(-len(n) // 8))})
+    model = katz.Model(stats, 3, 1, int(train.sum()))
+    left, right = pa.table({"t": text}), pa.Table.from_pylist(rows)
+    mass, below = katz.Known(model, left, right, 1).sums(2)
+    model.begin = tuple(float(x[0]) for x in katz.backoff(mass[-1:] / model.train_docs, below[-1:], np.array([model.train_docs])))
+    asked, words, contexts, looked = [], katz.Model.words, katz.Stream.contexts, {2: [], 3: []}
+    monkeypatch.setattr(katz.Model, "words", lambda self, c: asked.append(len(c)) or words(self, c))
+    monkeypatch.setattr(katz.Stream, "contexts", lambda self, k: looked[k].append(contexts(self, k)) or looked[k][-1])
+    own = katz.Known(model, left, right, 3)
+    p = own.probability(3)
+    assert len(p) == len(own.s.grams(3)[0]) and (p > 0).all() and own.probability(3) is p
+    assert asked == [len(own.s.grams(1)[2])]  # once, for each distinct word; it was once an occurrence and step before
+    assert all(len({id(x[0]) for x in looked[k]}) == 1 for k in looked)
+    last, row, _, _ = own.s.grams(1)
+    best, place = own.probability(1).copy(), {x: i for i, x in enumerate(last.tolist())}
+    for k in (2, 3):
+        best[[place[x] for x in own.s.grams(k)[0].tolist()]] = own.probability(k)
+    want = B.katz_scores(ROWS, 3, 1)
+    assert np.bincount(row, np.log10(best)).tolist() == pytest.approx([want[i] for i, _ in ROWS], rel=1e-9)
+
+
 def test_katz_sums_to_one():
     k = B.Katz(ROWS)
     for u in list(k.after)[:40]:

@@ -110,6 +110,35 @@ class Rolling:
         return mix(h ^ (np.asarray(length).astype(np.uint64) * np.uint64(0xA0761D6478BD642F)))
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys, sorted; the first place of each; where each place's key is among them (np.unique with both).
+
+    Leading bits and place are sorted as one number, which is several times faster than sorting places by keys. Keys that agree in
+    those bits may be left out of order; then the nearly sorted rest is sorted in full.
+    """
+    n = len(keys)
+    if n == 0:
+        return keys, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    least, low = keys.min(), n.bit_length()
+    spread = np.uint64(64 - int(keys.max() - least).bit_length()) if keys.max() > least else np.uint64(0)
+    mask = np.uint64((1 << low) - 1)
+    both = (keys - least) << spread
+    both &= ~mask
+    both |= np.arange(n, dtype=np.uint64)
+    both.sort()
+    both &= mask
+    turn = both.view(np.int64)
+    key = keys[turn]
+    if (key[1:] < key[:-1]).any():
+        again = np.argsort(key, kind="stable")
+        turn, key = turn[again], key[again]
+    new = np.ones(n, bool)
+    np.not_equal(key[1:], key[:-1], out=new[1:])
+    at = np.empty(n, np.int64)
+    at[turn] = np.cumsum(new) - 1
+    return key[new], turn[new], at
+
+
 def row_runs(ptr: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts of all windows of `width` symbols that stay inside a row, and the row of each; ptr: first symbol of each row."""
     n = np.maximum(np.diff(ptr) - width + 1, 0)

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import Workspace, parts_for
-from tidemark.llm.hashing import LOWER, Rolling, Words, pack_counts, pack_sorted, row_runs, slices, unpack_counts, unpack_sorted
+from tidemark.llm.hashing import LOWER, Rolling, Words, distinct, pack_counts, pack_sorted, row_runs, slices, unpack_counts, unpack_sorted
 
 BEGIN, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 TURING = 5
@@ -58,6 +58,8 @@ class Stream:
         self.ptr, self.tokens, self.docs = ptr + 2 * np.arange(docs + 1), tok, docs
         self.roll = Rolling(tok)
         self.known: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.one: dict[int, np.ndarray] = {}  # an occurrence of each distinct n-gram
+        self.around: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def grams(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of each occurrence: place of its last token and its row; the distinct n-grams, sorted; where each occurrence is among them."""
@@ -66,18 +68,21 @@ class Stream:
             if k == 1:
                 real = self.tokens[start] != BEGIN
                 start, row = start[real], row[real]
-            key, at = np.unique(self.roll.of(start, k), return_inverse=True)
+            key, one, at = distinct(self.roll.of(start, k))
+            self.one[k] = one.astype(np.int32)
             self.known[k] = (start + k - 1).astype(np.int32), row.astype(np.int32), key, at.astype(np.int32)
         return self.known[k]
 
     def contexts(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """For each occurrence of length k: the place of its context among the keys of length k - 1, -1 for begin alone; and
         of its lower-order n-gram among the occurrences of length k - 1."""
-        last, below = self.grams(k)[0], self.grams(k - 1)
-        place = np.full(len(self.tokens) + 1, -1, np.int32)
-        place[below[0]] = np.arange(len(below[0]))
-        ctx = place[last - 1]
-        return np.where(ctx >= 0, below[3][ctx], -1), place[last]
+        if k not in self.around:
+            last, below = self.grams(k)[0], self.grams(k - 1)
+            place = np.full(len(self.tokens) + 1, -1, np.int32)
+            place[below[0]] = np.arange(len(below[0]))
+            ctx = place[last - 1]
+            self.around[k] = np.where(ctx >= 0, below[3][ctx], -1), place[last]
+        return self.around[k]
 
 
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -140,7 +145,7 @@ class Known:
         self.model, self.s = model, Stream(left.column("t"))
         o, b = right.column("ord").to_numpy(), right.column("bucket").to_numpy()
         self.rows = {k: np.flatnonzero(o == k)[np.argsort(b[o == k], kind="stable")].tolist() for k in range(-model.order, model.order + 1)}
-        self.right, self.got, self.weights = right, {}, {}
+        self.right, self.got, self.weights, self.chances = right, {}, {}, {}
         for k in range(2, upto + 1):
             self.weigh(k)
 
@@ -171,28 +176,28 @@ class Known:
         """Of each context, begin alone last: does the group have an n-gram of length k after it that is not kept?"""
         ctx, _ = self.s.contexts(k)
         out = np.zeros(len(self.s.grams(k - 1)[2]) + 1, bool)
-        out[ctx[(self.totals(k)[0] < self.model.least)[self.s.grams(k)[3]]]] = True
+        out[ctx[self.s.one[k][self.totals(k)[0] < self.model.least]]] = True
         return out
 
-    def sums(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Of each context: the discounted counts of the kept n-grams that this group answers for, and what these words have below."""
-        _, _, keys, at = self.s.grams(k)
-        count, owned, _ = self.totals(k)
-        one = np.zeros(len(keys), np.int64)  # an occurrence of each n-gram
-        one[at] = np.arange(len(at))
-        mine = np.flatnonzero(owned & (count >= self.model.least))
-        one = one[mine]
+    def sums(self, k: int, alone: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Of each context: the discounted counts of the kept n-grams that this group answers for, and what these words have below.
+
+        alone: only of n-grams that no other group lists, which are all that follow a context that no other group lists."""
         ctx, lower = self.s.contexts(k)
+        count, owned, shared = self.totals(k)
+        mine = np.flatnonzero((~shared if alone else owned) & (count >= self.model.least))
+        one = self.s.one[k][mine]
         below = self.probability(k - 1)[lower[one]]
         n = len(self.s.grams(k - 1)[2]) + 1
-        ctx = ctx[one] % n
+        ctx = ctx[one]
+        ctx[ctx < 0] = n - 1
         return np.bincount(ctx, self.model.discounted(k, count[mine]), n).astype(float), np.bincount(ctx, below, n).astype(float)
 
     def weigh(self, k: int) -> None:
         """(alpha, scale) of the contexts of length k - 1: those of this group alone from its own sums, the others as told."""
         total = self.context_totals(k)
         alpha, scale = np.ones(len(total)), np.ones(len(total))
-        mass, below = self.sums(k)
+        mass, below = self.sums(k, alone=True)
         own = np.flatnonzero(~np.append(self.totals(k - 1)[2], True) & (mass > 0))
         alpha[own], scale[own] = backoff(mass[own] / total[own], below[own], total[own])
         told = [np.zeros(0), *(np.frombuffer(self.right.column("counts")[i].as_py(), "<f8") for i in self.rows[-k])]
@@ -206,15 +211,21 @@ class Known:
         self.weights[k] = alpha, scale
 
     def probability(self, k: int) -> np.ndarray:
-        """P of each occurrence of length k, by recursion on the length."""
-        at = self.s.grams(k)[3]
-        if k == 1:
-            return self.model.words(self.totals(1)[0])[at]
-        ctx, lower = self.s.contexts(k)
-        c = self.totals(k)[0][at]
-        alpha, scale = self.weights[k]
-        below = alpha[ctx] * self.probability(k - 1)[lower]
-        return np.where(c >= self.model.least, scale[ctx] * self.model.discounted(k, c) / np.maximum(self.context_totals(k)[ctx], 1), below)
+        """P of each occurrence of length k, by recursion on the length; worked out once."""
+        if k not in self.chances:
+            at, count = self.s.grams(k)[3], self.totals(k)[0]
+            if k == 1:
+                self.chances[k] = self.model.words(count)[at]
+            else:
+                ctx, lower = self.s.contexts(k)
+                alpha, scale = self.weights[k]
+                value = np.where(count >= self.model.least, self.model.discounted(k, count), -1.0)[at]
+                p, held = self.probability(k - 1)[lower], value >= 0
+                p *= alpha[ctx]
+                ctx = ctx[held]
+                p[held] = scale[ctx] * value[held] / np.maximum(self.context_totals(k), 1)[ctx]
+                self.chances[k] = p
+        return self.chances[k]
 
 
 REPLY = "kind string, ord int, g int, bucket int, counts binary, owned binary, shared binary"
@@ -266,7 +277,8 @@ def score(docs: DataFrame, trained: Column, work: Workspace, order: int = 2, lea
             turn = np.argsort(gs, kind="stable")
             gs, counts, blobs = gs[turn].tolist(), [counts[i] for i in turn], tab.column("keys").to_pylist()
             cut = np.concatenate(([0], np.cumsum([len(c) for c in counts])))
-            key, first, at, held = np.unique(np.concatenate([unpack_sorted(blobs[i]) for i in turn]), return_index=True, return_inverse=True, return_counts=True)
+            key, first, at = distinct(np.concatenate([unpack_sorted(blobs[i]) for i in turn]))
+            held = np.bincount(at, minlength=len(key))
             n = np.bincount(at, np.concatenate(counts), len(key)).astype(np.int64)
             stat = np.concatenate([np.bincount(n[n <= TURING + 1], minlength=TURING + 2)[1:], [n.sum(), (n > 0).sum()]])
             owned = np.zeros(len(at), bool)
@@ -368,7 +380,7 @@ def score(docs: DataFrame, trained: Column, work: Workspace, order: int = 2, lea
         s = own.s
         last, row, _, at = s.grams(1)
         c = own.totals(1)[0][at]
-        p = own.probability(1)
+        p = own.probability(1).copy()
         place = np.full(len(s.tokens), -1, np.int64)
         place[last] = np.arange(len(last))
         for k in range(2, order + 1):  # the longest context that the token has decides
